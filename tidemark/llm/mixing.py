@@ -38,8 +38,8 @@ FEATURES = 1 << 16
 #: Most labelled documents of each domain that the classifier takes, and the most bytes of one domain's texts.
 SAMPLE = 1500
 SAMPLE_BYTES = 8 << 20
-PULL = 0.05
-STEPS = 30
+PULL = 0.01
+STEPS = 40
 #: Shares of tokens wanted of each domain: q quality, t toxicity.
 TARGETS = {"q1t0": 0.9, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
 

@@ -87,7 +87,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(n, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64).reshape(64, -1)
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(query: int, sliced: np.ndarray, radius: int) -> np.ndarray:
