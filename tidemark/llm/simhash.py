@@ -2,9 +2,8 @@
 
 Fingerprints of 64 bits come from the XXH64 hashes of word shingles. Only
 distinct fingerprints are compared. By the pigeonhole principle two that
-differ in at most ``radius`` bits agree wholly in ``BLOCKS - radius`` of
-BLOCKS bit blocks, so each fingerprint is dealt under every choice of so many
-blocks. Within one deal the fingerprints are stored as 64 vertical bit planes;
+differ in at most ``radius`` bits agree wholly in 2 of ``radius + 2`` bit blocks,
+so each fingerprint is dealt under every choice of two blocks. Within one deal the fingerprints are stored as 64 vertical bit planes;
 one XOR of a plane compares 64 fingerprints at once, carry-save counters add
 the differing bits of all lanes, and a block of lanes is abandoned when every
 counter exceeds the radius.
@@ -35,7 +34,6 @@ from .graph import components
 from .scratch import keep
 
 SEED = 42
-BLOCKS = 6
 TILE = 4096
 LANES = 64
 
@@ -74,11 +72,12 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(radius: int, blocks: int = BLOCKS) -> list[int]:
+def masks(radius: int) -> list[int]:
     """Bit masks of which at least one finds any two fingerprints within the radius equal."""
+    blocks = radius + 2
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     block = [sum(1 << b for b in range(cuts[i], cuts[i + 1])) for i in range(blocks)]
-    return [sum(chosen) for chosen in combinations(block, blocks - radius)]
+    return [sum(chosen) for chosen in combinations(block, 2)]
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -229,7 +228,7 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return made.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 6, width: int = 5) -> DataFrame:
     """The documents that are the smallest doc_id of their component, columns unchanged."""
     found = near_components(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["_tm_id"], "left_semi")
