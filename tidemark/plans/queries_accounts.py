@@ -43,10 +43,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.account_scores(p, overlap, nobody)
 
 
-@query(SCORES + "SELECT account_id, n AS posts_analyzed, round(tox, 6) AS toxicity, round(overlap, 6) AS overlap, round(score, 6) AS threat_score, tier FROM scores")
+@query(SCORES + "SELECT account_id, n AS posts_analyzed, round(tox, 6) AS toxicity, round(overlap, 6) AS overlap, round(score, 5) AS threat_score, tier FROM scores")
 def threat_ranking(spark, sf_dir):
     s = scores(spark, sf_dir).orderBy(F.desc("score"), "account_id")
-    return s.select("account_id", F.col("n_posts").alias("posts_analyzed"), F.round("toxicity", 6).alias("toxicity"), F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("threat_score"), "tier")
+    return s.select("account_id", F.col("n_posts").alias("posts_analyzed"), F.round("toxicity", 6).alias("toxicity"), F.round("overlap", 6).alias("overlap"), F.round("score", 5).alias("threat_score"), "tier")
 
 
 @query(SCORES + "SELECT count(*) FILTER (tier = 'High') AS high, count(*) FILTER (tier = 'Elevated') AS elevated, count(*) FILTER (tier = 'Watch') AS watch, count(*) FILTER (tier = 'Low') AS low, CAST(0 AS BIGINT) AS not_assessed, CAST(0 AS BIGINT) AS insufficient, count(*) AS total FROM scores")
@@ -54,9 +54,9 @@ def tier_histogram(spark, sf_dir):
     return verdicts.histogram(scores(spark, sf_dir))
 
 
-@query(SCORES + "SELECT rank, account_id, round(score, 6) AS score FROM (SELECT row_number() OVER (ORDER BY score DESC, account_id) AS rank, * FROM scores) WHERE rank > 5 AND rank <= 10")
+@query(SCORES + "SELECT rank, account_id, round(score, 5) AS score FROM (SELECT row_number() OVER (ORDER BY score DESC, account_id) AS rank, * FROM scores) WHERE rank > 5 AND rank <= 10")
 def paged_accounts(spark, sf_dir):
-    return ranking.page(scores(spark, sf_dir), 2, 5).select("rank", "account_id", F.round("score", 6).alias("score"))
+    return ranking.page(scores(spark, sf_dir), 2, 5).select("rank", "account_id", F.round("score", 5).alias("score"))
 
 
 @query(SCORES + "SELECT account_id, round(tox, 6) AS toxicity, tr AS toxic_replies, nr AS replies FROM scores")
@@ -175,10 +175,10 @@ def label_accuracy(spark, sf_dir):
     return verdicts.accuracy(l, s, ["account_id"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(SCORES + LABELLED + "SELECT account_id, round(score, 6) AS score FROM scores WHERE account_id NOT IN (SELECT account_id FROM lab) ORDER BY scores.score DESC, account_id LIMIT 20")
+@query(SCORES + LABELLED + "SELECT account_id, round(score, 5) AS score FROM scores WHERE account_id NOT IN (SELECT account_id FROM lab) ORDER BY scores.score DESC, account_id LIMIT 20")
 def unlabeled_queue(spark, sf_dir):
     s, l = labelled(spark, sf_dir)  # noqa: E741
-    return s.join(l, "account_id", "left_anti").orderBy(F.desc("score"), "account_id").limit(20).select("account_id", F.round("score", 6).alias("score"))
+    return s.join(l, "account_id", "left_anti").orderBy(F.desc("score"), "account_id").limit(20).select("account_id", F.round("score", 5).alias("score"))
 
 
 @query(SCORES + LABELLED + "SELECT s.account_id, s.tier, lab.label FROM scores s LEFT JOIN lab USING (account_id)")
