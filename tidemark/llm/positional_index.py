@@ -32,7 +32,7 @@ WINDOW = 10
 #: Bytes of test text that are broadcast at once.
 BLOCK_BYTES = 4 << 20
 
-HITS = "doc_id long, n_words long, hits array<int>, items array<string>"
+HITS = "doc_id long, _tm_th long, n_words long, hits array<int>, items array<string>"
 
 
 @dataclass
@@ -131,7 +131,7 @@ def _search(tests: Tests, span: int | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = Shard([words(c, ALNUM) for c in chunks(batch.column(1))], tests.terms)
+            shard = Shard([words(c, ALNUM) for c in chunks(batch.column(2))], tests.terms)
             places, pairs = [np.zeros(0, np.int64)], set()
             for n, windows in tests.windows.items():
                 for k in np.flatnonzero(shard.lengths[windows].min(axis=1) > 0):
@@ -148,11 +148,12 @@ def _search(tests: Tests, span: int | None):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(shard.n_words, pa.int64()),
                     lists(hit - shard.first[doc], np.bincount(doc, minlength=batch.num_rows), pa.int32()),
                     pa.array(by_doc, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "hits", "items"],
+                ["doc_id", "_tm_th", "n_words", "hits", "items"],
             )
 
     return run
@@ -164,7 +165,8 @@ def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | N
     With ``span`` the proximity form runs: places of a window's rarest term
     that have all its other terms within that many words.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_tm_th"), text.alias("text"))
     tests = tests.select(F.col(tests.columns[0]).cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -174,15 +176,18 @@ def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | N
         items = sorted((r.item, r.t or "") for r in block.collect())
         parts.append(docs.mapInArrow(_search(windows_of(items, width), span), HITS))
     if blocks == 1:
-        return parts[0]
+        return parts[0].drop("_tm_th")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("doc_id").agg(
+    joined = every.groupBy("doc_id", "_tm_th").agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        (F.count("*") / blocks).cast("int").alias("_tm_rows"),
     )
+    again = F.explode(F.sequence(F.lit(1), F.col("_tm_rows")))
+    return joined.withColumn("_tm_nth", again).drop("_tm_th", "_tm_rows", "_tm_nth")
 
 
 def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW) -> DataFrame:
