@@ -17,7 +17,7 @@ ids.
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component take no part; nor do those of another length than most
 have (of equally frequent lengths, the smaller); rows that repeat id and vector
-count once; a null id takes no part; an empty table, or one without queries,
+count once; an id with several vectors counts by the nearest of them; a null id takes no part; an empty table, or one without queries,
 gives an empty result; further columns are ignored.
 """
 
@@ -76,6 +76,12 @@ def build(vectors: DataFrame, pivots: np.ndarray, m: int) -> DataFrame:
     return vectors.mapInArrow(run, "ids binary, vecs binary, bounds binary, rows binary, ranks binary")
 
 
+def _first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order`` with each id's first place only."""
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)]
+
+
 def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share: float):
     def run(batches):
         m, dim = near.shape[1], qvecs.shape[1]
@@ -86,6 +92,7 @@ def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share
                 vecs = np.frombuffer(raw[1], np.float64).reshape(-1, dim)
                 bounds, rows, ranks = (np.frombuffer(x, np.int32) for x in raw[2:])
                 n = len(ids)
+                unique = bool((ids[1:] != ids[:-1]).all())
                 best = min(n, max(FEWEST, int(np.ceil(share * n))))
                 out = []
                 for q in range(len(qids)):
@@ -101,7 +108,8 @@ def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share
                         chosen = np.arange(n)
                     chosen = chosen[ids[chosen] != qids[q]]
                     d = np.sqrt(((vecs[chosen] - qvecs[q]) ** 2).sum(axis=1))
-                    top = np.lexsort((ids[chosen], d))[:k]
+                    near_first = np.lexsort((ids[chosen], d))
+                    top = near_first[:k] if unique else _first_of_each(ids[chosen], near_first)[:k]
                     out.append((np.full(len(top), qids[q]), ids[chosen[top]], d[top]))
                 if out:
                     cols = [np.concatenate(x) for x in zip(*out, strict=True)]
