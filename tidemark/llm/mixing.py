@@ -17,7 +17,8 @@ is lost costs the tasks it ran.
 Defined results: a null or empty text has no tokens, and posteriors like an
 empty document's; without labels there is one domain and all rates are 1;
 targets for domains that no label names are left out and the others scaled to
-1; a null doc_id is passed on; repeated rows are rated once each; an empty
+1; a null doc_id is passed on; repeated rows are rated once each (in ``mix``,
+rows that share an id are drawn together, at the highest rate of them); an empty
 table gives an empty result; further columns are ignored (or, in ``mix``,
 passed on).
 """
@@ -189,6 +190,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents that are drawn at least once, with rate and copies added."""
-    rated = rates(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("_tm_id")).agg(F.first("rate").alias("rate"), F.first("copies").alias("copies"))
-    return docs.join(rated, docs["doc_id"].eqNullSafe(rated["_tm_id"])).drop("_tm_id")
+    """The documents that are drawn at least once, with rate and copies added (in place of columns of these names)."""
+    drawn = F.max(F.struct("rate", "copies"))
+    rated = rates(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("_tm_id")).agg(drawn.alias("_tm_drawn"))
+    joined = docs.drop("rate", "copies").join(rated, docs["doc_id"].eqNullSafe(rated["_tm_id"]))
+    return joined.withColumns({"rate": F.col("_tm_drawn.rate"), "copies": F.col("_tm_drawn.copies")}).drop("_tm_id", "_tm_drawn")
