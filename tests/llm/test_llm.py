@@ -257,6 +257,40 @@ def test_mixing_against_dense_solution(docs, labels):
     assert np.allclose([r.rate for r, w in zip(rows, u, strict=True)], x, atol=1e-3)
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, nulls in any column, and further columns whose names clash with those added or used inside."""
+    shared = " ".join(f"token{i}" for i in range(20))
+    rows = [(1, shared + "\nfirst line of all", "en", "s", 9)] * 3 + [(2, shared, None, None, None), (3, None, None, None, None), (None, shared, "en", "s", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("rate", "copies", "fp", "key", "parts", "perplexity", "n_lines", "component_id", "hits", "item", "n", "a", "b", "m", "score", "_good", "_bad", "tokens", "id"):
+        df = df.withColumn(name, F.lit(name))
+    return df.repartition(2)
+
+
+def test_repeated_rows_nulls_and_clashing_names(spark, odd):
+    marks = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    tests = spark.createDataFrame([(7, " ".join(f"token{i}" for i in range(5, 16))), (7, None), (8, "first line")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    every, named = [(False, 1)] * 3 + [(False, 2), (False, 3), (True, 0), (True, 0)], [(False, 1)] * 3 + [(False, 2), (False, 3)]
+    for made in (license_scan.scan(odd), toxicity.scores(odd, marks), log_bilinear.scores(odd), kneser_ney.quality(odd, marks), mixing.rates(odd, marks)):
+        assert ids(made) == every
+    for made in (rlz_dedup.dedup_substrings(odd), line_dedup.line_report(odd), simhash.near_components(odd)):
+        assert ids(made) == named
+    for block in (1 << 20, 30):
+        got = positional_index.search(odd, tests, block_bytes=block)
+        assert ids(got) == every
+        assert sorted((r.doc_id or 0, len(r.hits), len(r.items)) for r in got.collect()) == [(0, 0, 0), (0, 11, 1), (1, 13, 2), (1, 13, 2), (1, 13, 2), (2, 11, 1), (3, 0, 0)]
+    for made in (kneser_ney.keep_good(odd, marks), line_dedup.dedup_lines(odd), simhash.one_of_each(odd), mixing.mix(odd, marks)):
+        assert len(set(made.columns)) == len(made.columns) and made.count() >= 0
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(4, [4.0, 1.0])] * 20 + [(6, [4.0 + k / 100, 1.0]) for k in range(15)]
+    got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), F.col("id") == 5, share=1.0)
+    assert sorted((r.rank, r.vec_id) for r in got.collect()) == list(enumerate([6, 4, 3, 7, 2, 8, 1, 9, 10, 11], 1))
+
+
 def test_empty_tables(empty, labels, spark):
     tests = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for made in (
