@@ -115,15 +115,48 @@ def test_simhash(docs, texts):
     assert got == {i: (f"{p:016x}", root(i)) for i, p in prints.items()}
 
 
+@pytest.mark.parametrize("tile", [4096, 30])
+def test_similar_components(spark, tile, monkeypatch):
+    """Against the Jaccard similarity of all pairs: from 0.87 linked, to 0.5 not; a group of copies with one word changed is whole."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile,))
+    rng = np.random.default_rng(3)
+    texts, at = {0: "", 1: None, 2: "  "}, 3
+    for base in range(40):
+        old = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        texts[at] = " ".join(old)
+        for changes in (0, 1, 2, 30):
+            new = list(old)
+            for k in rng.choice(200, changes, replace=False):
+                new[k] = f"x{base}n{k}"
+            at += 1
+            texts[at] = " ".join(new)
+        at += 1
+    old = [f"h{x}" for x in range(300)]
+    for k in range(300):
+        texts[at + k] = " ".join([*old[:k], "other", *old[k + 1 :]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert set(got) == set(texts)
+    assert {got[i] for i in (0, 1, 2)} == {0} and {got[at + k] for k in range(300)} == {at}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, (t or "").split()) for i, t in texts.items())}
+    for i in range(3, at):
+        for j in range(i + 1, at):
+            s = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+            assert s < 0.87 or got[i] == got[j]
+            assert s > 0.5 or got[i] != got[j]
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == {i for i in got if got[i] == i}
+
+
 @pytest.mark.parametrize("tile", [4096, 40])
 def test_bit_slices_and_tiles(spark, tile):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
     fps = np.unique(np.concatenate([base, *[base[:5] ^ np.uint64(1 << int(a) | 1 << int(b)) for a, b in rng.integers(0, 63, (60, 2))]]))
-    for q in fps[:20].tolist():
-        want = np.flatnonzero(np.bitwise_count(fps ^ np.uint64(q)) <= 4)
-        lanes = simhash.within(q, simhash.planes(fps), 4)
-        assert sorted(lanes[lanes < len(fps)]) == want.tolist()
+    for radius in (4, 18):
+        want = np.argwhere(np.bitwise_count(fps[:20, None] ^ fps) <= radius)
+        query, lane = simhash.within(fps[:20], simhash.planes(fps), radius)
+        assert sorted(zip(query[lane < len(fps)].tolist(), lane[lane < len(fps)].tolist(), strict=True)) == [tuple(x) for x in want.tolist()]
     reps = spark.createDataFrame([(int(f.astype(np.int64)), i) for i, f in enumerate(fps)], "fp long, id long")
     found = simhash.near_links(reps, 4, tile).collect()
     forest, truth = simhash.Forest(len(fps)), simhash.Forest(len(fps))

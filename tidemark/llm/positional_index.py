@@ -167,7 +167,7 @@ def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | N
     """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_tm_th"), text.alias("text"))
-    tests = tests.select(F.col(tests.columns[0]).cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("item is not null")
+    tests = tests.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     parts = []

@@ -8,6 +8,11 @@ one XOR of a plane compares 64 fingerprints at once, carry-save counters add
 the differing bits of all lanes, and a block of lanes is abandoned when every
 counter exceeds the radius.
 
+By Jaccard similarity (``similar_components``) fingerprints have 256 bits, whose
+distance tells 0.8 from lower similarities far better than 64 bits do. Deals go
+by random choices of bits; the planes of the first word sieve, and what is left
+is compared on all words. This form has a stated recall, not a full one.
+
 A deal of more than TILE fingerprints is cut into tiles and compared tile by
 tile, in tasks of their own, so one very common block value never meets in one
 task. Inside a tile only the links that join separate pieces are passed on:
@@ -36,20 +41,42 @@ from .scratch import keep
 SEED = 42
 TILE = 4096
 LANES = 64
+#: Cells of one query and one word of lanes that are compared at once.
+CELLS = 1 << 14
+#: Words of a wide fingerprint, and the names of those after the first.
+WORDS = 4
+FURTHER = ["f1", "f2", "f3"]
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Bits set in over half of the shingles' hashes, as an unsigned integer."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; none of a blank text."""
     joined = b" ".join(text.lower().split())
     if not joined:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = max(len(gaps) + 2 - width, 1)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[width - 1 :].tolist(), len(joined)][:n]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    return majority(hashes)
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """Bits set in over half of the shingles' hashes, as an unsigned integer."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: bytes, width: int) -> list[int]:
+    """WORDS words: the fingerprint, and the majorities of the distinct hashes mixed once more for each further word."""
+    hashes = np.unique(shingle_hashes(text, width))
+    return [majority(hashes), *(majority(mixed(hashes, k)) for k in range(1, WORDS))]
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -89,33 +116,38 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(query: int, sliced: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose fingerprint differs from ``query`` in at most ``radius`` bits."""
+def within(queries: np.ndarray, sliced: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, lane) where the lane's fingerprint differs from the query's in at most ``radius`` bits.
+
+    A cell is one query against one machine word of lanes; cells whose lanes all exceed the radius are abandoned.
+    """
     digits = radius.bit_length() + 1
-    alive = np.arange(sliced.shape[1])
-    count = np.zeros((digits, len(alive)), np.uint64)
-    over = np.zeros(len(alive), np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    n_words = sliced.shape[1]
+    query = np.repeat(np.arange(len(queries)), n_words)
+    word = np.tile(np.arange(n_words), len(queries))
+    count = np.zeros((digits, len(query)), np.uint64)
+    over = np.zeros(len(query), np.uint64)
     limit = radius + 1
     for b in range(64):
-        carry = sliced[b, alive] ^ (full if query >> b & 1 else np.uint64(0))
+        flip = -(queries >> np.uint64(b) & np.uint64(1))
+        carry = sliced[b, word] ^ flip[query]
         for d in range(digits):
             count[d], carry = count[d] ^ carry, count[d] & carry
         over |= carry
-        if b >= radius:
-            above = np.full(len(alive), full)
+        if b >= radius and (b & 3 == 3 or b == 63):
+            above = np.full(len(query), full)
             for d in range(digits):
                 above = (count[d] & above) if limit >> d & 1 else (count[d] | above)
             over |= above
-            if b & 3 == 3 and len(alive):
-                stay = over != full
-                if not stay.all():
-                    alive, over, count = alive[stay], over[stay], count[:, stay]
-        if not len(alive):
-            return np.zeros(0, np.int64)
+            stay = over != full
+            if not stay.all():
+                query, word, over, count = query[stay], word[stay], over[stay], count[:, stay]
+            if not len(query):
+                return query, word
     lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    word, lane = np.nonzero(lanes)
-    return alive[word] * LANES + lane
+    cell, lane = np.nonzero(lanes)
+    return query[cell], word[cell] * LANES + lane
 
 
 class Forest:
@@ -139,29 +171,40 @@ class Forest:
         return True
 
 
-def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join separate pieces among the pairs of ``left`` x ``right`` (indexes into fps)."""
+def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, further: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links that join separate pieces among the pairs of ``left`` x ``right`` (indexes into fps).
+
+    ``further``: more words of wide fingerprints, of which a link differs in at most ``most`` bits in all.
+    """
     found, forest = [], Forest(len(fps))
-    if len(left) <= 8:
-        a, b = np.meshgrid(left, right, indexing="ij")
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
-        return [(i, j) for i, j in pairs if i != j and forest.join(i, j)]
-    sliced = planes(fps[right])
     n = len(right)
-    for i in left.tolist():
-        lanes = within(int(fps[i]), sliced, radius)
-        found += [(i, j) for j in right[lanes[lanes < n]].tolist() if i != j and forest.join(i, j)]
+    sliced = planes(fps[right]) if n > LANES else None
+    step = len(left) if sliced is None else max(1, CELLS // sliced.shape[1])
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        if sliced is None:
+            q, lane = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[right]) <= radius)
+        else:
+            q, lane = within(fps[some], sliced, radius)
+            q, lane = q[lane < n], lane[lane < n]
+        i, j = some[q], right[lane]
+        roots = np.array([forest.root(k) for k in range(len(fps))]) if at else np.arange(len(fps))
+        new = roots[i] != roots[j]
+        i, j = i[new], j[new]
+        if further is not None:
+            near = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[near], j[near]
+        found += [pair for pair in zip(i.tolist(), j.tolist(), strict=True) if forest.join(*pair)]
     return found
 
 
-def _compare(radius: int):
-    """Rows sorted by (key, tile): fp, id, key, tile, side. Side 0: both sides of the tile."""
+def _compare(radius: int, most: int = 0):
+    """Rows sorted by (key, tile): fp, id, key, tile, side, deal, further words. Side 0: both sides of the tile."""
 
-    def whole(fps, ids, side):
+    def whole(fps, ids, side, further):
         left = np.flatnonzero(side <= 1) if side.any() else np.arange(len(fps))
         right = np.flatnonzero(side == 2) if side.any() else left
-        return [(int(ids[i]), int(ids[j])) for i, j in links(fps, left, right, radius)]
+        return [(int(ids[i]), int(ids[j])) for i, j in links(fps, left, right, radius, further if most else None, most)]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -173,7 +216,7 @@ def _compare(radius: int):
             out = []
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 g = rows[bounds[k] : bounds[k + 1]]
-                out += whole(g[:, 0].astype(np.int64).view(np.uint64), g[:, 1], g[:, 4])
+                out += whole(g[:, 0].copy().view(np.uint64), g[:, 1], g[:, 4], np.ascontiguousarray(g[:, 6:]).view(np.uint64))
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
@@ -196,8 +239,17 @@ def _compare(radius: int):
 def near_links(reps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """(a, b): ids of distinct fingerprints within the radius, enough to give whole components. reps: fp, id."""
     chosen = masks(radius)
-    deals = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(chosen)])
+    deals = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(chosen)])
     dealt = reps.select("fp", "id", F.explode(deals).alias("d")).select("fp", "id", "d.m", "d.key")
+    return _compared(dealt, [], _compare(radius), tile)
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _compared(dealt: DataFrame, further: list[str], compare, tile: int) -> DataFrame:
+    """Deals (fp, id, m, key and further words), compared tile by tile."""
     crowded = dealt.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     dealt = (
@@ -213,10 +265,52 @@ def near_links(reps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         (F.least("own", "other") * 65536 + F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
         "m",
+        *further,
     )
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "m", "key", "tile").sortWithinPartitions("m", "key", "tile")
-    return dealt.mapInArrow(_compare(radius), "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, f1, f2, f3): 256 bits; the further words are majorities over mixed hashes."""
+
+    def run(batches):
+        for batch in batches:
+            made = np.array([wide_fingerprint((x or "").encode(), width) for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, k].copy()) for k in range(WORDS))], ["doc_id", "fp", *FURTHER])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return docs.mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in FURTHER))
+
+
+def similar_links(reps: DataFrame, n: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b) as near_links gives them, of wide fingerprints. reps: n rows of fp, f1, f2, f3, id.
+
+    Two shingle sets of Jaccard similarity s have cosine 2s/(1+s), and differ in
+    a bit with probability p = angle/pi. Links differ in at most the bits that
+    nine tenths of the pairs at the given similarity do. Each deal takes as key
+    some bits drawn at random, as many as leave at most about 256 of n rows a
+    key, and there are so many deals that such a pair meets in one with
+    probability 0.95, at any n.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WORDS
+    most = round(bits * p + 1.28 * np.sqrt(bits * p * (1 - p)))
+    radius = round(64 * p + 3 * np.sqrt(64 * p * (1 - p)))
+    chosen = max(14, int(np.ceil(np.log2(max(n, 1)))) - 8)
+    deals = int(np.ceil(3 / (1 - p) ** chosen))
+    rng = np.random.default_rng(SEED)
+    rows = []
+    for m in range(deals):
+        words = [0] * WORDS
+        for bit in rng.choice(bits, chosen, replace=False).tolist():
+            words[bit >> 6] |= 1 << (bit & 63)
+        rows.append(F.struct(F.lit(m).alias("m"), *[F.lit(_signed(x)).alias(f"w{k}") for k, x in enumerate(words)]))
+    names = ["fp", *FURTHER]
+    key = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"d.w{k}")) for k, c in enumerate(names)])
+    dealt = reps.select(*names, "id", F.explode(F.array(*rows)).alias("d")).select(*names, "id", "d.m", key.alias("key"))
+    return _compared(dealt, FURTHER, _compare(radius, most), tile)
 
 
 def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
@@ -228,7 +322,17 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return made.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 6, width: int = 5) -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id, component_id: documents joined by links of at least about the given Jaccard similarity of shingles."""
+    names = ["fp", *FURTHER]
+    made = keep(wide_fingerprints(docs, width), "fingerprints")
+    reps = keep(made.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
+    roots = components(similar_links(reps, reps.count(), similarity))
+    classes = reps.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"))
+    return made.join(classes, names).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The documents that are the smallest doc_id of their component, columns unchanged."""
-    found = near_components(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
+    found = similar_components(docs, similarity, width).where("doc_id = component_id").select(F.col("doc_id").alias("_tm_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["_tm_id"], "left_semi")
