@@ -117,14 +117,14 @@ def test_simhash(docs, texts):
 
 @pytest.mark.parametrize("tile", [4096, 30])
 def test_similar_components(spark, tile, monkeypatch):
-    """Against the Jaccard similarity of all pairs: from 0.87 linked, to 0.5 not; a group of copies with one word changed is whole."""
+    """Against the Jaccard similarity of all pairs: from 0.87 linked, below 0.8 not; a group of copies with one word changed is whole."""
     monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile,))
     rng = np.random.default_rng(3)
     texts, at = {0: "", 1: None, 2: "  "}, 3
     for base in range(40):
         old = [f"w{x}" for x in rng.integers(0, 3000, 200)]
         texts[at] = " ".join(old)
-        for changes in (0, 1, 2, 30):
+        for changes in (0, 1, 2, 12):
             new = list(old)
             for k in rng.choice(200, changes, replace=False):
                 new[k] = f"x{base}n{k}"
@@ -143,7 +143,7 @@ def test_similar_components(spark, tile, monkeypatch):
         for j in range(i + 1, at):
             s = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
             assert s < 0.87 or got[i] == got[j]
-            assert s > 0.5 or got[i] != got[j]
+            assert s >= 0.8 or got[i] != got[j]
     kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
     assert kept == {i for i in got if got[i] == i}
 

@@ -11,7 +11,8 @@ counter exceeds the radius.
 By Jaccard similarity (``similar_components``) fingerprints have 256 bits, whose
 distance tells 0.8 from lower similarities far better than 64 bits do. Deals go
 by random choices of bits; the planes of the first word sieve, and what is left
-is compared on all words. This form has a stated recall, not a full one.
+is compared on all words. The links found are checked on the shingles
+themselves. This form has a stated recall, not a full one.
 
 A deal of more than TILE fingerprints is cut into tiles and compared tile by
 tile, in tasks of their own, so one very common block value never meets in one
@@ -35,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import lists
 from .graph import components
 from .scratch import keep
 
@@ -73,7 +75,7 @@ def wide_fingerprint(text: bytes, width: int) -> list[int]:
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
@@ -180,7 +182,9 @@ def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fur
     n = len(right)
     sliced = planes(fps[right]) if n > LANES else None
     step = len(left) if sliced is None else max(1, CELLS // sliced.shape[1])
-    for at in range(0, len(left), step):
+    # Close pairs first, so that what joins two pieces is about the closest pair of them.
+    bounds = [most] if step >= len(left) or further is None else [most // 2, most]
+    for bound, at in [(x, y) for x in bounds for y in range(0, len(left), step)]:
         some = left[at : at + step]
         if sliced is None:
             q, lane = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[right]) <= radius)
@@ -188,12 +192,14 @@ def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fur
             q, lane = within(fps[some], sliced, radius)
             q, lane = q[lane < n], lane[lane < n]
         i, j = some[q], right[lane]
-        roots = np.array([forest.root(k) for k in range(len(fps))]) if at else np.arange(len(fps))
+        roots = np.array([forest.root(k) for k in range(len(fps))]) if found else np.arange(len(fps))
         new = roots[i] != roots[j]
         i, j = i[new], j[new]
         if further is not None:
-            near = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64) <= most
-            i, j = i[near], j[near]
+            far = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64)
+            order = np.argsort(far, kind="stable")
+            order = order[: np.searchsorted(far[order], bound, "right")]
+            i, j = i[order], j[order]
         found += [pair for pair in zip(i.tolist(), j.tolist(), strict=True) if forest.join(*pair)]
     return found
 
@@ -322,12 +328,37 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return made.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the distinct shingles of each text, as 32 bits of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((x or "").encode(), width).astype(np.uint32)).view(np.int32) for x in batch.column(1).to_pylist()]
+            values = np.concatenate([np.zeros(0, np.int32), *sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(values, np.array([len(x) for x in sets], np.int64), pa.int32())], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles array<int>")
+
+
+def verified(docs: DataFrame, found: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The links (a, b) whose texts have the Jaccard similarity of shingle sets, or more. Only the texts of linked rows are cut."""
+    ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = shingle_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"])
+    sets = keep(sets, "shingles")
+    both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.where(same >= F.lit(similarity) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
 def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, component_id: documents joined by links of at least about the given Jaccard similarity of shingles."""
+    """doc_id, component_id: documents joined by links of the given Jaccard similarity of shingles, or more."""
     names = ["fp", *FURTHER]
     made = keep(wide_fingerprints(docs, width), "fingerprints")
     reps = keep(made.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
-    roots = components(similar_links(reps, reps.count(), similarity))
+    pairs = similar_links(reps, reps.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = keep(pairs.distinct(), "candidates")
+    roots = components(verified(docs, found, similarity, width))
     classes = reps.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return made.join(classes, names).select("doc_id", "component_id")
 
