@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,16 +37,23 @@ def straight_quotes(text: Column) -> Column:
     return F.translate(text, "“”‘’—–…", "\"\"''   ")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def expand_contractions(text: Column) -> Column:
     """Every contraction spelled out; the text is lower-cased only if it holds one."""
-    lower = F.lower(text)
-    any_held = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in CONTRACTIONS])
-    spelled = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(CONTRACTIONS[c])), CONTRACTIONS, lower)
-    return F.when(any_held, spelled).otherwise(text)
+
+    def spelled(lower: Column) -> Column:
+        return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(CONTRACTIONS[c])), CONTRACTIONS, lower)
+
+    held = reduce(lambda a, c: a | F.contains(F.lower(text), F.lit(c)), CONTRACTIONS, F.lit(False))
+    return F.when(F.contains(text, F.lit("'")) & held, bound(F.lower(text), spelled)).otherwise(text)
 
 
 def clean_post(text: Column) -> Column:
-    t = expand_contractions(straight_quotes(text))
+    t = bound(straight_quotes(text), expand_contractions)
     for pattern in (URL, MENTION, r"[^\p{IsAlphabetic} ]", r"\s+"):
         t = F.regexp_replace(t, pattern, " ")
     return F.trim(t)

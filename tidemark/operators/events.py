@@ -12,17 +12,26 @@ LEAST = 5
 def pile_on(events: DataFrame, seconds: int = DAY, least: int = LEAST) -> DataFrame:
     """Distinct amplifiers that stand in a span of ``seconds`` (inclusive) with ``least`` distinct amplifiers on one post.
 
-    An event is in such a span if the span that ends at one of its successors
-    within ``seconds`` holds enough distinct amplifiers. Spans are counted by a
-    self-join on (post, time bucket) rather than a collected window, so a hot
-    post is spread over its buckets and no row holds a whole span.
+    At any moment an amplifier counts from its latest event on, until its next
+    event takes over or ``seconds`` have passed. These intervals are cut at the
+    borders of time buckets, and one sorted pass over each (post, bucket) counts
+    those that are open, so a hot post is spread over its buckets and the work
+    grows with the events, not with their pairs.
     """
     e = events.select("post", "amplifier", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")).where("t is not null").distinct()
-    e = e.withColumn("bucket", F.floor(F.col("t") / seconds))
-    near = e.select("post", F.col("amplifier").alias("who"), F.col("t").alias("u"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    pairs = e.join(near, ["post", "bucket"]).where((F.col("u") <= F.col("t")) & (F.col("u") >= F.col("t") - seconds))
-    ends = pairs.groupBy("post", "t").agg(F.count_distinct("who").alias("n")).where(F.col("n") >= least).select("post", "t")
-    return pairs.join(ends, ["post", "t"]).select(F.col("who").alias("amplifier")).distinct()
+    following = F.lead("t").over(Window.partitionBy("post", "amplifier").orderBy("t"))
+    e = e.withColumn("last", F.least(following - 1, F.col("t") + seconds))
+    bucket = F.explode(F.sequence(F.floor(F.col("t") / seconds), F.floor(F.col("last") / seconds)))
+    cut = e.withColumn("bucket", bucket).select(
+        "post", "bucket", "amplifier", F.greatest("t", F.col("bucket") * seconds).alias("lo"), F.least("last", (F.col("bucket") + 1) * seconds - 1).alias("hi")
+    )
+    marks = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d"))))
+    rows = cut.select("post", "bucket", "amplifier", "lo", marks.alias("m")).select("post", "bucket", "amplifier", "lo", "m.at", "m.d")
+    w = Window.partitionBy("post", "bucket").orderBy("at")
+    open_now = F.sum("d").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    crowded = F.max(F.when(F.col("n") >= least, F.col("at"))).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    seen = rows.withColumn("n", open_now).withColumn("crowded", crowded)
+    return seen.where((F.col("d") == -1) & (F.col("crowded") >= F.col("lo"))).select("amplifier").distinct()
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -7,7 +7,9 @@ blocks of that many.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, mean_vector
@@ -16,17 +18,67 @@ MOST = 500
 
 
 def best_match(targets: DataFrame, mine: DataFrame, most: int = MOST) -> DataFrame:
-    """target_id, mine_id, similarity: the last of equally near posts of mine. targets: target_id, a; mine: mine_id, b."""
-    blocks = max(1, -(-mine.count() // most))
+    """target_id, mine_id, similarity: the last of equally near posts of mine. targets: target_id, a; mine: mine_id, b.
+
+    A block of mine is one matrix, and a batch of targets is multiplied by it at
+    once. Null, empty, zero or differently long vectors have similarity 0.
+    """
+    kind = dict(targets.dtypes)["target_id"]
+    out = f"target_id {kind}, mine_id {dict(mine.dtypes)['mine_id']}, similarity double"
+    blocks = -(-mine.count() // most)
     found = None
     for k in range(blocks):
         block = mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("mine_id"), F.lit(blocks)) == k)
-        pairs = targets.crossJoin(F.broadcast(block)).select("target_id", "mine_id", cosine(F.col("a"), F.col("b")).alias("similarity"))
+        rows = sorted(block.select("mine_id", F.col("b").cast("array<double>").alias("b")).collect(), key=lambda r: r.mine_id, reverse=True)
+        pairs = targets.select("target_id", F.col("a").cast("array<double>").alias("a")).mapInArrow(_best(rows), out)
         found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return targets.select("target_id", mine_none(mine), F.lit(0.0).alias("similarity")).where("false")
+    if blocks == 1:
+        return found
     best = found.groupBy("target_id").agg(F.max(F.struct("similarity", "mine_id")).alias("m"))
     return best.select("target_id", "m.mine_id", "m.similarity")
 
 
+def mine_none(mine: DataFrame):
+    return F.lit(None).cast(dict(mine.dtypes)["mine_id"]).alias("mine_id")
+
+
+def _unit(vecs: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors by length."""
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(vecs):
+        if v is not None and len(v):
+            by_length.setdefault(len(v), []).append(i)
+    out = {}
+    for n, at in by_length.items():
+        m = np.nan_to_num(np.array([vecs[i] for i in at], np.float64))
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        out[n] = np.array(at), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return out
+
+
+def _best(rows: list):
+    ids, mine = [r.mine_id for r in rows], _unit([r.b for r in rows])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                near = np.zeros((part.num_rows, len(ids)))
+                for n, (i, m) in _unit(part.column(1).to_pylist()).items():
+                    if n in mine:
+                        j, other = mine[n]
+                        near[np.ix_(i, j)] = m @ other.T
+                # Rounded, so that equal vectors tie whatever order their sums are taken in.
+                near = np.clip(near, 0, 1).round(12)
+                first = near.argmax(axis=1)
+                chosen = pa.array([ids[k] for k in first.tolist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), chosen, pa.array(near[np.arange(len(first)), first])], ["target_id", "mine_id", "similarity"])
+
+    return run
+
+
 def nearest_to_mean(targets: DataFrame, mine: DataFrame, n: int = 3) -> DataFrame:
     """The n targets nearest to the mean of mine; ties to the smaller id."""
     mean = mean_vector(mine, "b").select("mean")

@@ -10,15 +10,32 @@ from ..functions.text import clean_post, meaningful
 
 
 def keywords(posts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, uri, word: meaningful words of the cleaned posts, repeats kept."""
-    words = posts.select(*keys, "uri", F.explode(F.split(F.lower(clean_post(F.col(text))), " ")).alias("word"))
+    """keys, uri, word: meaningful words of the cleaned posts, repeats kept.
+
+    The outer form of explode, as the optimizer adds a filter to the plain one
+    that cleans every text a second time; its null rows aren't meaningful.
+    """
+    words = posts.select(*keys, "uri", F.explode_outer(F.split(F.lower(clean_post(F.col(text))), " ")).alias("word"))
     return words.where(meaningful(F.col("word")))
 
 
+def word_counts(words: DataFrame, *keys: str) -> DataFrame:
+    """keys, word, tf (places), df (posts). Places are counted by post first, so a frequent word is combined before the shuffle."""
+    return _of_posts(words, *keys).groupBy(*keys, "word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+def _of_posts(words: DataFrame, *keys: str) -> DataFrame:
+    return words.groupBy(*keys, "uri", "word").agg(F.count("*").alias("n"))
+
+
 def tf_idf(words: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The n words of highest tf * (ln((1 + N) / (1 + df)) + 1) of each key; N: its posts."""
-    docs = words.groupBy(*keys).agg(F.count_distinct("uri").alias("docs"))
-    counts = words.groupBy(*keys, "word").agg(F.count("*").alias("tf"), F.count_distinct("uri").alias("df"))
+    """The n words of highest tf * (ln((1 + N) / (1 + df)) + 1) of each key; N: its posts.
+
+    Both counts come from one shuffle, which the second reuses.
+    """
+    sizes = _of_posts(words, *keys).groupBy(*keys, "uri").agg(F.sum("n").alias("size"))
+    docs = sizes.groupBy(*keys).agg(F.count_if(F.col("size") > 0).alias("docs"))
+    counts = word_counts(words, *keys)
     joined = counts.join(docs, list(keys)) if keys else counts.crossJoin(F.broadcast(docs))
     scored = joined.withColumn("score", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "word")

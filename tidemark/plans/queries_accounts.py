@@ -255,7 +255,7 @@ def clean_text(spark, sf_dir):
 
 @query(WORDS + "SELECT word, count(*) AS tf, count(DISTINCT uri) AS df FROM k GROUP BY word")
 def keyword_counts(spark, sf_dir):
-    return word_rows(spark, sf_dir).groupBy("word").agg(F.count("*").alias("tf"), F.count_distinct("uri").alias("df"))
+    return topics.word_counts(word_rows(spark, sf_dir))
 
 
 TOP = WORDS + """, n AS (SELECT account_id, count(DISTINCT uri) AS docs FROM k GROUP BY 1), c AS (SELECT account_id, word, count(*) AS tf, count(DISTINCT uri) AS df FROM k GROUP BY 1, 2),
