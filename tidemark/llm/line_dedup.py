@@ -7,8 +7,8 @@ it. What stays is put together again by position.
 
 The hashed lines are written once and read twice (count, then join), so texts
 are split and hashed once. Counting keeps two ids a key in the map-side
-combine; a key in a third of all documents costs its join partition only, and
-AQE splits that.
+combine. The few keys that hold a large share of all lines are joined by a
+broadcast of a fixed bound, so the join's shuffle has no hot key.
 
 Defined results: a null or empty text is one empty line; a document without
 doc_id is left out, as it cannot be named; rows with the same doc_id are one
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
+#: Most keys that are broadcast.
+HOT = 1024
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,20 +45,29 @@ def drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .select("_tm_id", "_tm_th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
     hashed = keep(long_lines, "lines")
+    sizes = [F.min("_tm_id").alias("keeper"), F.count("*").alias("n")]
     if min_docs <= 2:
-        common = hashed.groupBy("h1", "h2").agg(F.min("_tm_id").alias("keeper"), F.max("_tm_id").alias("last"))
-        common = common.where(F.col("keeper") < F.col("last"))
+        common = hashed.groupBy("h1", "h2").agg(*sizes, F.max("_tm_id").alias("last")).where(F.col("keeper") < F.col("last"))
     else:
-        common = hashed.groupBy("h1", "h2").agg(F.min("_tm_id").alias("keeper"), F.count_distinct("_tm_id").alias("n"))
-        common = common.where(F.col("n") >= min_docs)
+        common = hashed.groupBy("h1", "h2").agg(*sizes, F.count_distinct("_tm_id").alias("docs")).where(F.col("docs") >= min_docs)
+    common = keep(common.select("h1", "h2", "keeper", "n"), "common")
     return (
-        hashed.join(common.select("h1", "h2", "keeper"), ["h1", "h2"])
+        _with_keeper(hashed, common)
         .where(F.col("_tm_id") != F.col("keeper"))
         .groupBy("_tm_id", "_tm_th")
         .agg(F.concat(F.array(F.lit(-1)), F.sort_array(F.collect_set("pos")), F.array(F.lit(1 << 30))).alias("_tm_bounds"))
     )
 
 
+def _with_keeper(hashed: DataFrame, common: DataFrame) -> DataFrame:
+    """``hashed`` joined with its common keys. Keys that hold a HOT-th of all lines or more, of which there are at most HOT, are broadcast; their lines aren't shuffled."""
+    least = F.lit(max(hashed.count() / HOT, 1.0))
+    hot = F.broadcast(common.where(F.col("n") >= least).select("h1", "h2", "keeper"))
+    rest = common.where(F.col("n") < least).select("h1", "h2", "keeper")
+    cold = hashed.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])
+    return hashed.join(hot, ["h1", "h2"]).unionByName(cold)
+
+
 def kept_lines() -> Column:
     """The runs of lines between those that go, in order: linear in the number of lines."""
     at = lambda k: F.get(F.col("_tm_bounds"), k)
