@@ -85,12 +85,16 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """The number with so many decimals; halves go to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(x, places))
+
+
 def byte_size(n: Column) -> Column:
-    kb, mb, gb = 1024, 1024**2, 1024**3
+    kb, mb = 1024, 1024**2
     return (
-        F.when(n >= gb, F.format_string("%.1f GB", n / F.lit(float(gb))))
-        .when(n >= mb, F.format_string("%.1f MB", n / F.lit(float(mb))))
-        .when(n >= kb, F.format_string("%.1f KB", n / F.lit(float(kb))))
+        F.when(n >= mb, F.concat(fixed(n / F.lit(float(mb)), 1), F.lit(" MB")))
+        .when(n >= kb, F.concat(fixed(n / F.lit(float(kb)), 1), F.lit(" KB")))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 
@@ -128,7 +132,7 @@ def event_label(kind: Column) -> Column:
 
 def toxicity_suffix(score: Column, scored: Column) -> Column:
     """Three states: scored, tried without a score, not tried."""
-    return F.when(score.isNotNull(), F.format_string(" (tox: %.2f)", score)).when(scored, " (tox: n/a)").otherwise("")
+    return F.when(score.isNotNull(), F.concat(F.lit(" (tox: "), fixed(score, 2), F.lit(")"))).when(scored, " (tox: n/a)").otherwise("")
 
 
 def at_uri(did: Column, collection: Column, rkey: Column) -> Column:

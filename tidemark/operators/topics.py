@@ -96,7 +96,10 @@ def overlap(weights: DataFrame, mine: DataFrame, key: str = "account_id") -> Dat
     return out.select(key, F.least(F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("overlap"))
 
 
-def top_keywords(made: DataFrame, key: str = "account_id") -> DataFrame:
-    """The first keyword of each cluster, heaviest cluster first."""
+def top_keywords(made: DataFrame, key: str = "account_id", n: int | None = None) -> DataFrame:
+    """The first keyword of three characters or more of each cluster, heaviest cluster first; n of them at most."""
+    long_enough = F.filter("keywords", lambda k: F.char_length(k) >= 3)
+    found = made.withColumn("keyword", F.get(long_enough, 0)).where("keyword is not null")
     w = Window.partitionBy(key).orderBy(F.desc("weight"), "cluster")
-    return made.select(key, F.row_number().over(w).alias("position"), F.element_at("keywords", 1).alias("keyword"))
+    out = found.select(key, F.row_number().over(w).alias("position"), "keyword")
+    return out if n is None else out.where(F.col("position") <= n)
