@@ -148,6 +148,30 @@ def test_similar_components(spark, tile, monkeypatch):
     assert kept == {i for i in got if got[i] == i}
 
 
+def test_similar_components_of_edited_families(spark):
+    """Families of copies edited to around 0.8: a link that holds is not lost to candidates that are deleted afterwards, only to the deals (0.05)."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(30):
+        old = [f"b{base}w{k}" for k in range(300)]
+        for copy in range(24):
+            new = list(old)
+            for k in rng.choice(300, 4, replace=False):
+                new[k] = f"c{copy}k{k}"
+            texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    prints = np.array([simhash.wide_fingerprint(t.encode(), 5) for t in texts], np.uint64)
+    met = lost = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, i // 24 * 24 + 24):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same) and np.bitwise_count(prints[i] ^ prints[j]).sum() <= 46:
+                met, lost = met + 1, lost + (got[i] != got[j])
+    assert met > 100 and lost <= 0.05 * met
+
+
 @pytest.mark.parametrize("tile", [4096, 40])
 def test_bit_slices_and_tiles(spark, tile):
     rng = np.random.default_rng(1)

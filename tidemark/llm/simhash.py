@@ -12,13 +12,14 @@ By Jaccard similarity (``similar_components``) fingerprints have 256 bits, whose
 distance tells 0.8 from lower similarities far better than 64 bits do. Deals go
 by random choices of bits; the planes of the first word sieve, and what is left
 is compared on all words. The links found are checked on the shingles
-themselves. This form has a stated recall, not a full one.
+themselves, and then every candidate between the pieces that checked links
+leave apart. This form has a stated recall, not a full one.
 
 A deal of more than TILE fingerprints is cut into tiles and compared tile by
 tile, in tasks of their own, so one very common block value never meets in one
-task. Inside a tile only the links that join separate pieces are passed on:
-the components stay whole and a group of g near copies sends fewer than g
-links. Components are found by contraction (graph.py).
+task. Inside a tile only the links that join separate pieces are passed on (by
+Jaccard similarity, in the first of two passes): the components stay whole and
+a group of g near copies sends fewer than g links. Components are found by contraction (graph.py).
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; a document shorter than a shingle is one shingle; rows without
@@ -45,6 +46,8 @@ TILE = 4096
 LANES = 64
 #: Cells of one query and one word of lanes that are compared at once.
 CELLS = 1 << 14
+#: Pairs that are passed on at once, or little more.
+SENT = 1 << 16
 #: Words of a wide fingerprint, and the names of those after the first.
 WORDS = 4
 FURTHER = ["f1", "f2", "f3"]
@@ -204,13 +207,37 @@ def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fur
     return found
 
 
-def _compare(radius: int, most: int = 0):
-    """Rows sorted by (key, tile): fp, id, key, tile, side, deal, further words. Side 0: both sides of the tile."""
+def pairs_apart(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, further: np.ndarray, most: int, piece: np.ndarray):
+    """Every pair of ``left`` x ``right`` of different pieces that differs in at most ``most`` bits, in blocks of (i, j)."""
+    sliced = planes(fps[right])
+    step = max(1, CELLS // sliced.shape[1])
+    twice = left is right
+    for at in range(0, len(left), step):
+        q, lane = within(fps[left[at : at + step]], sliced, radius)
+        q, lane = q[lane < len(right)], lane[lane < len(right)]
+        i, j = left[at + q], right[lane]
+        new = (piece[i] != piece[j]) & ((i < j) | (not twice))
+        i, j = i[new], j[new]
+        far = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64)
+        yield i[far <= most], j[far <= most]
+
+
+def _compare(radius: int, most: int = 0, apart: bool = False):
+    """Rows sorted by (key, tile): fp, id, key, tile, side, deal, further words. Side 0: both sides of the tile.
+
+    ``apart``: the last column is the piece a row belongs to, and all pairs of different pieces are passed on.
+    """
 
     def whole(fps, ids, side, further):
         left = np.flatnonzero(side <= 1) if side.any() else np.arange(len(fps))
         right = np.flatnonzero(side == 2) if side.any() else left
-        return [(int(ids[i]), int(ids[j])) for i, j in links(fps, left, right, radius, further if most else None, most)]
+        if not apart:
+            found = np.array(links(fps, left, right, radius, further if most else None, most), np.int64).reshape(-1, 2)
+            yield ids[found]
+            return
+        piece, further = further[:, -1], np.ascontiguousarray(further[:, :-1])
+        for i, j in pairs_apart(fps, left, right, radius, further, most, piece):
+            yield np.stack([ids[i], ids[j]], axis=1)
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -219,12 +246,21 @@ def _compare(radius: int, most: int = 0):
         def work(rows):
             cut = np.flatnonzero((rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3]) | (rows[1:, 5] != rows[:-1, 5])) + 1
             bounds = np.concatenate([[0], cut, [len(rows)]])
-            out = []
+            out, n = [np.zeros((0, 2), np.int64)], 0
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 g = rows[bounds[k] : bounds[k + 1]]
-                out += whole(g[:, 0].copy().view(np.uint64), g[:, 1], g[:, 4], np.ascontiguousarray(g[:, 6:]).view(np.uint64))
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                for pairs in whole(g[:, 0].copy().view(np.uint64), g[:, 1], g[:, 4], np.ascontiguousarray(g[:, 6:]).view(np.uint64)):
+                    out.append(pairs)
+                    n += len(pairs)
+                    if n >= SENT:
+                        yield send(out)
+                        out, n = [], 0
+            if out:
+                yield send(out)
+
+        def send(out):
+            pairs = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,9 +271,9 @@ def _compare(radius: int, most: int = 0):
             tail = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
             held = [rows[tail:]]
             if tail:
-                yield work(rows[:tail])
+                yield from work(rows[:tail])
         if held:
-            yield work(held[0])
+            yield from work(held[0])
 
     return run
 
@@ -293,6 +329,9 @@ def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 def similar_links(reps: DataFrame, n: int, similarity: float, tile: int = TILE) -> DataFrame:
     """(a, b) as near_links gives them, of wide fingerprints. reps: n rows of fp, f1, f2, f3, id.
 
+    If reps has a column ``piece``, all pairs of different pieces are given, not
+    only those that join the pieces of a tile.
+
     Two shingle sets of Jaccard similarity s have cosine 2s/(1+s), and differ in
     a bit with probability p = angle/pi. Links differ in at most the bits that
     nine tenths of the pairs at the given similarity do. Each deal takes as key
@@ -314,9 +353,10 @@ def similar_links(reps: DataFrame, n: int, similarity: float, tile: int = TILE)
             words[bit >> 6] |= 1 << (bit & 63)
         rows.append(F.struct(F.lit(m).alias("m"), *[F.lit(_signed(x)).alias(f"w{k}") for k, x in enumerate(words)]))
     names = ["fp", *FURTHER]
+    piece = [c for c in reps.columns if c == "piece"]
     key = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"d.w{k}")) for k, c in enumerate(names)])
-    dealt = reps.select(*names, "id", F.explode(F.array(*rows)).alias("d")).select(*names, "id", "d.m", key.alias("key"))
-    return _compared(dealt, FURTHER, _compare(radius, most), tile)
+    dealt = reps.select(*names, *piece, "id", F.explode(F.array(*rows)).alias("d")).select(*names, *piece, "id", "d.m", key.alias("key"))
+    return _compared(dealt, FURTHER + piece, _compare(radius, most, bool(piece)), tile)
 
 
 def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
@@ -352,13 +392,24 @@ def verified(docs: DataFrame, found: DataFrame, similarity: float, width: int) -
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, component_id: documents joined by links of the given Jaccard similarity of shingles, or more."""
+    """doc_id, component_id: documents joined by links of the given Jaccard similarity of shingles, or more.
+
+    The first pass checks only candidates that join pieces, which makes one piece
+    of a group of close copies. A candidate that fails may have stood in for one
+    that holds, so the second checks every candidate between different pieces.
+    """
     names = ["fp", *FURTHER]
     made = keep(wide_fingerprints(docs, width), "fingerprints")
     reps = keep(made.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
-    pairs = similar_links(reps, reps.count(), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = keep(pairs.distinct(), "candidates")
-    roots = components(verified(docs, found, similarity, width))
+    n = reps.count()
+
+    def checked(rows: DataFrame) -> DataFrame:
+        pairs = similar_links(rows, n, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return keep(verified(docs, keep(pairs.distinct(), "candidates"), similarity, width), "links")
+
+    first = checked(reps)
+    pieces = keep(reps.join(components(first), "id", "left").select(*names, "id", F.coalesce("root", "id").alias("piece")), "pieces")
+    roots = components(first.unionByName(checked(pieces)))
     classes = reps.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return made.join(classes, names).select("doc_id", "component_id")
 
