@@ -285,6 +285,19 @@ def test_quality_rejects_noise(spark):
     assert kneser_ney.quality(df, marks.where("false")).where("not accepted").count() == 0
 
 
+def test_quality_threshold_is_the_quantile(spark):
+    """Of enough trusted documents; a made-up word over and over goes."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["some", "plain", "words", "of", "prose", "here", "and", "there"]
+    rows = [(i, " ".join(rng.choice(vocabulary, 40)) + ".", "en" if i < 200 else "fr", "s", 0) for i in range(220)] + [(900, "Shti " * 40, "en", "s", 0)]
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(220)] + [(900, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.quality(spark.createDataFrame(rows, DOCS), marks).collect()}
+    p = sorted(got[i].perplexity for i in range(200))
+    assert p[196] <= got[0].threshold <= p[199] and not got[900].accepted
+    assert sum(not got[i].accepted for i in range(200)) in (1, 2, 3)
+    assert got[210].threshold == pytest.approx(1.5 * max(got[i].perplexity for i in range(200, 220)))
+
+
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(0)
     plain = [f"word{i}" for i in range(50)]
