@@ -327,6 +327,17 @@ def test_mixing_against_dense_solution(docs, labels):
     assert np.allclose([r.rate for r, w in zip(rows, u, strict=True)], x, atol=1e-3)
 
 
+def test_mixing_reaches_its_targets(spark):
+    """Totals of small domains too, at soft memberships, with the default pull and steps."""
+    rng = np.random.default_rng(4)
+    shares, target = np.array([0.751, 0.105, 0.129, 0.015]), np.array([0.9, 0.04, 0.05, 0.01])
+    p = 0.9 * np.eye(4)[rng.choice(4, 3000, p=shares)] + 0.1 * shares
+    u = rng.integers(50, 500, 3000)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(u, p, strict=True)], "tokens long, posteriors array<double>").coalesce(2).cache()
+    x, _ = mixing.replay(p, mixing.solve(rows, 4, target), mixing.PULL)
+    assert np.allclose((u * x) @ p / u.sum() / target, 1, atol=0.01)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Repeated rows, nulls in any column, and further columns whose names clash with those added or used inside."""

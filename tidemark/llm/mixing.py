@@ -39,8 +39,10 @@ FEATURES = 1 << 16
 #: Most labelled documents of each domain that the classifier takes, and the most bytes of one domain's texts.
 SAMPLE = 1500
 SAMPLE_BYTES = 8 << 20
-PULL = 0.01
-STEPS = 40
+PULL = 1e-5
+#: Most steps, and how near to its target, as a part of it, a domain's total is when they end.
+STEPS = 240
+WITHIN = 0.005
 #: Shares of tokens wanted of each domain: q quality, t toxicity.
 TARGETS = {"q1t0": 0.9, "q1t1": 0.04, "q0t0": 0.05, "q0t1": 0.01}
 
@@ -133,9 +135,11 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 def replay(p: np.ndarray, residuals: list[np.ndarray], pull: float) -> tuple[np.ndarray, np.ndarray]:
     """(rates, extrapolated rates) after the steps whose residuals are given."""
     x = y = np.ones(len(p))
-    t = 1.0
+    t, before = 1.0, np.inf
     for e in residuals:
         z = np.maximum(0, y - (p @ e + pull * (y - 1)) / (1 + pull))
+        size = float(e @ e)
+        t, before = 1.0 if size > before else t, size
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = z + (t - 1) / t2 * (z - x)
         x, t = z, t2
@@ -165,9 +169,18 @@ def solve(rows: DataFrame, k: int, target: np.ndarray, pull: float = PULL, steps
         made = rows.select("tokens", "posteriors").mapInArrow(run, ", ".join(f"d{j} double" for j in range(k)))
         got = made.agg(*[F.sum(f"d{j}") for j in range(k)]).first()
         residuals.append(np.array(got, float) / total - target)
+        if len(residuals) > 2 and all((np.abs(e) <= WITHIN * target + 1e-9).all() for e in residuals[-3:]):
+            break
     return residuals
 
 
+def totals(rated: DataFrame) -> dict[str, float]:
+    """Expected share of the present tokens that each domain has at the rates, to be held against the targets."""
+    pairs = F.explode(F.arrays_zip("domains", "posteriors")).alias("d")
+    of = rated.select("tokens", "rate", pairs).groupBy("d.domains").agg(F.sum(F.col("tokens") * F.col("rate") * F.col("d.posteriors")).alias("reached"), F.sum("tokens").alias("tokens"))
+    return {r.domains: r.reached / r.tokens for r in of.collect() if r.tokens}
+
+
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, pull: float = PULL, steps: int = STEPS) -> DataFrame:
     """doc_id, tokens, domains, posteriors, rate, copies: the rate rounded up or down by a hash of the id, to the rate on average."""
     model = train(docs, labels)
