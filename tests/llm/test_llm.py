@@ -224,6 +224,15 @@ def test_licenses(docs, texts):
     assert got[64].n_words == 0 and got[64].labels == "" and got[0].first_word is None
 
 
+def test_notices_before_a_better_one():
+    notice = license_scan.Notice("released under the mit license", "mit")
+    assert notice.search(b"released under the mitt license released under the mit license") == [(0, 31, 1), (32, 62, 0)]
+    names = ["mitt", "mit", "miit", "mt", "mit", "mitt"] * 300
+    text = " ".join(f"released under the {x} license" for x in names)
+    got = notice.search(text.encode())
+    assert [e for _, _, e in got] == [int(x != "mit") for x in names] and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vecs = np.concatenate([rng.normal(0, 1, (400, 16)) + rng.normal(0, 3, (8, 16)).repeat(50, axis=0), np.ones((60, 16))])

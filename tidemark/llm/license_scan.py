@@ -3,8 +3,8 @@
 A notice of m characters may differ by k = m // 12 edits. It is cut into k + 1
 pieces; by the pigeonhole principle one of them stands unchanged in any text
 within k edits, so plain substring search for the pieces locates candidates.
-Around each candidate the ``regex`` library matches the notice with at most k
-errors and reports span and edits.
+Around each candidate the ``regex`` library finds the best match of the notice
+with at most k errors, then those before and after it, and reports span and edits.
 
 Defined results: a null or empty text has no words, labels or score; repeated
 rows are scanned once each; a null doc_id is passed on; an empty table gives an
@@ -59,18 +59,22 @@ class Notice:
             while at >= 0:
                 regions.append((max(at - offset - 4 * self.edits, 0), at - offset + len(self.text) + 4 * self.edits))
                 at = norm.find(seed, at + 1)
-        found, past = set(), -1
+        found = set()
         for a, b in _merged(regions):
             piece = norm[a:b]
             text = piece.decode("utf-8", "ignore")
             skip = len(piece) - len(piece.lstrip(bytes(range(0x80, 0xC0)))) if piece else 0
-            at = 0
-            while m := self.pattern.search(text, at):
-                begin = a + skip + len(text[: m.start()].encode())
-                if begin > past:
-                    past = begin + len(m.group().encode()) - 1
-                    found.add((begin, past + 1, sum(m.fuzzy_counts)))
-                at = max(m.end(), m.start() + 1)
+            parts = [(0, len(text))]
+            while parts:
+                low, high = parts.pop()
+                # A match holds one of the pieces unchanged.
+                if not any(text.find(seed.decode(), low, high) >= 0 for seed, _ in self.seeds):
+                    continue
+                # The best match of a part; others may stand on both sides of it.
+                if m := self.pattern.search(text, low, high):
+                    begin = a + skip + len(text[: m.start()].encode())
+                    found.add((begin, begin + len(m.group().encode()), sum(m.fuzzy_counts)))
+                    parts += [(low, m.start()), (m.end(), high)]
         return sorted(found)
 
 
