@@ -275,12 +275,66 @@ def test_lbl_normalised_and_learns():
     assert model.log10(two[:200] * log_bilinear.CLASSES + one[:200])[np.arange(200), one[:200] * 3 % 40].mean() > -1.0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    g, n = np.unique(rng.integers(0, 64**4, 5000) // 97 * 97, return_counts=True)
-    model = kneser_ney.interpolate(g, n)
-    p = 10 ** np.concatenate(model.shards).astype(np.float64)
-    assert np.allclose(p.reshape(-1, 64).sum(axis=1)[g // 64], 1, atol=1e-3)
+def brute_kneser_ney(texts, order):
+    """log10 P of a text by the textbook recursion, on the words of all texts."""
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\u07ff]+|[\u0800-\U0010ffff]|[^\sa-z0-9\x80-\U0010ffff]+", (t or "").translate(UP))
+    padded = lambda t: ["<s>"] * (order - 1) + cut(t) + ["</s>"]
+    spans = lambda w: (tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    levels = [Counter(g for t in texts for g in spans(padded(t)))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels.reverse()
+    words = {w for t in texts for w in cut(t)}
+    stats = []
+    for c in levels:
+        n = [max(sum(v == k for v in c.values()), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0, *np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])]
+        total, freed = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            freed[g[:-1]] += d[min(v, 3)]
+        stats.append((c, d, total, freed))
+
+    def p(g):
+        c, d, total, freed = stats[len(g) - 1]
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(words) + 2)
+        if not total[g[:-1]]:
+            return lower
+        return (c[g] - d[min(c[g], 3)]) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * lower
+
+    return lambda t: (len(cut(t)), sum(math.log10(p(g)) for g in spans([x if x in words or x in ("<s>", "</s>") else "<unk>" for x in padded(t)])))
+
+
+@pytest.mark.parametrize("order,head", [(2, 1 << 20), (2, 30), (3, 1 << 20), (3, 30)])
+def test_kneser_ney_against_brute_force(spark, texts, order, head, monkeypatch):
+    """All scripts, nulls and repeated rows; n-grams looked up map-side and joined."""
+    monkeypatch.setattr(kneser_ney, "HEAD", head)
+    more = {200: "Привет, мир! Привет снова", 201: "你好世界 你好 世界", 202: "สวัสดี ชาวโลก สวัสดี", 203: "नमस्ते दुनिया नमस्ते", 204: "!!! *** w1 !!!", 205: "Zzz"}
+    every = {**texts, **more}
+    taught = [i for i in every if i % 3]
+    rows = [(i, t, "en", None, 0) for i, t in every.items()]
+    df = spark.createDataFrame(rows + [rows[-2]] * 2 + [(None, "w1 w2", None, None, 0)], DOCS).repartition(3)
+    model = kneser_ney.train(df.where(F.col("doc_id").isin(taught)).dropDuplicates(["doc_id"]), order)
+    brute = brute_kneser_ney([every[i] for i in taught], order)
+    got = kneser_ney.perplexities(df, model).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*every, 204, 204, None])
+    for r in got:
+        n, logp = brute("w1 w2" if r.doc_id is None else every[r.doc_id])
+        assert r.n_tokens == n and r.perplexity == pytest.approx(10 ** (-logp / (n + 1)) if n else 1.0)
+    assert {r.lang for r in got if r.doc_id is None} == {None}
+
+
+def test_kneser_ney_unknown_words_share(spark, monkeypatch):
+    """With a vocabulary of a few words the others are one word, whose probability they share; all sum to one."""
+    monkeypatch.setattr(kneser_ney, "VOCABULARY", 3)
+    for name, value in (("UNKNOWN", 3), ("BEGIN", 4), ("END", 5)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    df = spark.createDataFrame([(1, "a a a b b b c c c d e f g a b c d a b"), (2, "a b c a")], "doc_id long, text string")
+    model = kneser_ney.train(df)
+    assert len(model.vocabulary) == 3
+    p = 10**model.word
+    assert p[:3].sum() + p[3] * (4 + 1) + p[5] == pytest.approx(1)
 
 
 def test_quality_rejects_noise(spark):
@@ -294,17 +348,18 @@ def test_quality_rejects_noise(spark):
     assert kneser_ney.quality(df, marks.where("false")).where("not accepted").count() == 0
 
 
-def test_quality_threshold_is_the_quantile(spark):
-    """Of enough trusted documents; a made-up word over and over goes."""
+def test_quality_threshold_is_the_quantile(spark, monkeypatch):
+    """Of enough trusted documents that aren't learned from; made-up words go."""
     rng = np.random.default_rng(1)
     vocabulary = ["some", "plain", "words", "of", "prose", "here", "and", "there"]
-    rows = [(i, " ".join(rng.choice(vocabulary, 40)) + ".", "en" if i < 200 else "fr", "s", 0) for i in range(220)] + [(900, "Shti " * 40, "en", "s", 0)]
-    marks = spark.createDataFrame([(i, 1, 0) for i in range(220)] + [(900, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(i, " ".join(rng.choice(vocabulary, 40)) + ".", "en" if i < 800 else "fr", "s", 0) for i in range(820)] + [(900, "Shti " * 40, "en", "s", 0)]
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(820)] + [(900, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in kneser_ney.quality(spark.createDataFrame(rows, DOCS), marks).collect()}
-    p = sorted(got[i].perplexity for i in range(200))
-    assert p[196] <= got[0].threshold <= p[199] and not got[900].accepted
-    assert sum(not got[i].accepted for i in range(200)) in (1, 2, 3)
-    assert got[210].threshold == pytest.approx(1.5 * max(got[i].perplexity for i in range(200, 220)))
+    back = [i for i in range(820) if zlib.crc32(str(i).encode()) % 4 == 0]
+    p, f = sorted(got[i].perplexity for i in back if i < 800), [got[i].perplexity for i in back if i >= 800]
+    assert p[int(len(p) * 0.97)] <= got[0].threshold <= p[-1] and not got[900].accepted
+    assert sum(not got[i].accepted for i in range(800)) <= 16
+    assert got[810].threshold == pytest.approx(1.5 * max(f))
 
 
 def test_toxicity_learns_words(spark):

@@ -1,8 +1,9 @@
 """Words of whole texts as numpy arrays, straight from Arrow buffers.
 
 No Python object is made for a word. A word is known by a 64-bit polynomial
-hash of its bytes; two words of one corpus share a hash with probability of
-about 2**-64 per pair.
+hash of its bytes. Modulo 2**64 such a hash tells short words apart as well as
+a random one does, but not all words of a thousand bytes; words of more than
+LONG bytes therefore get XXH64 of their bytes.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 MULTIPLIER = 0xD1342543DE82EF95
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 CHUNK = 1 << 19
+LONG = 128
 
 _powers = {}
 
@@ -48,6 +51,7 @@ class Alphabet:
 
     values: np.ndarray
     word: np.ndarray
+    lower: bool
 
 
 def alphabet(separators: bytes, lower: bool) -> Alphabet:
@@ -57,7 +61,7 @@ def alphabet(separators: bytes, lower: bool) -> Alphabet:
     word = np.ones(256, bool)
     word[list(separators)] = False
     values = np.where(word, values, np.uint64(0))
-    return Alphabet(values, word)
+    return Alphabet(values, word, lower)
 
 
 #: ``[^\x20\x09-\x0D]+``
@@ -116,6 +120,18 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: Alphabet) -> np.ndarray:
+    """Hash of each stretch data[start:end]."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(letters.values[data] * powers(MULTIPLIER, n), out=sums[1:])
+    h = mixed((sums[end] - sums[start]) * powers(INVERSE, n + 1)[start])
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        raw = data[start[i] : end[i]].tobytes()
+        h[i] = xxhash.xxh64_intdigest(raw.lower() if letters.lower else raw)
+    return h
+
+
 def words(chunk: Chunk, letters: Alphabet) -> Words:
     data, offsets = chunk.data, chunk.offsets
     n = len(data)
@@ -132,9 +148,7 @@ def words(chunk: Chunk, letters: Alphabet) -> Words:
     edge = offsets[1:][offsets[1:] > 0] - 1
     stops[edge] = inside[edge]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(letters.values[data] * powers(MULTIPLIER, n), out=sums[1:])
-    h = mixed((sums[end] - sums[start]) * powers(INVERSE, n + 1)[start])
+    h = hashes(data, start, end, letters)
     return Words(h, start, end, np.searchsorted(start, offsets))
 
 
