@@ -53,14 +53,16 @@ def tallies(key: np.ndarray, n: np.ndarray, names: tuple[str, str]):
 
 
 def filter_bits(n: int, least: int = 20, most: int = 28) -> int:
-    """Size of a filter of n keys: eight bits a key, between bounds (32 MB at most)."""
+    """Size of a filter of n keys: eight bits a key, between bounds (2**28 are 32 MB)."""
     return (1 << min(max((8 * max(n, 1) - 1).bit_length(), least), most)) - 1
 
 
 def key_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     """Bitmap of ``key`` modulo ``bits``. A key that is not there may pass it; one that is there always does."""
     at = F.pmod(F.col(key), F.lit(bits))
-    made = keys.groupBy((F.floor(at / BUCKET)).cast("int").alias("b")).agg(F.bitmap_construct_agg(at % BUCKET).alias("m"))
+    # Dealt by bucket first: else every task would send a bitmap of its own.
+    dealt = keys.select(F.floor(at / BUCKET).cast("int").alias("b"), (at % BUCKET).alias("p")).repartition("b")
+    made = dealt.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     out = np.zeros((bits // BUCKET + 1) * BUCKET // 8, np.uint8)
     for r in made.toLocalIterator():
         out[r.b * (BUCKET // 8) : (r.b + 1) * (BUCKET // 8)] = np.frombuffer(r.m, np.uint8)
