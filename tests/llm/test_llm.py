@@ -82,6 +82,31 @@ def test_substrings(docs, texts):
     assert got == brute_rlz(texts) and sum(v[1] for v in got.values()) > 300
 
 
+def test_factors_are_copies_of_their_sources(docs, texts):
+    """A document is its literals and its factors, each a copy of words of a smaller document."""
+    factors = 0
+    for r in rlz_dedup.dedup_substrings(docs).collect():
+        w, end = spaced(texts[r.doc_id]), 0
+        rebuilt = list(w)
+        for f in r.factors:
+            assert f.first >= end and f.source < r.doc_id
+            end = f.first + f.length
+            rebuilt[f.first : end] = spaced(texts[f.source])[f.at : f.at + f.length]
+        assert rebuilt == w and sum(f.length for f in r.factors) == r.n_removed
+        factors += len(r.factors)
+    whole = {r.doc_id: r.factors for r in rlz_dedup.dedup_substrings(docs).where("doc_id = 61").collect()}[61]
+    n = len(spaced(texts[61]))
+    assert factors > 20 and (n < 13 or [(f.first, f.length, f.at) for f in whole] == [(0, n, 0)])
+
+
+def test_greedy_parse():
+    """A factor goes on while its source goes on; another source begins where it ends."""
+    one = lambda *rows: rlz_dedup.factor(*np.array([(lo << 4 | cnt, src, at) for lo, cnt, src, at in rows], np.int64).T, 13).tolist()
+    assert one((0, 3, 5, 40), (3, 9, 5, 43), (12, 1, 5, 52)) == [[0, 25, 5, 40]]
+    assert one((0, 3, 5, 40), (3, 9, 6, 7), (40, 2, 5, 80)) == [[0, 15, 5, 40], [15, 9, 6, 19], [40, 14, 5, 80]]
+    assert one((10, 9, 5, 40), (12, 1, 6, 0)) == [[10, 21, 5, 40]]
+
+
 def test_lines(docs, texts):
     keep = {}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UP)
