@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -278,6 +279,33 @@ def test_neighbours(spark):
     assert permutation_index.search(df.where("false"), F.col("id") % 10 == 0).count() == 0
 
 
+def test_recall_of_the_default(spark, monkeypatch):
+    """On sf0.1, by the defaults, over several shards and blocks of queries, against the exact search in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.llm.oracle import NEAREST
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(permutation_index, "SHARD", 800)
+    monkeypatch.setattr(permutation_index, "FEWEST", 400)
+    got = permutation_index.search(spark.read.parquet(path), F.col("id") % 100 == 0).collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    want = {(q, v): s for q, _, v, s in db.sql(NEAREST).fetchall()}
+    hits = [(r, want[r.query_id, r.vec_id]) for r in got if (r.query_id, r.vec_id) in want]
+    assert len(got) == len(want) == 200 and len(hits) >= 0.95 * len(want)
+    assert all(r.score == pytest.approx(s, rel=1e-12) for r, s in hits)
+
+
+def test_neighbours_of_each_length(spark):
+    """A length that few vectors have is searched too."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(4)]
+    got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(100, 1, 101), (100, 2, 102), (100, 3, 103)]
+
+
 def test_language_model(docs, texts):
     tokens = {i: spaced((t or "").translate(UP)) + [None] for i, t in texts.items()}
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2

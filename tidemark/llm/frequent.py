@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 STEPS = 64
 #: Bits of a bucket of a filter.
 BUCKET = 1 << 15
+#: Most keys that a join broadcasts.
+HOT = 1024
 
 
 def frequent(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, float]:
@@ -72,3 +74,14 @@ def key_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
 def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     at = keys % bits
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and says in ``n`` how many of ``rows`` have it.
+
+    Keys that a HOT-th of all rows or more have, of which there are at most HOT, are broadcast; their rows aren't shuffled.
+    """
+    least = F.lit(max(rows.count() / HOT, 1.0))
+    hot, rest = F.broadcast(table.where(F.col(n) >= least).drop(n)), table.where(F.col(n) < least).drop(n)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys)
+    return rows.join(hot, keys).unionByName(cold)

@@ -21,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import join_hot
 from .scratch import keep
 
-#: Most keys that are broadcast.
-HOT = 1024
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,22 +51,13 @@ def drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         common = hashed.groupBy("h1", "h2").agg(*sizes, F.count_distinct("_tm_id").alias("docs")).where(F.col("docs") >= min_docs)
     common = keep(common.select("h1", "h2", "keeper", "n"), "common")
     return (
-        _with_keeper(hashed, common)
+        join_hot(hashed, common, ["h1", "h2"], "n")
         .where(F.col("_tm_id") != F.col("keeper"))
         .groupBy("_tm_id", "_tm_th")
         .agg(F.concat(F.array(F.lit(-1)), F.sort_array(F.collect_set("pos")), F.array(F.lit(1 << 30))).alias("_tm_bounds"))
     )
 
 
-def _with_keeper(hashed: DataFrame, common: DataFrame) -> DataFrame:
-    """``hashed`` joined with its common keys. Keys that hold a HOT-th of all lines or more, of which there are at most HOT, are broadcast; their lines aren't shuffled."""
-    least = F.lit(max(hashed.count() / HOT, 1.0))
-    hot = F.broadcast(common.where(F.col("n") >= least).select("h1", "h2", "keeper"))
-    rest = common.where(F.col("n") < least).select("h1", "h2", "keeper")
-    cold = hashed.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])
-    return hashed.join(hot, ["h1", "h2"]).unionByName(cold)
-
-
 def kept_lines() -> Column:
     """The runs of lines between those that go, in order: linear in the number of lines."""
     at = lambda k: F.get(F.col("_tm_bounds"), k)

@@ -2,23 +2,26 @@
 
 A vector is represented by its nearest pivots in order. The index is made of
 shards: each holds some vectors and, for every pivot, an inverted file of the
-vectors that have it among their nearest, with its rank there. A query adds up,
-over the files of its own nearest pivots, what each shared pivot takes off the
-footrule distance between the two permutations; the best share of every shard
+vectors that have it among their NEAREST, with its rank there. The file of a
+pivot is thus spread over all shards, however popular the pivot is. A query
+visits the files of its own VISITED nearest pivots and adds up, by vector, what
+each shared pivot takes off the footrule distance between the two permutations;
+vectors in none of these files aren't looked at. The best share of every shard
 is reranked by exact distance in double precision, and the shards' best are
 merged.
 
 Pivots are a bounded sample (PIVOTS vectors in the order of a hash). Queries
-are broadcast in blocks of at most about QUERY_BLOCK, each against all shards.
-Of vectors that are equal in all components only the k + 1 smallest ids are
-posted: no other can be among k results of any query, as ties go to smaller
-ids.
+are taken in blocks of about QUERY_BLOCK: one block at a time is on the driver
+and broadcast, and what it finds is written before the next. Of vectors that are
+equal in all components only the k + 1 smallest ids are posted: no other can be
+among k results of any query, as ties go to smaller ids.
 
 Defined results: vectors that are null, empty, zero or hold a null or
-non-finite component take no part; nor do those of another length than most
-have (of equally frequent lengths, the smaller); rows that repeat id and vector
-count once; an id with several vectors counts by the nearest of them; a null id takes no part; an empty table, or one without queries,
-gives an empty result; further columns are ignored.
+non-finite component take no part; vectors of each length are an index of their
+own, as distance is defined between equal lengths only; rows that repeat id and
+vector count once; an id with several vectors counts by the nearest of them; a
+null id takes no part; an empty table, or one without queries, gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import discard, keep
 
-PIVOTS = 128
-NEAREST = 32
+PIVOTS = 512
+#: Pivots that a vector is posted under, and of a query that are visited.
+NEAREST = 64
+VISITED = 32
 SHARD = 4096
 QUERY_BLOCK = 4096
 #: Share of a shard that is reranked, and the fewest vectors of it.
-SHARE = 0.25
-FEWEST = 64
+SHARE = 0.15
+FEWEST = 1024
 
 
 def usable(vec: Column) -> Column:
@@ -50,6 +55,11 @@ def order(vecs: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :m].astype(np.int32)
 
 
+def footrule_saved(m: int, rank: int, ranks: np.ndarray) -> np.ndarray:
+    """Half of what a pivot at ``rank`` and at ``ranks`` takes off the footrule distance of two permutations cut at m."""
+    return m - np.maximum(ranks, rank)
+
+
 def _vectors(column, dim: int) -> np.ndarray:
     flat = column.flatten() if hasattr(column, "flatten") else column.values
     return np.asarray(flat, np.float64).reshape(-1, dim)
@@ -82,9 +92,9 @@ def _first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.sort(first)]
 
 
-def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share: float):
+def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, m: int, k: int, share: float):
     def run(batches):
-        m, dim = near.shape[1], qvecs.shape[1]
+        dim = qvecs.shape[1]
         for batch in batches:
             for r in range(batch.num_rows):
                 raw = [batch.column(c)[r].as_py() for c in range(5)]
@@ -99,7 +109,7 @@ def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share
                     saved = np.zeros(n, np.int32)
                     for rank, pivot in enumerate(near[q].tolist()):
                         a, b = bounds[pivot], bounds[pivot + 1]
-                        saved[rows[a:b]] += m - np.maximum(ranks[a:b], rank)
+                        saved[rows[a:b]] += footrule_saved(m, rank, ranks[a:b])
                     if best < n:
                         floor = np.partition(saved, n - best)[n - best]
                         sure = np.flatnonzero(saved > floor)
@@ -118,37 +128,39 @@ def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, k: int, share
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, nearest: int = NEAREST, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(
+    vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVOTS, nearest: int = NEAREST, visited: int = VISITED, share: float = SHARE, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where ``queries`` (over ``id``) holds, against every other row."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return empty
-    dim = common.d
-    rows = rows.where(F.size("vec") == dim)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for length in rows.select(F.size("vec").alias("d")).distinct().orderBy("d").collect():
+        for part in _search(rows.where(F.size("vec") == length.d), length.d, queries, k, pivots, nearest, visited, share):
+            found = found.unionByName(part)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, dim: int, queries: Column, k: int, pivots: int, nearest: int, visited: int, share: float):
+    """(query_id, vec_id, score) of each block of queries, among vectors of one length."""
+    asked = rows.where(queries).dropDuplicates(["id", "vec"])
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if not blocks:
+        return
     chosen = rows.groupBy("vec").agg(F.min("id").alias("id")).orderBy(F.xxhash64("vec"), "id").limit(pivots).collect()
     base = np.array([r.vec for r in chosen], np.float64)
     m = min(nearest, len(base))
     same = Window.partitionBy("vec").orderBy("id")
     classes = rows.withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= k + 1).select("id", "vec")
     index = keep(build(classes, base, m), "permutations")
-    asked = rows.where(queries).dropDuplicates(["id", "vec"])
-    total = asked.count()
-    parts = []
-    for b in range(-(-total // QUERY_BLOCK)):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // QUERY_BLOCK))) == b).collect()
-        block.sort(key=lambda r: r.id)
+    asked = keep(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
+    for b in range(blocks):
+        block = asked.where(F.col("block") == b).orderBy("id").collect()
         qvecs = np.array([r.vec for r in block], np.float64).reshape(-1, dim)
         qids = np.array([r.id for r in block], np.int64)
-        parts.append(index.mapInArrow(_lookup(qids, qvecs, order(qvecs, base, m), k, share), "query_id long, vec_id long, score double"))
-    if not parts:
-        return empty
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        run = _lookup(qids, qvecs, order(qvecs, base, min(visited, m)), m, k, share)
+        yield keep(index.mapInArrow(run, "query_id long, vec_id long, score double"), "neighbours")
+    discard(index)
+    discard(asked)

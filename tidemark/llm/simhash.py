@@ -3,7 +3,8 @@
 Fingerprints of 64 bits come from the XXH64 hashes of word shingles. Only
 distinct fingerprints are compared. By the pigeonhole principle two that
 differ in at most ``radius`` bits agree wholly in 2 of ``radius + 2`` bit blocks,
-so each fingerprint is dealt under every choice of two blocks. Within one deal the fingerprints are stored as 64 vertical bit planes;
+so each fingerprint is dealt under every choice of two blocks. The fingerprints
+of all deals of a batch, large or small, are stored as 64 vertical bit planes;
 one XOR of a plane compares 64 fingerprints at once, carry-save counters add
 the differing bits of all lanes, and a block of lanes is abandoned when every
 counter exceeds the radius.
@@ -15,9 +16,9 @@ is compared on all words. The links found are checked on the shingles
 themselves, and then every candidate between the pieces that checked links
 leave apart. This form has a stated recall, not a full one.
 
-A deal of more than TILE fingerprints is cut into tiles and compared tile by
-tile, in tasks of their own, so one very common block value never meets in one
-task. Inside a tile only the links that join separate pieces are passed on (by
+A deal of more than TILE fingerprints is dealt once more by its other bits; what
+is still larger is cut into tiles and compared tile by tile, in tasks of their
+own, so one very common block value never meets in one task. Inside a tile only the links that join separate pieces are passed on (by
 Jaccard similarity, in the first of two passes): the components stay whole and
 a group of g near copies sends fewer than g links. Components are found by contraction (graph.py).
 
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import lists
+from .frequent import join_hot
 from .graph import components
 from .scratch import keep
 
@@ -121,16 +123,16 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(queries: np.ndarray, sliced: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def within(queries: np.ndarray, sliced: np.ndarray, radius: int, query: np.ndarray | None = None, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, lane) where the lane's fingerprint differs from the query's in at most ``radius`` bits.
 
-    A cell is one query against one machine word of lanes; cells whose lanes all exceed the radius are abandoned.
+    A cell is one query against one machine word of lanes (all of them, or those given by ``query`` and ``word``);
+    cells whose lanes all exceed the radius are abandoned.
     """
     digits = radius.bit_length() + 1
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    n_words = sliced.shape[1]
-    query = np.repeat(np.arange(len(queries)), n_words)
-    word = np.tile(np.arange(n_words), len(queries))
+    if query is None:
+        query, word = np.repeat(np.arange(len(queries)), sliced.shape[1]), np.tile(np.arange(sliced.shape[1]), len(queries))
     count = np.zeros((digits, len(query)), np.uint64)
     over = np.zeros(len(query), np.uint64)
     limit = radius + 1
@@ -155,6 +157,34 @@ def within(queries: np.ndarray, sliced: np.ndarray, radius: int) -> tuple[np.nda
     return query[cell], word[cell] * LANES + lane
 
 
+def pairs_within(fps: np.ndarray, bounds: np.ndarray, side: np.ndarray, radius: int):
+    """Pairs (i, j), i < j, of one deal that differ in at most ``radius`` bits, in blocks. Deals lie between ``bounds``.
+
+    All deals share one set of planes, whatever their sizes; a row is compared
+    with the machine words that hold the later rows of its deal. Of a deal of two
+    sides, rows of side 1 come first and meet rows of side 2 only.
+    """
+    sliced = planes(fps)
+    stop = np.repeat(bounds[1:], np.diff(bounds))
+    asking = np.flatnonzero((np.arange(len(fps)) + 1 < stop) & (side <= 1))
+    first = (asking + 1) >> 6
+    cells = ((stop[asking] - 1) >> 6) - first + 1
+    upto = np.cumsum(cells)
+    at = 0
+    while at < len(asking):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELLS, "right")))
+        some, n = asking[at:to], cells[at:to]
+        query = np.repeat(np.arange(len(some)), n)
+        word = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)
+        q, j = within(fps[some], sliced, radius, query, word)
+        i = some[q]
+        good = (j > i) & (j < stop[i])
+        i, j = i[good], j[good]
+        good = (side[i] == 0) | (side[j] == 2)
+        yield i[good], j[good]
+        at = to
+
+
 class Forest:
     """Union by smallest index."""
 
@@ -176,98 +206,65 @@ class Forest:
         return True
 
 
-def links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, further: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Links that join separate pieces among the pairs of ``left`` x ``right`` (indexes into fps).
-
-    ``further``: more words of wide fingerprints, of which a link differs in at most ``most`` bits in all.
-    """
-    found, forest = [], Forest(len(fps))
-    n = len(right)
-    sliced = planes(fps[right]) if n > LANES else None
-    step = len(left) if sliced is None else max(1, CELLS // sliced.shape[1])
-    # Close pairs first, so that what joins two pieces is about the closest pair of them.
-    bounds = [most] if step >= len(left) or further is None else [most // 2, most]
-    for bound, at in [(x, y) for x in bounds for y in range(0, len(left), step)]:
-        some = left[at : at + step]
-        if sliced is None:
-            q, lane = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[right]) <= radius)
-        else:
-            q, lane = within(fps[some], sliced, radius)
-            q, lane = q[lane < n], lane[lane < n]
-        i, j = some[q], right[lane]
-        roots = np.array([forest.root(k) for k in range(len(fps))]) if found else np.arange(len(fps))
-        new = roots[i] != roots[j]
-        i, j = i[new], j[new]
-        if further is not None:
-            far = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64)
-            order = np.argsort(far, kind="stable")
-            order = order[: np.searchsorted(far[order], bound, "right")]
-            i, j = i[order], j[order]
-        found += [pair for pair in zip(i.tolist(), j.tolist(), strict=True) if forest.join(*pair)]
-    return found
-
-
-def pairs_apart(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, further: np.ndarray, most: int, piece: np.ndarray):
-    """Every pair of ``left`` x ``right`` of different pieces that differs in at most ``most`` bits, in blocks of (i, j)."""
-    sliced = planes(fps[right])
-    step = max(1, CELLS // sliced.shape[1])
-    twice = left is right
-    for at in range(0, len(left), step):
-        q, lane = within(fps[left[at : at + step]], sliced, radius)
-        q, lane = q[lane < len(right)], lane[lane < len(right)]
-        i, j = left[at + q], right[lane]
-        new = (piece[i] != piece[j]) & ((i < j) | (not twice))
-        i, j = i[new], j[new]
-        far = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64)
-        yield i[far <= most], j[far <= most]
+def joining(forest: Forest, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs, in order, that join pieces of the forest."""
+    nodes = np.unique(np.concatenate([i, j]))
+    roots = np.array([forest.root(k) for k in nodes.tolist()], np.int64)
+    new = roots[np.searchsorted(nodes, i)] != roots[np.searchsorted(nodes, j)]
+    return [pair for pair in zip(i[new].tolist(), j[new].tolist(), strict=True) if forest.join(*pair)]
 
 
 def _compare(radius: int, most: int = 0, apart: bool = False):
-    """Rows sorted by (key, tile): fp, id, key, tile, side, deal, further words. Side 0: both sides of the tile.
+    """Rows sorted by (deal, key, tile, side): fp, id, key, tile, side, deal, further words. Side 0: both sides of the tile.
 
+    ``most``: further words are compared too, and pairs differ in at most so many bits in all.
     ``apart``: the last column is the piece a row belongs to, and all pairs of different pieces are passed on.
     """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def whole(fps, ids, side, further):
-        left = np.flatnonzero(side <= 1) if side.any() else np.arange(len(fps))
-        right = np.flatnonzero(side == 2) if side.any() else left
-        if not apart:
-            found = np.array(links(fps, left, right, radius, further if most else None, most), np.int64).reshape(-1, 2)
-            yield ids[found]
+    def send(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+
+    def work(rows):
+        key = rows[:, [2, 3, 5]]
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        sizes = np.diff(np.concatenate([[0], cut, [len(rows)]]))
+        rows = rows[np.repeat(sizes > 1, sizes)]
+        if not len(rows):
             return
-        piece, further = further[:, -1], np.ascontiguousarray(further[:, :-1])
-        for i, j in pairs_apart(fps, left, right, radius, further, most, piece):
-            yield np.stack([ids[i], ids[j]], axis=1)
+        bounds = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
+        fps, ids, further = rows[:, 0].copy().view(np.uint64), rows[:, 1], np.ascontiguousarray(rows[:, 6:])
+        piece = further[:, -1] if apart else None
+        further = np.ascontiguousarray(further[:, :-1] if apart else further).view(np.uint64)
+        forest, out, n = Forest(len(rows)), [], 0
+        for i, j in pairs_within(fps, bounds, rows[:, 4], radius):
+            if most:
+                far = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(further[i] ^ further[j]).sum(axis=1, dtype=np.int64)
+                # Close pairs first, so that what joins two pieces is about the closest pair of them.
+                near = np.argsort(far, kind="stable")
+                near = near[: np.searchsorted(far[near], most, "right")]
+                i, j = i[near], j[near]
+            if apart:
+                new = piece[i] != piece[j]
+                pairs = np.stack([i[new], j[new]], axis=1)
+            else:
+                pairs = np.array(joining(forest, i, j), np.int64).reshape(-1, 2)
+            out.append(ids[pairs])
+            n += len(pairs)
+            if n >= SENT:
+                yield send(np.concatenate(out))
+                out, n = [], 0
+        if n:
+            yield send(np.concatenate(out))
 
     def run(batches):
         held: list[np.ndarray] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def work(rows):
-            cut = np.flatnonzero((rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3]) | (rows[1:, 5] != rows[:-1, 5])) + 1
-            bounds = np.concatenate([[0], cut, [len(rows)]])
-            out, n = [np.zeros((0, 2), np.int64)], 0
-            for k in np.flatnonzero(np.diff(bounds) > 1):
-                g = rows[bounds[k] : bounds[k + 1]]
-                for pairs in whole(g[:, 0].copy().view(np.uint64), g[:, 1], g[:, 4], np.ascontiguousarray(g[:, 6:]).view(np.uint64)):
-                    out.append(pairs)
-                    n += len(pairs)
-                    if n >= SENT:
-                        yield send(out)
-                        out, n = [], 0
-            if out:
-                yield send(out)
-
-        def send(out):
-            pairs = np.concatenate(out)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
             rows = np.concatenate([*held, rows]) if held else rows
-            same = (rows[:, 2] == rows[-1, 2]) & (rows[:, 3] == rows[-1, 3]) & (rows[:, 5] == rows[-1, 5])
+            same = (rows[:, [2, 3, 5]] == rows[-1, [2, 3, 5]]).all(axis=1)
             tail = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
             held = [rows[tail:]]
             if tail:
@@ -279,11 +276,26 @@ def _compare(radius: int, most: int = 0, apart: bool = False):
 
 
 def near_links(reps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(a, b): ids of distinct fingerprints within the radius, enough to give whole components. reps: fp, id."""
+    """(a, b): ids of distinct fingerprints within the radius, enough to give whole components. reps: fp, id.
+
+    A deal of more than ``tile`` is dealt once more: its fingerprints differ in
+    the other bits only, so two within the radius agree in one of radius + 1 parts of these.
+    """
     chosen = masks(radius)
     deals = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(chosen)])
     dealt = reps.select("fp", "id", F.explode(deals).alias("d")).select("fp", "id", "d.m", "d.key")
-    return _compared(dealt, [], _compare(radius), tile)
+    crowded = dealt.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("m", "key", F.lit(True).alias("_crowded"))
+    parts = F.array(*[F.array(*[F.lit(_signed(x)) for x in rest_of(m, radius + 1)]) for m in chosen])
+    again = F.transform(F.get(parts, F.col("m")), lambda x, i: F.struct((F.col("m") + (i + 1) * len(chosen)).cast("int").alias("m"), F.xxhash64("key", F.col("fp").bitwiseAND(x)).alias("key")))
+    once = F.array(F.struct("m", "key"))
+    dealt = dealt.join(crowded, ["m", "key"], "left").select("fp", "id", F.explode(F.when(F.col("_crowded"), again).otherwise(once)).alias("d"))
+    return _compared(dealt.select("fp", "id", "d.m", "d.key"), [], _compare(radius), tile)
+
+
+def rest_of(mask: int, parts: int) -> list[int]:
+    """The bits that are not in the mask, cut in parts."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * i // parts : len(bits) * (i + 1) // parts]) for i in range(parts)]
 
 
 def _signed(m: int) -> int:
@@ -310,7 +322,7 @@ def _compared(dealt: DataFrame, further: list[str], compare, tile: int) -> DataF
         *further,
     )
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "m", "key", "tile").sortWithinPartitions("m", "key", "tile")
+    dealt = dealt.repartition(n, "m", "key", "tile").sortWithinPartitions("m", "key", "tile", "side")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -362,10 +374,10 @@ def similar_links(reps: DataFrame, n: int, similarity: float, tile: int = TILE)
 def near_components(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     made = keep(fingerprints(docs, width), "fingerprints")
-    reps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    roots = components(near_links(reps, radius))
-    classes = reps.join(roots, "id", "left").select(F.col("fp"), F.coalesce("root", "id").alias("component_id"))
-    return made.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    reps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
+    roots = components(near_links(reps.select("fp", "id"), radius))
+    classes = reps.join(roots, "id", "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
+    return join_hot(made, keep(classes, "components"), ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -400,8 +412,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5)
     """
     names = ["fp", *FURTHER]
     made = keep(wide_fingerprints(docs, width), "fingerprints")
-    reps = keep(made.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
-    n = reps.count()
+    sized = keep(made.groupBy(*names).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
+    reps, n = sized.drop("n"), sized.count()
 
     def checked(rows: DataFrame) -> DataFrame:
         pairs = similar_links(rows, n, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -410,8 +422,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5)
     first = checked(reps)
     pieces = keep(reps.join(components(first), "id", "left").select(*names, "id", F.coalesce("root", "id").alias("piece")), "pieces")
     roots = components(first.unionByName(checked(pieces)))
-    classes = reps.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return made.join(classes, names).select("doc_id", "component_id")
+    classes = sized.join(roots, "id", "left").select(*names, "n", F.coalesce("root", "id").alias("component_id"))
+    return join_hot(made, keep(classes, "components"), names, "n").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
