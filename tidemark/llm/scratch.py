@@ -6,6 +6,7 @@ running, never a recomputation of what came before the table.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -47,5 +48,11 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done: it does when the driver drops their plans, at some time or now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
