@@ -318,14 +318,31 @@ def test_language_model(docs, texts):
 
 
 def test_lbl_normalised_and_learns():
+    """Probabilities of all tokens sum to one for any context; a token that follows from the one before is learned."""
     rng = np.random.default_rng(0)
-    two, one = rng.integers(1, 40, 20000), rng.integers(1, 40, 20000)
-    gram = (two * log_bilinear.CLASSES + one) * log_bilinear.CLASSES + (one * 3 % 40)
-    g, n = np.unique(gram, return_counts=True)
-    model = log_bilinear.train(g, n.astype(float), steps=800)
-    logs = model.log10(np.arange(log_bilinear.CLASSES**2)[::37])
-    assert np.allclose((10**logs).sum(axis=1), 1)
-    assert model.log10(two[:200] * log_bilinear.CLASSES + one[:200])[np.arange(200), one[:200] * 3 % 40].mean() > -1.0
+    counts = np.sort(rng.zipf(1.3, 600).clip(1, 5000))[::-1].astype(float)
+    shape = log_bilinear.shape_of(counts)
+    assert shape.bounds[-1] == shape.tokens == 600 and len(shape.bounds) > 20
+    one, two = rng.integers(0, 600, 40000), rng.integers(0, 600, 40000)
+    follows = rng.permutation(600)
+    number = np.where(rng.random(40000) < 0.9, follows[one], rng.integers(0, 600, 40000))
+    p = log_bilinear.start(shape)
+    for nth in range(4):
+        p, times = log_bilinear.train(p, shape, two, one, number, rng, 60, 0.1)
+    some = np.repeat(np.arange(5), 600)
+    logs = log_bilinear.log_probabilities(p, shape, two[some], one[some], np.tile(np.arange(600), 5))
+    assert np.allclose(np.exp(logs).reshape(5, 600).sum(axis=1), 1, atol=1e-4)
+    gain = log_bilinear.log_probabilities(p, shape, two[:3000], one[:3000], number[:3000]).mean() - np.log(1 / 600)
+    assert gain > 1.0
+
+
+def test_language_model_beats_the_base_on_held_out_text(spark):
+    """Text of pairs that go together: held-out texts are likelier by the model than by shares of tokens."""
+    rng = np.random.default_rng(0)
+    pairs = [(f"a{i}", f"b{i}") for i in range(40)]
+    rows = [(i, " ".join(x for k in rng.integers(0, 40, 60) for x in pairs[k])) for i in range(300)]
+    got = log_bilinear.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()
+    assert len(got) > 20 and sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
 def brute_kneser_ney(texts, order):
