@@ -4,6 +4,8 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -250,6 +252,45 @@ def test_licenses(docs, texts):
     assert got[64].n_words == 0 and got[64].labels == "" and got[0].first_word is None
 
 
+def fuzzy(text, notice, most):
+    """Whether ``notice`` stands in ``text`` with at most ``most`` edits: Sellers' table."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for ch in text:
+        new = [0]
+        for j, x in enumerate(notice, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (ch != x)))
+        row = new
+        best = min(best, row[-1])
+    return best <= most
+
+
+def test_licenses_against_brute_force(spark):
+    """All columns: base places by words, labels by an edit table over the whole text, on notices with few and too many edits."""
+    rng = np.random.default_rng(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    texts = {0: None, 1: "", 2: "MIT license mit LICENSE, the Apache-License; general public\nlicense", 3: "mit é license"}
+    for i, (notice, _) in enumerate(license_scan.NOTICES.items()):
+        for edits in range(0, len(notice) // license_scan.CHARS_PER_EDIT + 3):
+            w = list(notice)
+            for k in rng.choice(len(w) - 2, edits, replace=False) + 1:
+                w[k] = ["", letters[int(rng.integers(26))], w[k] + letters[int(rng.integers(26))]][int(rng.integers(3))]
+            texts[100 * (i + 1) + edits] = "some Words, " + "".join(w) + " and more"
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in texts.items():
+        w, r = alnum(t), got[i]
+        at = [(p, label) for phrase, label in license_scan.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        places = [p for p, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(places, default=None), max(places, default=None))
+        base = {label for _, label in at}
+        found = {label for notice, label in license_scan.NOTICES.items() if fuzzy(" ".join(w), notice, len(notice) // license_scan.CHARS_PER_EDIT)}
+        assert r.base_labels == ",".join(sorted(base))
+        mine = {s.label for s in r.spans}
+        # A span that a better one overlaps isn't reported; its text is near the other notice.
+        assert mine <= found and (set(r.labels.split(",")) - {""}) == base | mine and (mine or not found)
+        assert r.score == 1.0 if at else (0 < r.score <= 1.0) == bool(mine)
+
+
 def test_notices_before_a_better_one():
     notice = license_scan.Notice("released under the mit license", "mit")
     assert notice.search(b"released under the mitt license released under the mit license") == [(0, 31, 1), (32, 62, 0)]
@@ -447,6 +488,9 @@ def test_toxicity_learns_words(spark):
     got = {r.doc_id: r for r in toxicity.scores(df, marks).collect()}
     assert all(got[i].predicted == (i % 4 == 0) for i in range(300)) and got[900].predicted == 0
     assert b"asty" in rows[4][1].encode()[got[4].worst_begin : got[4].worst_end] or b"vile" in rows[4][1].encode()[got[4].worst_begin : got[4].worst_end + 6]
+    for i in range(300):
+        spans = [rows[i][1].encode()[x.begin : x.end].lower() for x in got[i].offending]
+        assert (len(spans) > 0 and all(b"asty" in x or b"vile" in x for x in spans)) if i % 4 == 0 else not spans
     assert {r.score for r in toxicity.scores(df, marks.where("false")).collect()} == {0.0}
 
 
@@ -524,3 +568,39 @@ def test_pipeline(spark, tmp_path, docs, labels):
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and 68 not in ids and 61 not in ids
     assert {"rate", "copies"} <= set(out.columns)
+
+
+ALONE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def here(_):
+    try:
+        import tidemark
+        return [1]
+    except ImportError:
+        return [0]
+
+assert spark.sparkContext.parallelize([1], 1).mapPartitions(here).collect() == [0]
+from tidemark.llm.queries import QUERIES
+for name, query in QUERIES.items():
+    print(name, query(spark, {tables!r}).count())
+import corpus_pipeline
+print("pipeline", corpus_pipeline.run(spark, {tables!r}).count())
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """All queries, where workers can't import the package."""
+    tables, root = "/root/testdata/sf0.001", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if not os.path.isdir(tables):
+        pytest.skip("no test tables")
+    script = tmp_path / "alone.py"
+    script.write_text(ALONE.format(root=root, tables=tables))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len(done.stdout.split()) == 22

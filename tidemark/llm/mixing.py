@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     marks = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     marks = marks.select("doc_id", F.concat(F.lit("q"), F.col("q").cast("string"), F.lit("t"), F.col("t").cast("string")).alias("domain"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = texts.select("doc_id", F.octet_length("text").alias("n")).join(marks, "doc_id")
+    sized = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).join(marks, "doc_id")
     shares = sorted((r.domain, r["count"]) for r in sized.groupBy("domain").count().collect())
     if not shares:
         return Classifier(["all"], np.zeros((1, FEATURES)), np.zeros(1))
@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
                 room -= r.n or 0
                 chosen.setdefault(r.doc_id, j)
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
-    table = texts.join(F.broadcast(ids), "doc_id", "left_semi").toArrow()
+    # Of rows that repeat an id, the smallest text.
+    table = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
     table = table.sort_by("doc_id")
     doc, feature, _ = features(table["text"].combine_chunks())
     return fit(doc, feature, np.array([chosen[d] for d in table["doc_id"].to_pylist()]), names, prior)
@@ -116,10 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, tokens, posteriors."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))
 
     def run(batches):
-        known = shared.value
+        known = Classifier(*shared.value)
         for batch in batches:
             n = batch.num_rows
             if not n:

@@ -30,6 +30,8 @@ SAMPLE = 6000
 #: ... and the most bytes of text that they may have together.
 SAMPLE_BYTES = 48 << 20
 EPOCHS = 160
+#: Score from which a sentence of a toxic document is reported.
+OFFENDS = 0.5
 #: A word has a weight if this share of the training documents holds it, three of them at least.
 SUPPORT = 0.003
 ENDS = np.zeros(256, bool)
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.octet_length("text").alias("n"))
     order = F.xxhash64(F.col("doc_id"))
-    ranked = texts.select("doc_id", "n").join(marks, "doc_id").withColumn("o", order)
+    ranked = texts.groupBy("doc_id").agg(F.max("n").alias("n")).join(marks, "doc_id").withColumn("o", order)
     picked = None
     for kind in (0, 1):
         part = ranked.where(F.col("toxic") == kind).orderBy("o", "doc_id").limit(sample)
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long") if chosen else None
     if ids is None:
         return None
-    table = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").toArrow().combine_chunks()
+    # Of rows that repeat an id, the smallest text.
+    table = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).toArrow().combine_chunks()
     found = table["doc_id"].to_pylist()
     at = {d: i for i, d in enumerate(found)}
     keep = sorted(at.values(), key=lambda i: found[i])
@@ -157,12 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_sentences, worst_begin, worst_end (bytes of the worst sentence), worst_score."""
+    """doc_id, held_out, score, predicted, n_sentences, worst_begin, worst_end (bytes of the worst sentence), worst_score, offending.
+
+    ``offending``: the sentences of score OFFENDS or more, in order (bytes, score); none in a clean document.
+    """
     model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.weights, model.bias))
 
     def run(batches):
-        known = shared.value
+        known = shared.value and Model(*shared.value)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -174,11 +180,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p, s = known.documents(b, n), known.sentences(b)
             order = np.lexsort((b.begin, -s, b.document))
             first = order[np.searchsorted(b.document[order], np.arange(n))]
+            bad = np.flatnonzero((s >= OFFENDS) & (p[b.document] >= OFFENDS))
+            bad = bad[np.lexsort((b.begin[bad], b.document[bad]))]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(b.document[bad], minlength=n))]).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(b.begin[bad]), pa.array(b.end[bad]), pa.array(s[bad])], ["begin", "end", "score"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p), pa.array(np.bincount(b.document, minlength=n)), pa.array(b.begin[first]), pa.array(b.end[first]), pa.array(s[first])],
-                ["doc_id", "score", "n_sentences", "worst_begin", "worst_end", "worst_score"],
+                [batch.column(0), pa.array(p), pa.array(np.bincount(b.document, minlength=n)), pa.array(b.begin[first]), pa.array(b.end[first]), pa.array(s[first]), pa.ListArray.from_arrays(pa.array(edges), spans)],
+                ["doc_id", "score", "n_sentences", "worst_begin", "worst_end", "worst_score", "offending"],
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id long, score double, n_sentences long, worst_begin long, worst_end long, worst_score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_begin", "worst_end", "worst_score")
+    scored = docs.mapInArrow(run, "doc_id long, score double, n_sentences long, worst_begin long, worst_end long, worst_score double, offending array<struct<begin:long,end:long,score:double>>")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst_begin", "worst_end", "worst_score", "offending")
