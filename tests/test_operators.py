@@ -46,6 +46,40 @@ def test_store(spark, tmp_path):
         s.update("t", spark.createDataFrame([("x", 9, 0)], "user_id string, k int, v int"), ["user_id", "k"], ["v"])
 
 
+def test_a_killed_writer_loses_nothing(spark, tmp_path, monkeypatch):
+    """Death before, in and after the log entry: what was committed holds, and the next writer goes on from it."""
+    s = store.Store(spark, f"file://{tmp_path}")
+    rows = lambda *v: spark.createDataFrame([(x, x) for x in v], "k int, v int")
+    s.replace("t", rows(*range(50)))
+    monkeypatch.setattr(store.Store, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        s.replace("t", rows(99))
+    monkeypatch.undo()
+    assert s.read("t").count() == 50
+    (tmp_path / "_log" / f"{2:020d}.json").write_text('{"tables": {"t": ["t/')
+    assert s.read("t").count() == 50
+    seen = s.read("t")
+    assert s.upsert("t", rows(49, 50), ["k"]).count() == 51 and seen.count() == 50
+    s.append("t", rows(51))
+    assert s.read("t").count() == 52 and len(s.current("t")) == 2
+    since = s.state()
+    s.append("t", rows(52))
+    with pytest.raises(RuntimeError):
+        s.commit({"t": None}, since)
+    s.vacuum(1)
+    assert s.read("t").count() == 53 and store.Store(spark, f"file://{tmp_path}").names() == ["t"]
+
+
+def test_ids_without_gap(spark, tmp_path):
+    """Wide rows, many partitions, ties, over two appends."""
+    s = store.Store(spark, f"file://{tmp_path}")
+    rows = spark.range(40_000).select((F.col("id") % 500).alias("k"), *[F.md5((F.col("id") * i).cast("string").cast("binary")).alias(f"c{i}") for i in range(8)])
+    s.append("t", rows, "k", "n")
+    got = s.append("t", rows.limit(1000), "k", "n")
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.count("n")).first()[:] == (41_000, 1, 41_000, 41_000)
+    assert got.where("n <= 40000").selectExpr("count_if(k <> floor((n - 1) / 80))").first()[0] == 0
+
+
 def sample(spark):
     rows = [("acc", i, i, f"a long enough text number {i}", ["en"], "reply" if i % 2 else "original", None, 1, 1, 0.5 if i % 4 == 1 else 0.05) for i in range(12)]
     return spark.createDataFrame(rows, "account_id string, uri long, seq long, text string, langs array<string>, post_kind string, parent_uri long, likes int, reposts int, score double")

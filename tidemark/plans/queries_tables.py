@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import store
+from ..sources.scratch import shared_dir
 from .base import table
 from .catalog import query
 
@@ -43,7 +46,7 @@ def partial_update(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) + 500 AS id, o_orderkey FROM orders")
 def batch_append_ids(spark, sf_dir):
-    return store.with_ids(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "id", 500)
+    return store.with_ids(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "id", 500, shared_dir(spark) + "/ids")
 
 
 @query("SELECT * FROM nation WHERE NOT (n_regionkey = 2)")
@@ -59,3 +62,38 @@ def account_by_handle(spark, sf_dir):
 @query("SELECT count(*) FILTER (o_orderstatus = 'O') AS pending, count(DISTINCT o_custkey) AS accounts, count(*) > 0 AS any FROM orders")
 def queue_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("pending"), F.count_distinct("o_custkey").alias("accounts"), (F.count("*") > 0).alias("any"))
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id, l_orderkey, l_linenumber, md5(l_comment_like) AS payload FROM (SELECT *, l_returnflag || l_linestatus || l_shipdate::VARCHAR AS l_comment_like FROM lineitem)")
+def append_wide_rows(spark, sf_dir):
+    """Appended in two parts: the second's ids go on from the first's."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    half = rows.agg(F.percentile_approx("key", 0.5)).first()[0]
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    s.append("lines", rows.where(F.col("key") <= half), "key", "id")
+    got = s.append("lines", rows.where(F.col("key") > half), "key", "id")
+    said = F.concat("l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    return got.select("id", "l_orderkey", "l_linenumber", F.md5(said.cast("binary")).alias("payload"))
+
+
+@query("SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE)::VARCHAR AS skipped_on FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def skips_newest_first(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+    return o.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("skipped_on"))
+
+
+@query("SELECT * FROM (SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey <> 7) UNION ALL SELECT c_custkey, 'paired anew', c_nationkey FROM customer WHERE c_nationkey = 7 AND c_custkey % 2 = 0")
+def pairs_of_one_target_replaced(spark, sf_dir):
+    """All pairs of a target go, and its new ones come, in one commit."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    s.replace("pairs", c)
+    return s.replace_rows("pairs", c.where("c_nationkey = 7 and c_custkey % 2 = 0").withColumn("c_name", F.lit("paired anew")), c_nationkey=7)
+
+
+@query("SELECT 'account_scores' AS name, count(*) FILTER (c_acctbal >= 0) AS n FROM customer UNION ALL SELECT 'events', count(*) FROM events")
+def store_copied(spark, sf_dir):
+    a, b = (store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}") for _ in range(2))
+    a.replace_all({"account_scores": table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("score")), "events": table(spark, sf_dir, "events")})
+    a.copy_to(b, ["account_scores", "events", "labels"])
+    return b.read("account_scores").agg(F.lit("account_scores").alias("name"), F.count("*").alias("n")).unionByName(b.read("events").agg(F.lit("events").alias("name"), F.count("*").alias("n")))

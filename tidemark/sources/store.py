@@ -1,22 +1,27 @@
-"""Tables in folders, with upserts written aside and swapped in.
-
-Every write goes to a new version folder; a small pointer file is replaced
-last, so a job that dies leaves the old version in place and readers never see
-half a table.
+"""Tables in folders, with every change committed by a numbered log entry.
+
+Rows are written to a folder of their own first. A commit then adds one small
+file to the log, which names the folders of every table of the store; the
+highest complete entry holds. Entries and folders are only added, so a job that
+dies at any point leaves what was committed, a reader goes on with the folders it
+has begun to read, and several tables change together. ``vacuum`` deletes what
+older entries held, once nobody reads it any more.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
 
 def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row a key: the last by ``order``."""
+    """One row a key: the last by ``order``; without one, as tables have no order, the largest of a key's rows."""
     if order is None:
-        return rows.dropDuplicates(keys)
+        return rows.groupBy(*keys).agg(F.max(F.struct(*[c for c in rows.columns if c not in keys] or keys)).alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in rows.columns])
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_r"))
     return best.select("_r.*")
 
@@ -71,7 +76,7 @@ def record_verdicts(queue: DataFrame, verdicts: DataFrame, keys: list[str]) -> D
 
 
 class Store:
-    """Named tables under one folder."""
+    """Named tables under one folder that all executors reach."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -81,28 +86,72 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def current(self, name: str) -> str | None:
-        if not self.fs.exists(self._path(name, "CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
+    def _entries(self) -> list[str]:
+        if not self.fs.exists(self._path("_log")):
+            return []
+        return sorted((x.getPath().getName() for x in self.fs.listStatus(self._path("_log")) if x.getPath().getName().endswith(".json")), reverse=True)
+
+    def state(self) -> tuple[int, dict[str, list[str]]]:
+        """(number of the highest complete entry, folders of each table). An entry whose writer died in it is passed over."""
+        for name in self._entries():
+            text = self.spark.read.text(f"{self.root}/_log/{name}", wholetext=True).first()
+            try:
+                return int(name.split(".")[0]), json.loads(text[0] if text else "")["tables"]
+            except json.JSONDecodeError:
+                continue
+        return 0, {}
+
+    def commit(self, changes: dict[str, list[str] | None], since: tuple[int, dict[str, list[str]]]) -> None:
+        """One more entry: ``since`` with the folders of the changed tables (None: no longer there). Fails if another writer was faster."""
+        number, tables = since
+        tables = {k: v for k, v in {**tables, **changes}.items() if v is not None}
+        taken = self._entries()
+        following = max(number, int(taken[0].split(".")[0]) if taken else 0) + 1
+        if self.state()[0] != number:
+            raise RuntimeError("another writer changed the store; read again")
+        try:
+            out = self.fs.create(self._path("_log", f"{following:020d}.json"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError("another writer changed the store; read again") from e
+        out.write(bytearray(json.dumps({"tables": tables}).encode()))
+        out.close()
+
+    def write(self, name: str, rows: DataFrame, *partition_by: str) -> str:
+        """Rows in a folder that no entry names yet."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        rows.write.partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
+        return folder
+
+    def current(self, name: str) -> list[str] | None:
+        return self.state()[1].get(name)
+
+    def names(self) -> list[str]:
+        return sorted(self.state()[1])
 
     def read(self, name: str) -> DataFrame:
-        version = self.current(name)
-        if version is None:
+        folders = self.current(name)
+        if folders is None:
             raise LookupError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        out = self.spark.read.parquet(f"{self.root}/{folders[0]}")
+        for f in folders[1:]:
+            out = out.unionByName(self.spark.read.parquet(f"{self.root}/{f}"), allowMissingColumns=True)
+        return out
+
+    def get(self, name: str, **key) -> DataFrame:
+        """The rows of one key; a table that isn't there is an error, a key that isn't gives no rows."""
+        out = self.read(name)
+        for column, value in key.items():
+            out = out.where(F.col(column).eqNullSafe(F.lit(value)))
+        return out
 
     def replace(self, name: str, rows: DataFrame, *partition_by: str) -> DataFrame:
-        old, version = self.current(name), uuid.uuid4().hex
-        rows.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{version}")
-        out = self.fs.create(self._path(name, f"CURRENT.{version}"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self.fs.delete(self._path(name, "CURRENT"), False)
-        self.fs.rename(self._path(name, f"CURRENT.{version}"), self._path(name, "CURRENT"))
-        if old:
-            self.fs.delete(self._path(name, old), True)
-        return self.read(name)
+        return self.replace_all({name: rows}, *partition_by)[name]
+
+    def replace_all(self, tables: dict[str, DataFrame], *partition_by: str) -> dict[str, DataFrame]:
+        """Several tables in one commit: all of them change, or none."""
+        since = self.state()
+        self.commit({name: [self.write(name, rows, *partition_by)] for name, rows in tables.items()}, since)
+        return {name: self.read(name) for name in tables}
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
         if self.current(name) is None:
@@ -116,31 +165,82 @@ class Store:
             raise LookupError(f"{name} lacks a row to update")
         return self.replace(name, update_columns(old, rows, keys, columns))
 
-    def delete(self, name: str, where: str) -> DataFrame:
-        return self.replace(name, self.read(name).where(f"not coalesce(({where}), false)"))
+    def delete(self, name: str, where: Column) -> DataFrame:
+        return self.replace(name, self.read(name).where(~F.coalesce(where, F.lit(False))))
 
     def delete_user(self, user_id: str, names: list[str]) -> None:
-        for name in names:
-            if self.current(name):
-                self.delete(name, f"user_id = '{user_id}'")
+        """The user's rows of all these tables, in one commit."""
+        there = [n for n in names if self.current(n)]
+        if there:
+            self.replace_all({n: self.read(n).where(~F.col("user_id").eqNullSafe(F.lit(user_id))) for n in there})
+
+    def replace_rows(self, name: str, rows: DataFrame, **key) -> DataFrame:
+        """The rows of one key are deleted and ``rows`` put in their place, in one commit."""
+        if self.current(name) is None:
+            return self.replace(name, rows)
+        match = F.lit(True)
+        for column, value in key.items():
+            match = match & F.col(column).eqNullSafe(F.lit(value))
+        return self.replace(name, self.read(name).where(~match).unionByName(rows))
 
     def append(self, name: str, rows: DataFrame, order: str | None = None, id_col: str | None = None) -> DataFrame:
-        """With ``id_col`` new rows get ids that go on from the largest, in ``order``."""
-        old = self.read(name) if self.current(name) else None
+        """Another folder for the new rows; what is there isn't rewritten. With ``id_col`` they get ids that go on from the largest, in ``order``."""
+        since = self.state()
+        old = since[1].get(name, [])
         if id_col:
-            rows = with_ids(rows, order, id_col, (old.agg(F.max(id_col)).first()[0] or 0) if old is not None else 0)
-        return self.replace(name, rows if old is None else old.unionByName(rows))
-
+            last = (self.read(name).agg(F.max(id_col)).first()[0] or 0) if old else 0
+            rows = with_ids(rows, order, id_col, last, f"{self.root}/_staged")
+        self.commit({name: [*old, self.write(name, rows)]}, since)
+        return self.read(name)
 
-def with_ids(rows: DataFrame, order: str, id_col: str, last: int) -> DataFrame:
-    """Consecutive ids in ``order``, from sorted partitions and their sizes; no single task holds all rows."""
-    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    def copy_to(self, other: Store, names: list[str], scores: str = "account_scores") -> list[str]:
+        """Tables that are there, as one commit of the other store; of ``scores`` only rows that have a score of 0 or more."""
+        there = [n for n in names if self.current(n)]
+        rows = {n: self.read(n).where("score >= 0") if n == scores else self.read(n) for n in there}
+        if there:
+            other.replace_all(rows)
+        return there
+
+    def count(self, name: str) -> int:
+        return self.read(name).count() if self.current(name) else 0
+
+    def vacuum(self, keep_entries: int = 10) -> None:
+        """Delete entries before the last ``keep_entries``, and folders of tables that no kept entry names. Not while others write."""
+        kept = self._entries()[:keep_entries]
+        used = set()
+        for name in kept:
+            text = self.spark.read.text(f"{self.root}/_log/{name}", wholetext=True).first()
+            try:
+                used |= {f for folders in json.loads(text[0] if text else "")["tables"].values() for f in folders}
+            except json.JSONDecodeError:
+                continue
+        if not used:
+            return
+        for name in self._entries()[keep_entries:]:
+            self.fs.delete(self._path("_log", name), False)
+        for table in self.fs.listStatus(self._path()):
+            name = table.getPath().getName()
+            if not name.startswith("_"):
+                for folder in self.fs.listStatus(table.getPath()):
+                    if f"{name}/{folder.getPath().getName()}" not in used:
+                        self.fs.delete(folder.getPath(), True)
+
+
+def with_ids(rows: DataFrame, order: str, id_col: str, last: int, folder: str) -> DataFrame:
+    """Consecutive ids from ``last`` + 1 in ``order``; no single task holds all rows.
+
+    The sorted rows are written once, under ``folder``, with their partition and
+    place in it; sizes are counted and ids given over what is written.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     placed = placed.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    sizes = dict(placed.groupBy("_p").count().collect())
-    before, at = {}, last
-    for p in sorted(sizes):
-        before[p], at = at, at + sizes[p]
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
-    if offset is None:
-        return rows.withColumn(id_col, F.lit(None).cast("long"))
-    return placed.withColumn(id_col, (offset[F.col("_p")] + F.col("_i") + 1).cast("long")).drop("_p", "_i")
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    placed = spark.read.parquet(path)
+    before, at = [], last
+    for r in placed.groupBy("_p").count().orderBy("_p").collect():
+        before.append((r["_p"], at))
+        at += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(before, "_p int, _before long"))
+    return placed.join(offsets, "_p").withColumn(id_col, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
