@@ -3,8 +3,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.stopwords import stop_words
 from tidemark.operators import events, posts, topics, verdicts
-from tidemark.plans import phases, report
+from tidemark.plans import amplification, context, phases, report, sweep
 from tidemark.sources import records, store
 from tidemark.streaming import limits
 
@@ -130,3 +131,95 @@ def test_early_exit_and_split(spark):
     clean, rest = verdicts.split_clean(p)
     assert (clean.count(), rest.count()) == (9, 3)
     assert posts.early_exit(p.where("post_kind = 'original'"), F.lit(0.1)).first().early_exit
+
+
+def test_one_bad_text_costs_its_own_score_only(spark):
+    def score(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no score")
+        return [0.25] * (len(texts) + (len(texts) > 2))
+
+    assert verdicts.one_by_one(score, []) == []
+    assert verdicts.one_by_one(score, ["a", "bad", "b"]) == [0.25, None, 0.25]
+    assert verdicts.one_by_one(score, ["a", "b", "c"]) == [0.25] * 3
+    rows = spark.createDataFrame([(1, "a", 9.0), (2, "bad one", 9.0), (3, None, 9.0), (4, "d", 9.0)], "uri int, text string, score double").repartition(2)
+    got = {r.uri: r.score for r in verdicts.clean_pass(rows, score, batch=3).collect()}
+    assert got == {1: 0.25, 2: None, 3: None, 4: 0.25}
+    assert verdicts.clean_pass(rows.where("false"), score).count() == 0
+
+
+def test_drain_in_batches_and_recovery(spark, tmp_path):
+    """Batches until none is pending; rows without a verdict are asked for again once, by recovery; then the account is skipped."""
+    p, s = sample(spark), store.Store(spark, f"file://{tmp_path}")
+    other = p.withColumns({"account_id": F.lit("mute"), "uri": F.col("uri") + 100})
+    both = p.unionByName(other)
+    seen = []
+
+    def classify(rows):
+        seen.append(sorted(r.uri for r in rows.collect()))
+        return rows.withColumn("toxic_token", F.when(F.col("uri") < 100, True)).withColumn("confidence", F.lit(0.9))
+
+    overlap = spark.createDataFrame([("acc", 0.0), ("mute", 0.0)], "account_id string, overlap double")
+    got = phases.run(s, both, both.select("uri", "text"), overlap, both.select("account_id").where("false"), classify, batch=2)
+    assert [r.account_id for r in got.collect()] == ["acc"] and [r.account_id for r in s.read("scan_skips").collect()] == ["mute"]
+    assert [len(x) for x in seen] == [2, 2, 2, 2, 1] and seen[3] + seen[4] == [101, 105, 109]
+    s.replace("queue", s.read("queue").withColumn("status", F.lit("pending")))
+    before = len(seen)
+    assert not phases.drain(s, classify, 2, lambda n: False) and len(seen) == before
+
+
+def test_topic_sweep(spark):
+    none = spark.createDataFrame([], "account_id string")
+    people = spark.createDataFrame([("a",), ("b",), ("b",)], "account_id string")
+
+    def search(k, n):
+        if k == "down":
+            raise OSError("search failed")
+        return people
+
+    found, failed = sweep.topic_sweep(["x", "down"], search, spark.createDataFrame([("a",)], "account_id string"))
+    assert [r.account_id for r in found.collect()] == ["b"] and failed == ["down"]
+    with pytest.raises(RuntimeError):
+        sweep.topic_sweep(["down"], search, none)
+    assert sweep.topic_sweep([], search, none)[0].count() == 0
+
+
+def test_events_recorded_once(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}")
+    kind = "amplifier string, post string, event_type string, uri string, ts timestamp"
+    rows = [("a", "p", "like", "1", DAY0), ("a", "p", "like", "2", DAY0 + timedelta(1)), ("a", "p", "quote", "3", DAY0 + timedelta(2))]
+    assert [r.uri for r in amplification.record(s, spark.createDataFrame(rows, kind)).orderBy("event_id").collect()] == ["1", "3"]
+    more = [("a", "p", "like", "9", DAY0), ("b", "p", "like", "4", DAY0 + timedelta(3))]
+    assert [(r.event_id, r.uri) for r in amplification.record(s, spark.createDataFrame(more, kind)).orderBy("event_id").collect()] == [(1, "1"), (2, "3"), (3, "4")]
+
+
+def test_contexts_by_gate(spark):
+    """Direct pairs of amplifiers; inferred ones only of accounts at Watch or more."""
+    first = spark.createDataFrame([("amp", 1.0), ("watch", 8.0), ("low", 7.9)], "account_id string, score double")
+    direct = spark.createDataFrame([("amp", "mine", "yours")], "account_id string, original string, response string")
+    targets = spark.createDataFrame([("watch", 1, "t", [1.0, 0.0]), ("low", 2, "t", [1.0, 0.0])], "account_id string, target_id int, text string, a array<double>")
+    mine = spark.createDataFrame([(1, "near", [1.0, 0.1]), (2, "far", [0.0, 1.0])], "mine_id int, text string, b array<double>")
+    score = lambda pairs: pairs.withColumn("hostility", F.when(F.col("original") == "near", 0.5).otherwise(0.25))
+    got = {r.account_id: r.context for r in context.contexts(first, direct, targets, mine, score).collect()}
+    assert got == {"amp": 0.25, "watch": 0.5}
+
+
+def test_fingerprint_and_stop_words(spark):
+    words = set(stop_words())
+    assert {"the", "really", "getting", "went", "repost"} <= words and "climate" not in words and len(words) == len(stop_words())
+    rows = [("a", i, f"the climate really warms number{i} and the reefs", "original") for i in range(16)] + [("a", 99, "reply words", "reply")]
+    posts_ = spark.createDataFrame(rows, "account_id string, uri int, text string, post_kind string")
+    made, mean = topics.fingerprint(posts_, spark.createDataFrame([(i, [float(i), 1.0]) for i in range(16)], "uri int, vector array<double>"))
+    r = made.collect()
+    assert all(x.post_count == 16 for x in r) and "climate" in {w for x in r for w in x.keywords} and not {"the", "really", "words"} & {w for x in r for w in x.keywords}
+    assert list(mean.first()["mean"]) == [7.5, 1.0]
+
+
+def test_lines_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x\ty")], "k int, v string")
+    for kind in ("jsonl", "tsv"):
+        records.write_lines(rows, f"file://{tmp_path}/{kind}", kind)
+    assert spark.read.json(f"file://{tmp_path}/jsonl").first()["v"] == "x\ty"
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/tsv").count() == 1
+    with pytest.raises(ValueError):
+        records.write_lines(rows, str(tmp_path), "xml")

@@ -68,3 +68,9 @@ def user_label(raw: Column) -> Column:
     """The label in lower case; null for any other word."""
     low = F.lower(raw)
     return F.when(low.isin(LABELS), low)
+
+
+def bounded(value: Column, default: int, low: int, high: int) -> Column:
+    """A setting as a whole number between its bounds; the default where it is missing or no number."""
+    number = F.coalesce(F.try_to_number(F.trim(value), F.lit("S999999999")).cast("long"), F.lit(default))
+    return F.least(F.greatest(number, F.lit(low)), F.lit(high))

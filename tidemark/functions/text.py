@@ -73,6 +73,11 @@ def envelope(parent: Column, reply: Column) -> Column:
     return F.when(parent.isNull(), reply).otherwise(F.concat(F.lit("[Parent post]: "), parent, F.lit("\n\n[Reply]: "), reply))
 
 
+def scrubbed_envelope(parent: Column, reply: Column) -> Column:
+    """The envelope of texts without addresses and names of persons."""
+    return envelope(scrub_pii(parent), scrub_pii(reply))
+
+
 def premise(original: Column, response: Column) -> Column:
     return F.concat(F.lit("Original: "), original, F.lit(" Response: "), response)
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine, mean_vector
 
@@ -30,7 +31,7 @@ def best_match(targets: DataFrame, mine: DataFrame, most: int = MOST) -> DataFra
     for k in range(blocks):
         block = mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("mine_id"), F.lit(blocks)) == k)
         rows = sorted(block.select("mine_id", F.col("b").cast("array<double>").alias("b")).collect(), key=lambda r: r.mine_id, reverse=True)
-        pairs = targets.select("target_id", F.col("a").cast("array<double>").alias("a")).mapInArrow(_best(rows), out)
+        pairs = targets.select("target_id", F.col("a").cast("array<double>").alias("a")).mapInArrow(_best(rows, to_arrow_type(mine.schema["mine_id"].dataType)), out)
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return targets.select("target_id", mine_none(mine), F.lit(0.0).alias("similarity")).where("false")
@@ -58,7 +59,7 @@ def _unit(vecs: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _best(rows: list):
+def _best(rows: list, kind: pa.DataType):
     ids, mine = [r.mine_id for r in rows], _unit([r.b for r in rows])
 
     def run(batches):
@@ -73,12 +74,20 @@ def _best(rows: list):
                 # Rounded, so that equal vectors tie whatever order their sums are taken in.
                 near = np.clip(near, 0, 1).round(12)
                 first = near.argmax(axis=1)
-                chosen = pa.array([ids[k] for k in first.tolist()])
+                chosen = pa.array([ids[k] for k in first.tolist()], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), chosen, pa.array(near[np.arange(len(first)), first])], ["target_id", "mine_id", "similarity"])
 
     return run
 
 
+def top_by_mean(targets: DataFrame, mine: DataFrame, n: int = 3, key: str = "account_id") -> DataFrame:
+    """The n targets of each account nearest to the mean of mine; ties to the smaller id. targets: key, target_id, a."""
+    mean = mean_vector(mine, "b").select("mean")
+    scored = targets.crossJoin(F.broadcast(mean)).select(*targets.columns, cosine(F.col("a"), F.col("mean")).alias("similarity"))
+    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "target_id")
+    return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def nearest_to_mean(targets: DataFrame, mine: DataFrame, n: int = 3) -> DataFrame:
     """The n targets nearest to the mean of mine; ties to the smaller id."""
     mean = mean_vector(mine, "b").select("mean")

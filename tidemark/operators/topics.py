@@ -6,17 +6,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stopwords import stop_words
 from ..functions.text import clean_post, meaningful
+from ..functions.vectors import mean_vector
+from .posts import fingerprint_posts
 
 
-def keywords(posts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, uri, word: meaningful words of the cleaned posts, repeats kept.
+def keywords(posts: DataFrame, text: str, *keys: str, stop: list[str] | None = None) -> DataFrame:
+    """keys, uri, word: words of the cleaned posts but stop words, repeats kept.
 
     The outer form of explode, as the optimizer adds a filter to the plain one
-    that cleans every text a second time; its null rows aren't meaningful.
+    that cleans every text a second time; its null rows are no words.
     """
     words = posts.select(*keys, "uri", F.explode_outer(F.split(F.lower(clean_post(F.col(text))), " ")).alias("word"))
-    return words.where(meaningful(F.col("word")))
+    return words.where((F.coalesce("word", F.lit("")) != "") & ~F.col("word").isin(stop_words() if stop is None else stop))
 
 
 def word_counts(words: DataFrame, *keys: str) -> DataFrame:
@@ -29,7 +32,7 @@ def _of_posts(words: DataFrame, *keys: str) -> DataFrame:
 
 
 def tf_idf(words: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The n words of highest tf * (ln((1 + N) / (1 + df)) + 1) of each key; N: its posts.
+    """The n first meaningful words among the 2n of highest tf * (ln((1 + N) / (1 + df)) + 1) of each key; N: its posts that have words.
 
     Both counts come from one shuffle, which the second reuses.
     """
@@ -38,8 +41,11 @@ def tf_idf(words: DataFrame, n: int, *keys: str) -> DataFrame:
     counts = word_counts(words, *keys)
     joined = counts.join(docs, list(keys)) if keys else counts.crossJoin(F.broadcast(docs))
     scored = joined.withColumn("score", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "word")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*keys, "word", "tf", "df", "score", "rank")
+    # Scores are compared rounded, so that equal ones tie whatever order their parts were worked out in.
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "word")
+    twice = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2 * n).where(meaningful(F.col("word")))
+    again = Window.partitionBy(*keys).orderBy("_r")
+    return twice.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= n).select(*keys, "word", "tf", "df", "score", "rank")
 
 
 def co_occurrence(words: DataFrame, top: DataFrame, *keys: str) -> DataFrame:
@@ -103,3 +109,21 @@ def top_keywords(made: DataFrame, key: str = "account_id", n: int | None = None)
     w = Window.partitionBy(key).orderBy(F.desc("weight"), "cluster")
     out = found.select(key, F.row_number().over(w).alias("position"), "keyword")
     return out if n is None else out.where(F.col("position") <= n)
+
+
+def fingerprint(posts: DataFrame, vectors: DataFrame | None = None, n: int = 40, most: int = 7, key: str = "account_id") -> tuple[DataFrame, DataFrame | None]:
+    """(clusters of each account, its mean vector): what is stored of an account's own posts.
+
+    posts: account_id, uri, text, post_kind; originals only where there are
+    enough of them. vectors: uri, vector. An account without keywords gets no
+    clusters, and without vectors no mean.
+    """
+    chosen = fingerprint_posts(posts, key=key)
+    words = keywords(chosen, "text", key)
+    top = tf_idf(words, n, key)
+    made = clusters(top, co_occurrence(words, top, key), most, key=key)
+    counted = chosen.groupBy(key).agg(F.count("*").alias("post_count"))
+    made = made.join(counted, key)
+    if vectors is None:
+        return made, None
+    return made, mean_vector(chosen.select(key, "uri").join(vectors, "uri"), "vector", key)

@@ -4,12 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scoring
 
 Classifier = Callable[[DataFrame], DataFrame]
+#: Scores of a batch of texts, one for each and in their order.
+BatchScorer = Callable[[list[str]], list[float]]
+
+
+def one_by_one(score: BatchScorer, texts: list[str]) -> list[float | None]:
+    """Scores of the batch; if it fails or returns another number of them, of each text alone, null where that fails too."""
+    if not texts:
+        return []
+    try:
+        found = list(score(texts))
+        if len(found) == len(texts):
+            return found
+    except Exception:  # noqa: BLE001
+        pass
+    out: list[float | None] = []
+    for t in texts:
+        try:
+            single = list(score([t]))
+            out.append(single[0] if len(single) == 1 else None)
+        except Exception:  # noqa: BLE001
+            out.append(None)
+    return out
+
+
+def clean_pass(rows: DataFrame, score: BatchScorer, text: str = "text", batch: int = 64) -> DataFrame:
+    """``rows`` with ``score``: one bad text costs its own score only, not its batch's nor its account's. Null texts have none."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            there = [i for i, t in enumerate(texts) if t is not None]
+            found: list[float | None] = [None] * len(texts)
+            for at in range(0, len(there), batch):
+                part = there[at : at + batch]
+                for i, s in zip(part, one_by_one(score, [texts[i] for i in part]), strict=True):
+                    found[i] = None if s is None or s != s else float(s)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
+
+    rows = rows.drop("score")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def split_clean(scored: DataFrame, threshold: float = scoring.CLEAN) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +76,17 @@ def complete(queue: DataFrame, key: str = "account_id") -> DataFrame:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """One row of counters over verdicts a and b of the same rows, null where a backend failed."""
+    """One row of counters over verdicts a and b of the same rows, null where a backend failed.
+
+    With columns ``label`` (toxic or clean) and ``ms_a``, ``ms_b``, how many of
+    the labelled rows each gets right, and their mean latency, are given too.
+    """
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    more = []
+    if "label" in pairs.columns:
+        want = F.when(F.col("label") == "toxic", True).when(F.col("label") == "clean", False)
+        more += [F.count(want).alias("labelled"), *[F.count_if(F.col(x) == want).alias(f"{x}_right") for x in ("a", "b")]]
+    more += [F.avg(F.when(F.col(x).isNotNull(), F.col(f"ms_{x}"))).alias(f"mean_ms_{x}") for x in ("a", "b") if f"ms_{x}" in pairs.columns]
     n = F.count_if(both)
     return pairs.agg(
         F.count("*").alias("total"),
@@ -47,9 +98,15 @@ def compare(pairs: DataFrame) -> DataFrame:
         F.count_if(both & F.col("a") & ~F.col("b")).alias("only_a"),
         F.count_if(both & ~F.col("a") & F.col("b")).alias("only_b"),
         F.when(n > 0, F.count_if(both & (F.col("a") == F.col("b"))) / F.nullif(n, F.lit(0))).otherwise(0.0).alias("agreement"),
+        *more,
     )
 
 
+def disagreements(pairs: DataFrame) -> DataFrame:
+    """Rows on which a and b differ; a failed backend differs from none."""
+    return pairs.where(F.col("a") != F.col("b"))
+
+
 def gate(pairs: DataFrame, least: int = 50, agreement: float = 0.85) -> DataFrame:
     c = compare(pairs)
     return c.select("both_ok", "agreement", ((F.col("both_ok") >= least) & (F.col("agreement") >= agreement)).alias("passed"))

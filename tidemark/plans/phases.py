@@ -42,6 +42,33 @@ def burst(queue: DataFrame, classify: verdicts.Classifier) -> DataFrame:
     return S.record_verdicts(queue, judged, ["account_id", "uri"])
 
 
+def drain(store: S.Store, classify: verdicts.Classifier, batch: int | None = None, spend: Callable[[int], bool] = lambda n: True) -> bool:
+    """Batches of pending rows judged, each committed, until none is left; a killed drain goes on with what is pending.
+
+    ``spend`` is asked before each batch of n rows; if it says no the drain ends
+    early and False is returned. A row that the classifier gives no verdict is
+    asked for once in a drain.
+    """
+    asked = None
+    while True:
+        queue = store.read("queue")
+        waiting = queue.where("status = 'pending'")
+        if asked is not None:
+            waiting = waiting.join(asked, ["account_id", "uri"], "left_anti")
+        if batch:
+            waiting = waiting.orderBy("account_id", "uri").limit(batch)
+        waiting = store.replace("burst_batch", waiting.select(queue.columns))
+        n = waiting.count()
+        if not n:
+            return True
+        if not spend(n):
+            return False
+        judged = classify(waiting).select("account_id", "uri", "toxic_token", "confidence").where("toxic_token is not null")
+        store.replace("queue", S.record_verdicts(queue, judged, ["account_id", "uri"]))
+        done = waiting.select("account_id", "uri")
+        asked = store.append("burst_asked", done) if asked is not None else store.replace("burst_asked", done)
+
+
 def finalize(queue: DataFrame, overlap: DataFrame, pile_on: DataFrame, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scores of complete accounts, skipped accounts)."""
     state = verdicts.complete(queue)
@@ -52,16 +79,33 @@ def finalize(queue: DataFrame, overlap: DataFrame, pile_on: DataFrame, posts: Da
     return ranking.account_scores(rows, overlap, pile_on), skipped
 
 
-def run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame, pile_on: DataFrame, classify: verdicts.Classifier, stop_after: str | None = None) -> DataFrame | None:
-    """Go on from the stored marker. An unknown marker fails. ``stop_after`` ends early, for tests."""
+def recover(store: S.Store, accounts: DataFrame, posts: DataFrame, texts: DataFrame, classify: verdicts.Classifier, batch: int | None = None) -> None:
+    """One pass for accounts that lack verdicts: their rows are cleared, gathered anew and judged. Whoever still lacks some stays skipped."""
+    again = gather(posts.join(accounts, "account_id", "left_semi"), texts)
+    kept = store.read("queue").join(accounts, "account_id", "left_anti")
+    store.replace("queue", kept.unionByName(again))
+    drain(store, classify, batch)
+
+
+def not_assessed(posts: DataFrame) -> DataFrame:
+    """Terminal rows of accounts whose posts are mostly in languages that can't be assessed: no score, a tier of their own."""
+    gate = P.assess(posts).where("outcome = 'NotAssessed'")
+    return gate.select("account_id", F.lit("NotAssessed").alias("tier"), F.lit(None).cast("double").alias("score"), (F.col("assessable") + F.col("unassessable")).alias("posts_analyzed"))
+
+
+def run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame, pile_on: DataFrame, classify: verdicts.Classifier, stop_after: str | None = None, batch: int | None = None) -> DataFrame | None:
+    """Go on from the stored marker. An unknown marker fails. ``stop_after`` ends early, for tests.
+
+    Accounts that lack verdicts after the burst are gathered and judged once more.
+    """
     spark = posts.sparkSession
     marker = store.read("scan_state").first()["value"] if store.current("scan_state") else PHASES[0]
     if marker not in PHASES:
         raise ValueError(f"unknown phase {marker!r}")
     steps: dict[str, Callable[[], object]] = {
         "gather": lambda: store.replace("queue", S.enqueue(store.read("queue"), gather(posts, texts), ["account_id", "uri"]) if store.current("queue") else gather(posts, texts)),
-        "burst": lambda: store.replace("queue", burst(store.read("queue"), classify)),
-        "finalize": lambda: [store.replace(n, t) for n, t in zip(("account_scores", "scan_skips"), finalize(store.read("queue"), overlap, pile_on, posts), strict=True)],
+        "burst": lambda: drain(store, classify, batch),
+        "finalize": lambda: _finalized(store, overlap, pile_on, posts, texts, classify, batch),
     }
     for phase, following in zip(PHASES, PHASES[1:], strict=False):
         if PHASES.index(marker) <= PHASES.index(phase):
@@ -70,3 +114,12 @@ def run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame,
             if phase == stop_after:
                 return None
     return store.read("account_scores")
+
+
+def _finalized(store: S.Store, overlap: DataFrame, pile_on: DataFrame, posts: DataFrame, texts: DataFrame, classify: verdicts.Classifier, batch: int | None) -> None:
+    lacking = verdicts.complete(store.read("queue")).where("not complete").select("account_id")
+    lacking = store.replace("lacking", lacking)
+    if not lacking.isEmpty():
+        recover(store, lacking, posts, texts, classify, batch)
+    scored, skipped = finalize(store.read("queue"), overlap, pile_on, posts)
+    store.replace_all({"account_scores": scored, "scan_skips": skipped})

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, vectors
+from ..functions.stopwords import stop_words
+from ..functions.text import meaningful
 from ..operators import nearest, topics, verdicts
 from ..operators import posts as P
 from . import ranking
 from .base import POSTS, posts, table
 from .catalog import query
 
-SCORES = (
-    "WITH "
-    + POSTS
-    + """, g AS (
+AFTER_POSTS = """, g AS (
   SELECT account_id, count(*) AS n,
     count(*) FILTER (post_kind = 'original') AS no0, count(*) FILTER (post_kind = 'reply') AS nr, count(*) FILTER (post_kind = 'quote') AS nq,
     count(*) FILTER (post_kind = 'reply' AND is_toxic) AS tr, count(*) FILTER (post_kind <> 'reply' AND is_toxic) AS tot,
@@ -33,7 +32,7 @@ SCORES = (
 ), scores AS (
   SELECT *, CASE WHEN score >= 35 THEN 'High' WHEN score >= 15 THEN 'Elevated' WHEN score >= 8 THEN 'Watch' ELSE 'Low' END AS tier FROM s
 ) """
-)
+SCORES = "WITH " + POSTS + AFTER_POSTS
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +48,34 @@ def threat_ranking(spark, sf_dir):
     return s.select("account_id", F.col("n_posts").alias("posts_analyzed"), F.round("toxicity", 6).alias("toxicity"), F.round("overlap", 6).alias("overlap"), F.round("score", 5).alias("threat_score"), "tier")
 
 
+SIGNALS = (
+    "WITH " + POSTS + AFTER_POSTS[: AFTER_POSTS.index(", b AS (")]
+    + """, x AS (SELECT *, CAST(substr(account_id, 4) AS INTEGER) AS num FROM h), y AS (
+  SELECT *, num % 3 = 0 AS pile, CASE num % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.2 WHEN 2 THEN 0.6 END AS ctx,
+    CASE num % 5 WHEN 0 THEN 0.6 WHEN 1 THEN 0.8 WHEN 2 THEN 0.9 WHEN 3 THEN 1.2 ELSE 1.0 END AS dist,
+    CASE WHEN overlap < 0.15 THEN least(tox * 25, 25) ELSE least(tox * 70 * (1 + overlap * 1.5), 100) END AS base FROM x
+), z AS (
+  SELECT *, 1 + 0.20 * q + 0.15 * r + CASE WHEN pile THEN 0.15 ELSE 0 END AS boost, q < 0.15 AND r < 0.30 AND NOT pile AND eng > med AS benign FROM y
+), v AS (
+  SELECT *, CASE WHEN benign AND coalesce(ctx, 0) < 0.5 THEN least(base, 12) ELSE least(base * boost, 100) END AS behav,
+    CASE WHEN benign AND ctx >= 0.5 THEN NULL ELSE ctx END AS ctx_left FROM z
+) SELECT account_id, benign, round(least(behav * (1 + 0.5 * coalesce(ctx_left, 0)) * dist, 100), 5) AS score FROM v"""
+)
+
+
+@query(SIGNALS)
+def threat_with_signals(spark, sf_dir):
+    """Pile-on, context and distance all at work."""
+    p = posts(spark, sf_dir)
+    overlap = p.groupBy("account_id").agg((F.count_if(F.col("lang") == "en") / F.count("*")).alias("overlap"))
+    n = F.substring("account_id", 4, 10).cast("int")
+    every = p.select("account_id").distinct()
+    names = F.create_map(*[F.lit(x) for kv in enumerate(["Mutual follow", "Follows you", "You follow", "Stranger"]) for x in kv])
+    context = every.select("account_id", F.when(n % 4 == 0, 0.9).when(n % 4 == 1, 0.2).when(n % 4 == 2, 0.6).alias("context"))
+    s = ranking.account_scores(p, overlap, every.where(n % 3 == 0), context, every.select("account_id", names[n % 5].alias("graph_distance")))
+    return s.select("account_id", "benign", F.round("score", 5).alias("score"))
+
+
 @query(SCORES + "SELECT count(*) FILTER (tier = 'High') AS high, count(*) FILTER (tier = 'Elevated') AS elevated, count(*) FILTER (tier = 'Watch') AS watch, count(*) FILTER (tier = 'Low') AS low, CAST(0 AS BIGINT) AS not_assessed, CAST(0 AS BIGINT) AS insufficient, count(*) AS total FROM scores")
 def tier_histogram(spark, sf_dir):
     return verdicts.histogram(scores(spark, sf_dir))
@@ -243,7 +270,7 @@ def word_rows(spark, sf_dir):
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '@[\\w.]+', ' ', 'g'), '[^\\p{L} ]', ' ', 'g'), '\\s+', ' ', 'g'))"
-WORDS = "WITH " + POSTS + f", w AS (SELECT account_id, uri, unnest(string_split(lower({CLEAN}), ' ')) AS word FROM posts WHERE lang = 'en'), k AS (SELECT * FROM w WHERE strlen(word) >= 3 AND regexp_matches(word, '\\p{{L}}')) "
+WORDS = "WITH " + POSTS + f", w AS (SELECT account_id, uri, unnest(string_split(lower({CLEAN}), ' ')) AS word FROM posts WHERE lang = 'en'), k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN (" + ", ".join(f"'{x}'" for x in stop_words()) + ")) "
 
 
 @query("WITH " + POSTS + f" SELECT uri, md5({CLEAN}) AS cleaned FROM posts")
@@ -253,14 +280,15 @@ def clean_text(spark, sf_dir):
     return posts(spark, sf_dir).select("uri", F.md5(clean_post(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-@query(WORDS + "SELECT word, count(*) AS tf, count(DISTINCT uri) AS df FROM k GROUP BY word")
+@query(WORDS + "SELECT word, count(*) AS tf, count(DISTINCT uri) AS df FROM k WHERE strlen(word) >= 3 AND regexp_matches(word, '\\p{L}') GROUP BY word")
 def keyword_counts(spark, sf_dir):
-    return topics.word_counts(word_rows(spark, sf_dir))
+    return topics.word_counts(word_rows(spark, sf_dir).where(meaningful(F.col("word"))))
 
 
 TOP = WORDS + """, n AS (SELECT account_id, count(DISTINCT uri) AS docs FROM k GROUP BY 1), c AS (SELECT account_id, word, count(*) AS tf, count(DISTINCT uri) AS df FROM k GROUP BY 1, 2),
-s AS (SELECT c.*, round(tf * (ln((1 + docs) / (1 + df)::DOUBLE) + 1), 6) AS score FROM c JOIN n ON c.account_id = n.account_id),
-top AS (SELECT account_id, word, score FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY score DESC, word) AS r FROM s) WHERE r <= 40) """
+s AS (SELECT c.*, tf * (ln((1 + docs) / (1 + df)::DOUBLE) + 1) AS score FROM c JOIN n ON c.account_id = n.account_id),
+twice AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY round(score, 9) DESC, word) AS r2 FROM s) WHERE r2 <= 80 AND strlen(word) >= 3 AND regexp_matches(word, '\\p{L}')),
+top AS (SELECT account_id, word, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY r2) AS r FROM twice) WHERE r <= 40) """
 
 
 @query(TOP + "SELECT * FROM top")

@@ -9,7 +9,6 @@ from ..operators import discovery, topics
 from ..operators import posts as P
 from ..sources import records
 from ..streaming import limits
-from . import phases
 from .base import EVENTS, POSTS, events, posts, table
 from .catalog import query
 from .queries_scalar import ITEMS, items
@@ -197,20 +196,13 @@ def display_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.byte_size(c).alias("size"), *shown)
 
 
-@query()
-def rate_limited(spark, sf_dir):
-    e = events(spark, sf_dir).select(F.col("amplifier").cast("string").alias("key"), "ts")
-    return limits.limited_batch(e, 5, 86400)
-
-
-def _by_number(rows):
-    return rows.withColumn("toxic_token", F.col("uri") % 2 == 0).withColumn("confidence", F.col("score"))
+RATE = """WITH RECURSIVE """ + EVENTS + """, e AS (SELECT CAST(amplifier AS VARCHAR) AS key, event_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY amplifier ORDER BY ts, event_id) AS n FROM ev),
+r AS (SELECT key, n, ts, t AS start, 1 AS used FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, e.ts, CASE WHEN e.t >= r.start + 86400 THEN e.t ELSE r.start END, CASE WHEN e.t >= r.start + 86400 THEN 1 ELSE r.used + 1 END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, CAST(round(epoch(ts)) AS BIGINT) AS at, count(*) FILTER (used <= 5) AS allowed, count(*) AS asked FROM r GROUP BY 1, 2"""
 
 
-@query()
-def phased_scan(spark, sf_dir):
-    p = posts(spark, sf_dir)
-    queue = phases.burst(phases.gather(p, p.select("uri", "text")), _by_number)
-    overlap = p.groupBy("account_id").agg((F.count_if(F.col("lang") == "en") / F.count("*")).alias("overlap"))
-    scored, _ = phases.finalize(queue, overlap, p.select("account_id").where("false"), p)
-    return scored.select("account_id", F.round("score", 5).alias("score"), "tier")
+@query(RATE)
+def rate_limited(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.col("amplifier").cast("string").alias("key"), "ts")
+    made = limits.limited_batch(e, 5, 86400)
+    return made.groupBy("key", F.round(F.col("ts").cast("double")).cast("long").alias("at")).agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("asked"))

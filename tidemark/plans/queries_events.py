@@ -13,7 +13,10 @@ from .catalog import query
 EV, FO = "WITH " + EVENTS, "WITH " + FOLLOWS
 
 
-@query(EV + " SELECT DISTINCT b.amplifier FROM ev b JOIN (SELECT a.post, a.t FROM (SELECT DISTINCT post, t FROM ev) a JOIN ev c ON c.post = a.post AND c.t BETWEEN a.t - 86400 AND a.t GROUP BY a.post, a.t HAVING count(DISTINCT c.amplifier) >= 5) e ON b.post = e.post AND b.t BETWEEN e.t - 86400 AND e.t")
+PILED = "SELECT DISTINCT b.amplifier FROM {0} b JOIN (SELECT a.post, a.t FROM (SELECT DISTINCT post, t FROM {0}) a JOIN {0} c ON c.post = a.post AND c.t BETWEEN a.t - 86400 AND a.t GROUP BY a.post, a.t HAVING count(DISTINCT c.amplifier) >= 5) e ON b.post = e.post AND b.t BETWEEN e.t - 86400 AND e.t"
+
+
+@query(EV + " " + PILED.format("ev"))
 def pile_on_participants(spark, sf_dir):
     return E.pile_on(events(spark, sf_dir))
 

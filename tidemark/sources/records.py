@@ -41,3 +41,48 @@ def json_number(column: Column, path: str) -> Column:
 def json_array(column: Column, element: str) -> Column:
     kind = f"array<{element}>"
     return F.coalesce(F.from_json(column, kind), F.array().cast(kind))
+
+
+JOB = "id string, status string, error string, output array<struct<toxic: boolean, confidence: double>>"
+ATTRIBUTES = "attributeScores map<string, struct<summaryScore: struct<value: double>>>"
+DID_DOCUMENT = "service array<struct<id: string, type: string, serviceEndpoint: string>>"
+
+
+def job_state(raw: Column) -> Column:
+    """What a job's envelope says: its status, and what to do (done, wait, retry, failed). One that can't be parsed has failed."""
+    job = F.from_json(raw, JOB)
+    status = job["status"]
+    todo = (
+        F.when((status == "COMPLETED") & job["output"].isNotNull(), "done")
+        .when(status.isin("IN_QUEUE", "IN_PROGRESS"), "wait")
+        .when(status == "TIMED_OUT", "retry")
+        .otherwise("failed")
+    )
+    return F.struct(job["id"].alias("id"), status.alias("status"), todo.alias("todo"), F.coalesce(F.size(job["output"]), F.lit(0)).alias("outputs"))
+
+
+def attribute_score(raw: Column, name: str) -> Column:
+    """The summary score of an attribute; 0 where the response lacks it."""
+    return F.coalesce(F.get(F.transform(F.filter(F.map_entries(F.from_json(raw, ATTRIBUTES)["attributeScores"]), lambda e: e["key"] == name), lambda e: e["value"]["summaryScore"]["value"]), 0), F.lit(0.0))
+
+
+def service_endpoint(raw: Column, kind: str = "#atproto_pds") -> Column:
+    """Endpoint of the first service of that id or type in an identity document; null without one."""
+    services = F.from_json(raw, DID_DOCUMENT)["service"]
+    return F.get(F.filter(services, lambda x: x["id"].endswith(kind) | (x["type"] == kind)), 0)["serviceEndpoint"]
+
+
+def exported(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the named columns as JSON text."""
+    return rows.withColumns({c: F.to_json(c) for c in columns})
+
+
+def write_lines(rows: DataFrame, path: str, kind: str = "jsonl") -> None:
+    """Rows as JSON lines or as tab-separated values with a header."""
+    if kind not in ("jsonl", "tsv"):
+        raise ValueError(f"unknown kind {kind!r}")
+    writer = rows.write.mode("errorifexists")
+    if kind == "jsonl":
+        writer.json(path)
+    else:
+        writer.option("sep", "\t").option("header", True).csv(path)
