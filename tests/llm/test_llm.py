@@ -220,7 +220,7 @@ def test_bit_slices_and_tiles(spark, tile):
     assert [forest.root(i) for i in range(len(fps))] == [truth.root(i) for i in range(len(fps))]
 
 
-def test_decontamination(spark, docs, texts):
+def test_decontamination(spark, docs, texts, monkeypatch):
     tests = [(1, " ".join(alnum(texts[42])[4:18])), (2, "apache license"), (3, None), (10, texts[69][5000:5200]), (11, "x x x x x x x x x x x"), (None, "word1")]
     want = {}
     for i, t in texts.items():
@@ -235,6 +235,7 @@ def test_decontamination(spark, docs, texts):
                         items.add(str(k))
         want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
     table = spark.createDataFrame(tests, "item_id long, text string")
+    monkeypatch.setattr(positional_index, "SHARD", 700)
     for block in (1 << 20, 100):
         found = positional_index.search(docs, table, block_bytes=block)
         assert {r.doc_id: (r.n_words, len(r.hits), len(r.items)) for r in found.collect()} == {i: v[:3] for i, v in want.items()}

@@ -1,14 +1,17 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is partitioned by document: a shard (the documents of one Arrow
-batch) keeps, for each term that the tests use, the sorted places where it
-stands. A test window starts from its rarest term's list in the shard and is
-intersected with the other terms' lists, each shifted by its offset; what is
-left after the last term are exact phrase matches. ``near`` is the proximity
-form: all terms of a phrase within a span of words.
+The index is a table. A row is a shard, some documents with about SHARD words:
+the terms that stand in it, sorted, and for each the sorted places where it
+stands. It is written once, for all words, whatever the tests are.
 
-Tests are taken in blocks of a bounded number of bytes, so what is broadcast
-has a fixed bound; each block runs against all documents.
+A test window starts from its rarest term's list in a shard and is intersected
+with the other terms' lists, each shifted by its offset; what is left after the
+last term are exact phrase matches. ``near`` is the proximity form: all terms of
+a phrase within a span of words.
+
+Tests are taken in blocks of a bounded number of bytes. One block at a time is
+on the driver and broadcast; with several, what a block hits is written before
+the next, and the hits are merged by document.
 
 Defined results: a null or empty text has no words and no hits; a test without
 words has no window; a test whose id is null is left out, as it cannot be
@@ -27,11 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, Words, chunks, lists, words, words_of
+from .scratch import keep
 
 WINDOW = 10
 #: Bytes of test text that are broadcast at once.
 BLOCK_BYTES = 4 << 20
 
+#: Words of a shard, but that a document is in one shard.
+SHARD = 1 << 20
+
+INDEX = "ids array<long>, ths array<long>, n_words binary, terms binary, bounds binary, places binary"
 HITS = "doc_id long, _tm_th long, n_words long, hits array<int>, items array<string>"
 
 
@@ -65,29 +73,37 @@ def windows_of(items: list[tuple[str, str]], width: int) -> Tests:
 class Shard:
     """Positional inverted lists of some documents. A place is the number of a word in the shard."""
 
-    def __init__(self, found: list[Words], terms: np.ndarray):
-        self.n_words = np.concatenate([np.diff(w.rows) for w in found] or [np.zeros(0, np.int64)])
-        self.first = np.concatenate([[0], np.cumsum(self.n_words)]).astype(np.int64)
-        small = np.zeros(1 << 16, bool)
-        small[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        places, ids, at = [], [], 0
-        for w in found:
-            maybe = np.flatnonzero(small[(w.hash & np.uint64(0xFFFF)).astype(np.int64)])
-            h = w.hash[maybe]
-            k = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
-            hit = terms[k] == h if len(terms) else np.zeros(0, bool)
-            places.append(maybe[hit] + at)
-            ids.append(k[hit])
-            at += len(w.hash)
-        places = np.concatenate(places or [np.zeros(0, np.int64)])
-        ids = np.concatenate(ids or [np.zeros(0, np.int64)])
-        order = np.argsort(ids, kind="stable")
-        self.places = places[order]
-        self.bounds = np.searchsorted(ids[order], np.arange(len(terms) + 1))
-        self.lengths = np.diff(self.bounds)
+    def __init__(self, n_words: np.ndarray, terms: np.ndarray, bounds: np.ndarray, places: np.ndarray):
+        self.n_words, self.terms, self.bounds, self.places = n_words, terms, bounds, places
+        self.first = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, found: list[Words]) -> Shard:
+        n_words = np.concatenate([np.diff(w.rows) for w in found] or [np.zeros(0, np.int64)])
+        h = np.concatenate([w.hash for w in found] or [np.zeros(0, np.uint64)])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return cls(n_words, h[new], np.append(new, len(h)), order)
+
+    def row(self) -> list[bytes]:
+        return [x.astype(t).tobytes() for x, t in ((self.n_words, "<i4"), (self.terms, "<u8"), (self.bounds, "<i4"), (self.places, "<i4"))]
+
+    @classmethod
+    def from_row(cls, raw: list[bytes]) -> Shard:
+        n_words, terms, bounds, places = (np.frombuffer(x, t) for x, t in zip(raw, ("<i4", "<u8", "<i4", "<i4"), strict=True))
+        return cls(n_words.astype(np.int64), terms, bounds.astype(np.int64), places)
+
+    def ask(self, terms: np.ndarray) -> None:
+        """Look up the terms of a block of tests; from here on a term is its number there."""
+        k = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        there = self.terms[k] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        self.at = np.where(there, k, -1)
+        self.lengths = np.where(there, np.diff(self.bounds)[k] if len(self.terms) else 0, 0)
 
     def postings(self, term: int) -> np.ndarray:
-        return self.places[self.bounds[term] : self.bounds[term + 1]]
+        k = self.at[term]
+        return self.places[self.bounds[k] : self.bounds[k + 1]].astype(np.int64) if k >= 0 else np.zeros(0, np.int64)
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, "right") - 1
@@ -126,35 +142,63 @@ def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def _search(tests: Tests, span: int | None):
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index as a table in the shared folder. ``ths`` are hashes of the texts, which tell rows of one id apart."""
+
     def run(batches):
+        def send(held):
+            ids, ths, found = zip(*held, strict=True)
+            ids, ths = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(ths).combine_chunks()
+            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, ths)]
+            return pa.RecordBatch.from_arrays([*one, *(pa.array([x], pa.binary()) for x in Shard.of(list(found)).row())], ["ids", "ths", "n_words", "terms", "bounds", "places"])
+
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = Shard([words(c, ALNUM) for c in chunks(batch.column(2))], tests.terms)
-            places, pairs = [np.zeros(0, np.int64)], set()
-            for n, windows in tests.windows.items():
-                for k in np.flatnonzero(shard.lengths[windows].min(axis=1) > 0):
-                    starts = shard.phrase(windows[k]) if span is None else shard.near(windows[k], span)
-                    if not len(starts):
-                        continue
-                    places.append((starts[:, None] + np.arange(n if span is None else 1)).ravel())
-                    pairs.update((d, item) for d in np.unique(shard.document(starts)).tolist() for item in tests.items[n][k])
-            hit = np.unique(np.concatenate(places))
-            doc = shard.document(hit)
-            by_doc: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for d, item in sorted(pairs):
-                by_doc[d].append(item)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(shard.n_words, pa.int64()),
-                    lists(hit - shard.first[doc], np.bincount(doc, minlength=batch.num_rows), pa.int32()),
-                    pa.array(by_doc, pa.list_(pa.string())),
-                ],
-                ["doc_id", "_tm_th", "n_words", "hits", "items"],
-            )
+            for c in chunks(batch.column(2)):
+                w = words(c, ALNUM)
+                if held and n + len(w.hash) > SHARD:
+                    yield send(held)
+                    held, n = [], 0
+                held.append((batch.column(0).slice(c.first, c.rows), batch.column(1).slice(c.first, c.rows), w))
+                n += len(w.hash)
+        if held:
+            yield send(held)
+
+    text = F.col(text_col).cast("string")
+    return keep(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, INDEX), "postings")
+
+
+def _search(tests: Tests, span: int | None, hits_only: bool):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard = Shard.from_row([batch.column(c)[r].as_py() for c in range(2, 6)])
+                shard.ask(tests.terms)
+                places, pairs = [np.zeros(0, np.int64)], set()
+                for n, windows in tests.windows.items():
+                    for k in np.flatnonzero(shard.lengths[windows].min(axis=1) > 0):
+                        starts = shard.phrase(windows[k]) if span is None else shard.near(windows[k], span)
+                        if not len(starts):
+                            continue
+                        places.append((starts[:, None] + np.arange(n if span is None else 1)).ravel())
+                        pairs.update((d, item) for d in np.unique(shard.document(starts)).tolist() for item in tests.items[n][k])
+                hit = np.unique(np.concatenate(places))
+                doc = shard.document(hit)
+                rows = len(shard.n_words)
+                by_doc: list[list[str]] = [[] for _ in range(rows)]
+                for d, item in sorted(pairs):
+                    by_doc[d].append(item)
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[r].values,
+                        batch.column(1)[r].values,
+                        pa.array(shard.n_words, pa.int64()),
+                        lists(hit - shard.first[doc], np.bincount(doc, minlength=rows), pa.int32()),
+                        pa.array(by_doc, pa.list_(pa.string())),
+                    ],
+                    ["doc_id", "_tm_th", "n_words", "hits", "items"],
+                )
+                yield out.take(pa.array(np.unique(doc))) if hits_only else out
 
     return run
 
@@ -165,26 +209,26 @@ def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | N
     With ``span`` the proximity form runs: places of a window's rarest term
     that have all its other terms within that many words.
     """
-    text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_tm_th"), text.alias("text"))
+    return look_up(build(docs, id_col, text_col), tests, width, span, block_bytes)
+
+
+def look_up(index: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``search``, in a table of ``build``."""
     tests = tests.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    parts = []
-    for b in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else tests
-        items = sorted((r.item, r.t or "") for r in block.collect())
-        parts.append(docs.mapInArrow(_search(windows_of(items, width), span), HITS))
+    read = lambda df: windows_of(sorted((r.item, r.t or "") for r in df.collect()), width)
     if blocks == 1:
-        return parts[0].drop("_tm_th")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        return index.mapInArrow(_search(read(tests), span, False), HITS).drop("_tm_th")
+    every = index.mapInArrow(_search(windows_of([], width), span, False), HITS).withColumn("_tm_rows", F.lit(1))
+    for b in range(blocks):
+        block = read(tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b))
+        every = every.unionByName(keep(index.mapInArrow(_search(block, span, True), HITS), "hits").withColumn("_tm_rows", F.lit(0)))
     joined = every.groupBy("doc_id", "_tm_th").agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count("*") / blocks).cast("int").alias("_tm_rows"),
+        F.sum("_tm_rows").cast("int").alias("_tm_rows"),
     )
     again = F.explode(F.sequence(F.lit(1), F.col("_tm_rows")))
     return joined.withColumn("_tm_nth", again).drop("_tm_th", "_tm_rows", "_tm_nth")
