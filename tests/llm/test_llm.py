@@ -571,6 +571,21 @@ def test_pipeline(spark, tmp_path, docs, labels):
     assert {"rate", "copies"} <= set(out.columns)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, empty):
+    """Repeated rows, nulls, clashing columns; then empty tables."""
+    marks = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").withColumn("rate", F.lit("x"))
+    tests = spark.createDataFrame([(9, "no such words"), (None, "first line"), (10, None)], "item_id long, text string")
+    for name, docs, labels, items in (("a", odd, marks, tests), ("b", empty, marks.where("false"), tests.where("false"))):
+        root = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{root}/documents.parquet")
+        labels.write.parquet(f"{root}/labels.parquet")
+        items.write.parquet(f"{root}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, root)
+        assert got.columns == [*corpus_pipeline.COLUMNS, "rate", "copies"]
+        ids = [r.doc_id for r in got.collect()]
+        assert set(ids) <= {1, 2, 3} and ids.count(1) in (0, 3) and (name == "a") == bool(ids)
+
+
 ALONE = """
 import sys
 sys.path.insert(0, {root!r})

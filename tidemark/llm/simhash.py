@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .arrowtext import lists
 from .frequent import join_hot
 from .graph import components
-from .scratch import keep
+from .scratch import discard, keep
 
 SEED = 42
 TILE = 4096
@@ -393,14 +393,16 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, found: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The links (a, b) whose texts have the Jaccard similarity of shingle sets, or more. Only the texts of linked rows are cut."""
+    """The links (a, b) whose texts have the Jaccard similarity of shingle sets, or more, as a kept table. Only the texts of linked rows are cut."""
     ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = shingle_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"])
     sets = keep(sets, "shingles")
     both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(same >= F.lit(similarity) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    links = keep(both.where(same >= F.lit(similarity) * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -417,7 +419,10 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, width: int = 5)
 
     def checked(rows: DataFrame) -> DataFrame:
         pairs = similar_links(rows, n, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return keep(verified(docs, keep(pairs.distinct(), "candidates"), similarity, width), "links")
+        pairs = keep(pairs.distinct(), "candidates")
+        links = verified(docs, pairs, similarity, width)
+        discard(pairs)
+        return links
 
     first = checked(reps)
     pieces = keep(reps.join(components(first), "id", "left").select(*names, "id", F.coalesce("root", "id").alias("piece")), "pieces")
