@@ -168,6 +168,16 @@ def test_drain_in_batches_and_recovery(spark, tmp_path):
     assert not phases.drain(s, classify, 2, lambda n: False) and len(seen) == before
 
 
+def test_report(spark):
+    scores = spark.createDataFrame([("a|b", 40.0, "High"), ("c", 3.0, "Low")], "account_id string, score double, tier string")
+    shown = spark.createDataFrame([("a|b", "so | bad", 1), ("c", "fine", 1)], "account_id string, text string, rank int")
+    clusters = spark.createDataFrame([("cats / dogs", ["cats", "dogs"], 0.5)], "label string, keywords array<string>, weight double")
+    said = spark.createDataFrame([("q", "quote", DAY0, "look"), ("r", "quote", DAY0, ""), ("s", "like", DAY0, "x")], "amplifier string, event_type string, ts timestamp, text string")
+    got = report.markdown(scores, shown, clusters=clusters, events=said, not_assessed=2)
+    assert "- cats / dogs ========== 50%: cats, dogs" in got and "- 2024-01-01 q: look" in got and "2 accounts could not" in got
+    assert "fine" not in got and "- r" not in got and "- s" not in got
+
+
 def test_topic_sweep(spark):
     none = spark.createDataFrame([], "account_id string")
     people = spark.createDataFrame([("a",), ("b",), ("b",)], "account_id string")

@@ -55,14 +55,23 @@ def by_precedence(preferred: DataFrame, other: DataFrame, key: str) -> DataFrame
     return first_of(both, [key], ["_p"]).drop("_p")
 
 
-def worker_seconds(changes: DataFrame, most: int, key: str | None = None) -> DataFrame:
-    """Integral over time of min(running, most). changes: ts, delta (+1 enter, -1 leave)."""
+def worker_seconds(changes: DataFrame, most: int, key: str | None = None, width: int = DAY) -> DataFrame:
+    """Integral over time of min(running, most). changes: ts (seconds), delta (+1 enter, -1 leave).
+
+    Time is cut in buckets of ``width``. What runs when a bucket begins, and when
+    the next change after it is, follow from one row a bucket, so a bucket is
+    summed by itself and no task sorts all changes.
+    """
     keys = [key] if key else []
-    w = Window.partitionBy(*keys).orderBy("ts")
-    per = changes.groupBy(*keys, "ts").agg(F.sum("delta").alias("delta"))
-    running = F.sum("delta").over(w)
-    dt = F.lead("ts").over(w) - F.col("ts")
-    spans = per.select(*keys, running.alias("running"), dt.alias("dt"))
+    per = changes.groupBy(*keys, "ts").agg(F.sum("delta").alias("delta")).withColumn("_b", F.floor(F.col("ts") / width))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    buckets = per.groupBy(*keys, "_b").agg(F.sum("delta").alias("_d"), F.min("ts").alias("_first"))
+    before = F.coalesce(F.sum("_d").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select(*keys, "_b", before.alias("_before"), F.lead("_first").over(over).alias("_next"))
+    w = Window.partitionBy(*keys, "_b").orderBy("ts")
+    running = F.col("_before") + F.sum("delta").over(w)
+    dt = F.coalesce(F.lead("ts").over(w), F.col("_next")) - F.col("ts")
+    spans = per.join(buckets, [*keys, "_b"]).select(*keys, running.alias("running"), dt.alias("dt"))
     return spans.groupBy(*keys).agg(F.coalesce(F.sum(F.least("running", F.lit(most)) * F.col("dt")), F.lit(0)).alias("worker_seconds"))
 
 

@@ -297,6 +297,12 @@ def tf_idf_keywords(spark, sf_dir):
     return t.select("account_id", "word", F.round("score", 6).alias("score"))
 
 
+@query(TOP + ", h AS (SELECT DISTINCT k.account_id, uri, k.word FROM k JOIN top t ON k.account_id = t.account_id AND k.word = t.word) SELECT h.account_id, h.word AS a, g.word AS b, count(*) AS n FROM h JOIN h g ON h.account_id = g.account_id AND h.uri = g.uri WHERE h.word <> g.word GROUP BY 1, 2, 3")
+def co_occurrence_counts(spark, sf_dir):
+    w = word_rows(spark, sf_dir)
+    return topics.co_occurrence(w, topics.tf_idf(w, 40, "account_id"), "account_id")
+
+
 @query()
 def topic_clusters(spark, sf_dir):
     w = word_rows(spark, sf_dir)

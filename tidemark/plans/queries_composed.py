@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import service, text
+from ..functions import language, scoring, service, text, vectors
 from ..operators import posts as P
 from ..operators import verdicts
 from ..sources import records
@@ -166,3 +166,35 @@ def scrubbed_envelopes(spark, sf_dir):
 def post_kinds(spark, sf_dir):
     u = F.col("uri")
     return posts(spark, sf_dir).select("uri", P.post_kind(u % 4 == 0, F.when(u % 5 != 0, "at://p"), u % 3 == 0).alias("kind"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'NotAssessed' WHEN c_custkey % 5 = 0 THEN 'Insufficient Data' WHEN c_acctbal / 100 >= 35 THEN 'High' WHEN c_acctbal / 100 >= 15 THEN 'Elevated' WHEN c_acctbal / 100 >= 8 THEN 'Watch' ELSE 'Low' END AS tier FROM customer")
+def tiers_at_read(spark, sf_dir):
+    c = F.col("c_custkey")
+    stored = F.when(c % 4 == 0, "NotAssessed").when(c % 5 == 0, "Insufficient Data").otherwise("Watch")
+    score = F.when((c % 4 == 0) | (c % 5 != 0), F.col("c_acctbal") / 100)
+    return table(spark, sf_dir, "customer").select("c_custkey", scoring.tier_at_read(stored, score).alias("tier"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 <> 0 AS assessable, o_custkey * 1000 / 3600.0 * 50 >= 5000 AS tripped FROM orders")
+def pair_gate_and_ceiling(spark, sf_dir):
+    o = F.col("o_orderkey")
+    a, b = (F.when(o % k == 0, "привет тебе мир").otherwise("hello there") for k in (6, 12))
+    return table(spark, sf_dir, "orders").select("o_orderkey", language.pair_assessable(a, b).alias("assessable"), scoring.over_ceiling(F.col("o_custkey") * 1000, 50, 5000).alias("tripped"))
+
+
+@query("WITH p AS (SELECT o_orderkey, (o_custkey % 7)::DOUBLE AS x, (o_custkey % 5)::DOUBLE AS y, (o_orderkey % 3)::DOUBLE AS z FROM orders) SELECT o_orderkey, CASE WHEN (x * x + y * y) > 0 AND (x * x + z * z) > 0 THEN round(x * x / (sqrt(x * x + y * y) * sqrt(x * x + z * z)), 6) ELSE 0 END AS overlap, CASE WHEN o_orderkey % 2 = 0 THEN 'a / b / c' ELSE 'a' END AS label FROM p")
+def sparse_vectors(spark, sf_dir):
+    x, y, z = ((F.col(c) % n).cast("double") for c, n in (("o_custkey", 7), ("o_custkey", 5), ("o_orderkey", 3)))
+    words = F.when(F.col("o_orderkey") % 2 == 0, F.array(*[F.lit(w) for w in "abcd"])).otherwise(F.array(F.lit("a")))
+    a, b = F.create_map(F.lit("both"), x, F.lit("mine"), y), F.create_map(F.lit("both"), x, F.lit("yours"), z)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(vectors.sparse_cosine(a, b), 6).alias("overlap"), text.cluster_label(words).alias("label"))
+
+
+@query("WITH t AS (SELECT o_orderkey, chr(1 + CAST(o_orderkey % 3 AS INTEGER)) || 'a' AS raw FROM orders) SELECT o_orderkey, CAST(length(raw) AS INTEGER) AS kept, CASE WHEN o_orderkey % 2 = 0 THEN 'it is “quoted”' ELSE 'we have done' END AS said FROM t")
+def texts_tidied(spark, sf_dir):
+    """NUL and nothing else goes; contractions are spelled out; curly quotes made straight first."""
+    o = F.col("o_orderkey")
+    raw = F.concat(F.lit("\x00"), F.chr(1 + o % 3), F.lit("a\x00"))
+    said = F.when(o % 2 == 0, text.expand_contractions(F.lit("it's “quoted”"))).otherwise(text.expand_contractions(text.straight_quotes(F.lit("We’ve done"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.char_length(text.strip_nul(raw)).alias("kept"), said.alias("said"))

@@ -42,13 +42,23 @@ def limited(requests: DataFrame, most: int = 30, seconds: int = 10) -> DataFrame
 
 
 def limited_batch(requests: DataFrame, most: int = 30, seconds: int = 10) -> DataFrame:
-    """The same over a table."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        return pd.DataFrame({"key": rows.key, "ts": rows.ts, "allowed": allow([t.timestamp() for t in rows.ts], None, 0, most, seconds)[0]})
-
-    return requests.select("key", "ts").groupBy("key").applyInPandas(run, "key string, ts timestamp, allowed boolean")
+    """The same over a table, in one pass over each key's sorted requests; what a key has done so far is all that is held."""
+    held = [f for f in requests.schema.fields if f.name in ("key", "ts")]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(held, key=lambda f: f.name)) + ", allowed boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, used = None, None, 0
+        for rows in frames:
+            ok: list[bool] = []
+            for key, part in rows.groupby("key", sort=False, dropna=False):
+                if key != last:
+                    last, start, used = key, None, 0
+                got, start, used = allow([t.timestamp() for t in part.ts], start, used, most, seconds)
+                ok += got
+            yield rows.assign(allowed=ok)
+
+    rows = requests.select("key", "ts").where("key is not null and ts is not null").repartition("key").sortWithinPartitions("key", "ts")
+    return rows.mapInPandas(run, out)
 
 
 def distinct_events(stream: DataFrame, late: str = "1 day") -> DataFrame:
