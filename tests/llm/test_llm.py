@@ -619,4 +619,4 @@ def test_workers_need_not_have_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert len(done.stdout.split()) == 22
+    assert len(done.stdout.split()) == 28

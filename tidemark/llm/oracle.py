@@ -82,8 +82,79 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM s) WHERE r <= 10
 """
 
+INNER = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_dot_product(q.x, c.x) AS BIGINT)) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
+
+#: CRC-32 of a decimal number: each byte is mixed in before the first of eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(0, 8 * strlen({0})),
+  lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr({0}, i // 8 + 1, 1)) ELSE 0 END)),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+_PART = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT *, sha256({" || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    sha256({" || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_PART.format(_LOWER.format("text"))}) AS other,
+    coalesce({_CRC.format("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS tampered
+  FROM documents
+),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size
+  FROM d
+),
+t AS (
+  SELECT 0 AS level, source, place AS idx, size, leaf AS digest FROM l
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE size > 1
+  GROUP BY level, source, idx // 16, size
+),
+s AS (SELECT source, digest, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM t WHERE size = 1),
+u AS (
+  SELECT 0 AS level, place AS idx, size, digest FROM s
+  UNION ALL
+  SELECT level + 1, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE size > 1 GROUP BY level, idx // 16, size
+),
+tw AS (
+  SELECT a.level, a.source, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lt,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rt
+  FROM t a JOIN t b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.idx // 16 = b.idx // 16
+  WHERE a.size > 1 GROUP BY a.level, a.source, a.idx
+),
+uw AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lt,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rt
+  FROM u a JOIN u b ON a.level = b.level AND a.idx // 16 = b.idx // 16 WHERE a.size > 1 GROUP BY a.level, a.idx
+),
+steps AS (
+  SELECT l.source, l.place, tw.level AS step, lt, rt FROM l JOIN tw ON l.source IS NOT DISTINCT FROM tw.source AND l.place // CAST(power(16, tw.level) AS BIGINT) = tw.idx
+  UNION ALL
+  SELECT l.source, l.place, 100 + uw.level, lt, rt
+  FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN uw ON s.place // CAST(power(16, uw.level) AS BIGINT) = uw.idx
+),
+p AS (SELECT source, place, string_agg(lt || rt, '' ORDER BY step) AS proof, list(lt || ',' || rt ORDER BY step) AS way FROM steps GROUP BY source, place),
+f AS (
+  SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM u WHERE size = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_concat([CASE WHEN tampered THEN other ELSE leaf END], coalesce(p.way, [])),
+      lambda node, w: sha256(split_part(w, ',', 1) || node || split_part(w, ',', 2))) AS folded_root
+  FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN p ON l.source IS NOT DISTINCT FROM p.source AND l.place = p.place
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION,
     "op3_substring_dedup": SUBSTRINGS,
     "op6_line_dedup": LINES,
+    "op11_mtree": INNER,
+    "op13_merkle": MERKLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, license_scan, line_dedup, log_bilinear, mixing, permutation_index, positional_index, rlz_dedup, simhash, toxicity
+from . import kneser_ney, license_scan, line_dedup, log_bilinear, merkle, mixing, mtree, periodic_runs, permutation_index, positional_index, rlz_dedup, simhash, toxicity
 from .scratch import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -66,5 +78,8 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_quality,
         op10_log_bilinear,
+        op11_mtree,
+        op12_periodic_runs,
+        op13_merkle,
     )
 }
