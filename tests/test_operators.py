@@ -57,7 +57,7 @@ def test_a_killed_writer_loses_nothing(spark, tmp_path, monkeypatch):
         s.replace("t", rows(99))
     monkeypatch.undo()
     assert s.read("t").count() == 50
-    (tmp_path / "_log" / f"{2:020d}.json").write_text('{"tables": {"t": ["t/')
+    (tmp_path / "_log" / "half.writing").write_text('{"tables": {"t": ["t/')
     assert s.read("t").count() == 50
     seen = s.read("t")
     assert s.upsert("t", rows(49, 50), ["k"]).count() == 51 and seen.count() == 50
@@ -165,7 +165,7 @@ def test_drain_in_batches_and_recovery(spark, tmp_path):
     assert [len(x) for x in seen] == [2, 2, 2, 2, 1] and seen[3] + seen[4] == [101, 105, 109]
     s.replace("queue", s.read("queue").withColumn("status", F.lit("pending")))
     before = len(seen)
-    assert not phases.drain(s, classify, 2, lambda n: False) and len(seen) == before
+    assert phases.drain(s, classify, 2, lambda n: False).status == "cost_capped" and len(seen) == before
 
 
 def test_report(spark):
@@ -216,7 +216,9 @@ def test_contexts_by_gate(spark):
 
 def test_fingerprint_and_stop_words(spark):
     words = set(stop_words())
-    assert {"the", "really", "getting", "went", "repost"} <= words and "climate" not in words and len(words) == len(stop_words())
+    assert {"the", "really", "getting", "went", "repost", "lot's", "means", "looked", "isn"} <= words and len(words) == len(stop_words())
+    # Only the words themselves: no forms by rule.
+    assert not {"climate", "geted", "goed", "tryed", "comed", "finding", "meaning", "changes", "works", "calls", "starts"} & words
     rows = [("a", i, f"the climate really warms number{i} and the reefs", "original") for i in range(16)] + [("a", 99, "reply words", "reply")]
     posts_ = spark.createDataFrame(rows, "account_id string, uri int, text string, post_kind string")
     made, mean = topics.fingerprint(posts_, spark.createDataFrame([(i, [float(i), 1.0]) for i in range(16)], "uri int, vector array<double>"))

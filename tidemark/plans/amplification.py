@@ -17,9 +17,10 @@ def record(store: Store, events: DataFrame) -> DataFrame:
     """New events appended with ids in order of detection; those that the store has by key are left out."""
     key = E.event_key(F.col("event_type"), F.col("amplifier").cast("string"), F.col("post").cast("string"), F.col("uri").cast("string"))
     fresh = E.first_of(events.withColumn("key", key), ["key"], ["ts", "uri"])
-    if store.current("events"):
-        fresh = fresh.join(store.read("events").select("key"), "key", "left_anti")
-    return store.append("events", fresh, "ts", "event_id")
+    since = store.state()
+    if "events" in since.tables:
+        fresh = fresh.join(store.read("events", since).select("key"), "key", "left_anti")
+    return store.append("events", fresh, "ts", "event_id", upon=since)
 
 
 def candidates(events: DataFrame, originals: DataFrame, edges: DataFrame, me, scores: DataFrame, as_of, days: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from ..functions import scoring
 from ..functions.text import envelope
 from ..operators import posts as P
 from ..operators import verdicts
+from ..operators.classify import outcome
+from ..sources import queue as Q
 from ..sources import store as S
+from ..sources.queue import KEYS
 from . import ranking
 
 PHASES = ["gather", "burst", "finalize", "done"]
@@ -39,34 +43,56 @@ def gather(posts: DataFrame, texts: DataFrame) -> DataFrame:
 def burst(queue: DataFrame, classify: verdicts.Classifier) -> DataFrame:
     """Pending rows judged; only those reach the classifier."""
     judged = classify(queue.where("status = 'pending'")).select("account_id", "uri", "toxic_token", "confidence")
-    return S.record_verdicts(queue, judged, ["account_id", "uri"])
+    return S.record_verdicts(queue, judged, KEYS)
 
 
-def drain(store: S.Store, classify: verdicts.Classifier, batch: int | None = None, spend: Callable[[int], bool] = lambda n: True) -> bool:
-    """Batches of pending rows judged, each committed, until none is left; a killed drain goes on with what is pending.
+@dataclass(frozen=True)
+class Drained:
+    """How a drain ended: complete, cost_capped or interrupted; the last two can be resumed."""
 
-    ``spend`` is asked before each batch of n rows; if it says no the drain ends
-    early and False is returned. A row that the classifier gives no verdict is
-    asked for once in a drain.
+    status: str
+    judged: int = 0
+    errored: int = 0
+
+
+class BurstAborted(RuntimeError):
+    """A failure that would come again each time."""
+
+
+def drain(store: S.Store, classify: verdicts.Classifier, batch: int | None = None, spend: Callable[[int], bool] = lambda n: True) -> Drained:
+    """Pending rows judged batch by batch, each committed, until none is left; a killed drain goes on with what is pending.
+
+    The pending rows are numbered and dealt into batches once; a batch appends what it was
+    given, so all that is written grows with the rows, not with batches times rows.
+    ``spend`` is asked before each batch of n rows; if it says no the drain ends as
+    cost_capped. The classifier may add ``failure`` (see ``classify.in_chunks``; rows
+    have their number ``_n``): what went well is kept, then the cost cap counts first, then an abort,
+    which is raised, then what may be tried in a later drain. A row without verdict
+    is asked once in a drain.
     """
-    asked = None
-    while True:
-        queue = store.read("queue")
-        waiting = queue.where("status = 'pending'")
-        if asked is not None:
-            waiting = waiting.join(asked, ["account_id", "uri"], "left_anti")
-        if batch:
-            waiting = waiting.orderBy("account_id", "uri").limit(batch)
-        waiting = store.replace("burst_batch", waiting.select(queue.columns))
-        n = waiting.count()
-        if not n:
-            return True
-        if not spend(n):
-            return False
-        judged = classify(waiting).select("account_id", "uri", "toxic_token", "confidence").where("toxic_token is not null")
-        store.replace("queue", S.record_verdicts(queue, judged, ["account_id", "uri"]))
-        done = waiting.select("account_id", "uri")
-        asked = store.append("burst_asked", done) if asked is not None else store.replace("burst_asked", done)
+    waiting = Q.current(store, "queue").where("status = 'pending'").select(*KEYS, "text", "score")
+    staged = S.stage(waiting, KEYS, f"{store.root}/_staged")
+    numbers = S.numbered(store.spark, staged, "_n", -1)
+    batches = store.replace("burst_batches", numbers.withColumn("batch", F.floor(F.col("_n") / batch) if batch else F.lit(0)), "batch")
+    store.unstage(staged)
+    sizes = {r.batch: r["count"] for r in batches.groupBy("batch").count().collect()}
+    judged = errored = 0
+    for b in sorted(sizes):
+        if not spend(sizes[b]):
+            return Drained("cost_capped", judged, errored)
+        tried = classify(batches.where(F.col("batch") == b).drop("batch"))
+        tried = tried.withColumns({c: F.lit(None).cast("string") for c in ("failure", "detail", "model_id") if c not in tried.columns})
+        tried = store.replace("burst_tried", tried.select(*KEYS, "toxic_token", "confidence", "model_id", "failure", "detail"))
+        Q.judge(store, "queue", tried)
+        stop, detail, n, bad = outcome(tried)
+        judged, errored = judged + n, errored + bad
+        if stop == "cost_cap":
+            return Drained("cost_capped", judged, errored)
+        if stop == "abort":
+            raise BurstAborted(detail)
+        if stop == "transient":
+            return Drained("interrupted", judged, errored)
+    return Drained("complete", judged, errored)
 
 
 def finalize(queue: DataFrame, overlap: DataFrame, pile_on: DataFrame, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +105,11 @@ def finalize(queue: DataFrame, overlap: DataFrame, pile_on: DataFrame, posts: Da
     return ranking.account_scores(rows, overlap, pile_on), skipped
 
 
-def recover(store: S.Store, accounts: DataFrame, posts: DataFrame, texts: DataFrame, classify: verdicts.Classifier, batch: int | None = None) -> None:
+def recover(store: S.Store, accounts: DataFrame, posts: DataFrame, texts: DataFrame, classify: verdicts.Classifier, batch: int | None = None) -> Drained:
     """One pass for accounts that lack verdicts: their rows are cleared, gathered anew and judged. Whoever still lacks some stays skipped."""
-    again = gather(posts.join(accounts, "account_id", "left_semi"), texts)
-    kept = store.read("queue").join(accounts, "account_id", "left_anti")
-    store.replace("queue", kept.unionByName(again))
-    drain(store, classify, batch)
+    Q.clear(store, "queue", accounts.select("account_id"))
+    Q.push(store, "queue", gather(posts.join(accounts, "account_id", "left_semi"), texts))
+    return drain(store, classify, batch)
 
 
 def not_assessed(posts: DataFrame) -> DataFrame:
@@ -93,23 +118,44 @@ def not_assessed(posts: DataFrame) -> DataFrame:
     return gate.select("account_id", F.lit("NotAssessed").alias("tier"), F.lit(None).cast("double").alias("score"), (F.col("assessable") + F.col("unassessable")).alias("posts_analyzed"))
 
 
-def run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame, pile_on: DataFrame, classify: verdicts.Classifier, stop_after: str | None = None, batch: int | None = None) -> DataFrame | None:
+def run(
+    store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame, pile_on: DataFrame, classify: verdicts.Classifier, stop_after: str | None = None, batch: int | None = None,
+    spend: Callable[[int], bool] = lambda n: True, owner: str | None = None, lease: float = 3600,
+) -> DataFrame | None:
     """Go on from the stored marker. An unknown marker fails. ``stop_after`` ends early, for tests.
 
-    Accounts that lack verdicts after the burst are gathered and judged once more.
+    Accounts that lack verdicts after the burst are gathered and judged once
+    more. If the burst is stopped by the cost cap or a passing failure the run ends
+    there, with None, and another one goes on with what is pending. With ``owner``
+    the run holds the lease ``scan``, renewed at each phase: a second run is refused
+    (``Held``) until this one ends or has outlived its lease.
     """
+    if owner:
+        store = store.take_lease("scan", owner, lease)
+        try:
+            return _run(store, posts, texts, overlap, pile_on, classify, stop_after, batch, spend, lease)
+        finally:
+            store.give_up_lease()
+    return _run(store, posts, texts, overlap, pile_on, classify, stop_after, batch, spend, None)
+
+
+def _run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame, pile_on: DataFrame, classify: verdicts.Classifier, stop_after: str | None, batch: int | None, spend: Callable[[int], bool], lease: float | None) -> DataFrame | None:
     spark = posts.sparkSession
     marker = store.read("scan_state").first()["value"] if store.current("scan_state") else PHASES[0]
     if marker not in PHASES:
         raise ValueError(f"unknown phase {marker!r}")
-    steps: dict[str, Callable[[], object]] = {
-        "gather": lambda: store.replace("queue", S.enqueue(store.read("queue"), gather(posts, texts), ["account_id", "uri"]) if store.current("queue") else gather(posts, texts)),
-        "burst": lambda: drain(store, classify, batch),
+    steps: dict[str, Callable[[], Drained | None]] = {
+        "gather": lambda: Q.push(store, "queue", gather(posts, texts)),
+        "burst": lambda: drain(store, classify, batch, spend),
         "finalize": lambda: _finalized(store, overlap, pile_on, posts, texts, classify, batch),
     }
     for phase, following in zip(PHASES, PHASES[1:], strict=False):
         if PHASES.index(marker) <= PHASES.index(phase):
-            steps[phase]()
+            if lease:
+                store.renew_lease(lease)
+            ended = steps[phase]()
+            if ended and ended.status != "complete":
+                return None
             store.replace("scan_state", spark.createDataFrame([(following,)], "value string"))
             if phase == stop_after:
                 return None
@@ -117,9 +163,9 @@ def run(store: S.Store, posts: DataFrame, texts: DataFrame, overlap: DataFrame,
 
 
 def _finalized(store: S.Store, overlap: DataFrame, pile_on: DataFrame, posts: DataFrame, texts: DataFrame, classify: verdicts.Classifier, batch: int | None) -> None:
-    lacking = verdicts.complete(store.read("queue")).where("not complete").select("account_id")
+    lacking = verdicts.complete(Q.current(store, "queue")).where("not complete").select("account_id")
     lacking = store.replace("lacking", lacking)
     if not lacking.isEmpty():
         recover(store, lacking, posts, texts, classify, batch)
-    scored, skipped = finalize(store.read("queue"), overlap, pile_on, posts)
+    scored, skipped = finalize(Q.current(store, "queue"), overlap, pile_on, posts)
     store.replace_all({"account_scores": scored, "scan_skips": skipped})

@@ -270,7 +270,7 @@ def word_rows(spark, sf_dir):
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '@[\\w.]+', ' ', 'g'), '[^\\p{L} ]', ' ', 'g'), '\\s+', ' ', 'g'))"
-WORDS = "WITH " + POSTS + f", w AS (SELECT account_id, uri, unnest(string_split(lower({CLEAN}), ' ')) AS word FROM posts WHERE lang = 'en'), k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN (" + ", ".join(f"'{x}'" for x in stop_words()) + ")) "
+WORDS = "WITH " + POSTS + f", w AS (SELECT account_id, uri, unnest(string_split(lower({CLEAN}), ' ')) AS word FROM posts WHERE lang = 'en'), k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN (" + ", ".join("'" + x.replace("'", "''") + "'" for x in stop_words()) + ")) "
 
 
 @query("WITH " + POSTS + f" SELECT uri, md5({CLEAN}) AS cleaned FROM posts")

@@ -51,7 +51,13 @@ def batch_append_ids(spark, sf_dir):
 
 @query("SELECT * FROM nation WHERE NOT (n_regionkey = 2)")
 def cascade_delete(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where("not coalesce((n_regionkey = 2), false)")
+    """The rows of user 2 go from two tables of a store, in one commit; what is left of one of them."""
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    owned = table(spark, sf_dir, "nation").withColumn("user_id", F.col("n_regionkey").cast("string"))
+    s.replace_all({"nations": owned, "regions": table(spark, sf_dir, "region").withColumn("user_id", F.col("r_regionkey").cast("string"))})
+    s.delete_user("2", ["nations", "regions", "not there"])
+    left = s.read("regions").select("user_id")
+    return s.read("nations").join(left, "user_id", "left_semi").drop("user_id")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE lower(c_name) = lower('CUSTOMER#000000042') LIMIT 1")

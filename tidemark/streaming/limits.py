@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import event_key
-from ..sources.store import Store, enqueue
+from ..sources import queue
+from ..sources.store import Store
 
 
 def allow(times: list[float], start: float | None, used: int, most: int, seconds: float) -> tuple[list[bool], float, int]:
@@ -24,21 +25,66 @@ def allow(times: list[float], start: float | None, used: int, most: int, seconds
     return out, start if start is not None else 0.0, used
 
 
-def limited(requests: DataFrame, most: int = 30, seconds: int = 10) -> DataFrame:
-    """Requests (key, ts) of a stream with ``allowed``; a key's state goes once its window is over."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        ok, start, used = allow([t.timestamp() for t in rows.ts], start, used, most, seconds)
-        state.update((start, used))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({"key": key[0], "ts": rows.ts, "allowed": ok})
-
-    return requests.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, allowed boolean", "start double, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Limiter(StatefulProcessor):
+    """State of one shard of keys: when each key's window began and what it has had, for ``room`` keys at most.
+
+    The map is read at the first request of a micro-batch and written back after the last, so a shard holds its
+    ``room`` and one batch of requests, however many there are. A new key for which there is no room drops windows
+    that are over, then the oldest.
+    """
+
+    def __init__(self, most: int, seconds: float, room: int, ttl: int):
+        self.most, self.seconds, self.room, self.ttl = most, seconds, room, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.windows = handle.getMapState("windows", "key string", "start double, used int", ttlDurationMs=self.ttl * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = dict(sorted(((k[0], tuple(v)) for k, v in self.windows.iterator()), key=lambda x: x[1][0]))
+        held = dict(before)  # in the order in which windows began
+        for frame in rows:
+            frame = frame.sort_values("ts", kind="stable")
+            allowed = [self.check(held, k, t.timestamp()) for k, t in zip(frame["key"], frame.ts, strict=True)]
+            yield pd.DataFrame({"key": frame["key"], "ts": frame.ts, "allowed": allowed})
+        for k in before.keys() - held.keys():
+            self.windows.removeKey((k,))
+        for k, v in held.items():
+            if before.get(k) != v:
+                self.windows.updateValue((k,), v)
+
+    def check(self, held: dict[str, tuple[float, int]], key: str, now: float) -> bool:
+        start, used = held.get(key, (None, 0))
+        if start is not None and now - start < self.seconds:
+            if used >= self.most:
+                return False
+            held[key] = (start, used + 1)
+            return True
+        held.pop(key, None)
+        while len(held) >= self.room:
+            oldest = next(iter(held))
+            if now - held[oldest][0] >= self.seconds:
+                for k in [k for k, (at, _) in held.items() if now - at >= self.seconds]:
+                    del held[k]
+            else:
+                del held[oldest]
+        held[key] = (now, 1)
+        return True
+
+    def close(self) -> None:
+        pass
+
+
+def limited(requests: DataFrame, most: int = 30, seconds: int = 10, most_keys: int = 10_000, shards: int = 8, ttl: int = 3600) -> DataFrame:
+    """Requests (key, ts) of a stream with ``allowed``; at most ``most_keys`` keys are remembered, dealt over ``shards``.
+
+    A key's window begins with its first request after the last one ended, and ``most`` pass in it. Requests are taken as
+    they come; one that comes late counts in the window that is open. A key that nobody asked for in ``ttl`` seconds
+    is forgotten. Start the stream inside ``pile_on.keyed_state``, in append or update mode.
+    """
+    if most_keys < shards:
+        raise ValueError("each shard needs room for a key")
+    rows = requests.where("key is not null and ts is not null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.col("key").cast("string").alias("key"), "ts")
+    return rows.groupBy("shard").transformWithStateInPandas(Limiter(most, seconds, most_keys // shards, ttl), "key string, ts timestamp, allowed boolean", "append", "processingTime")
 
 
 def limited_batch(requests: DataFrame, most: int = 30, seconds: int = 10) -> DataFrame:
@@ -67,9 +113,9 @@ def distinct_events(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def fill_queue(stream: DataFrame, store: Store, name: str, keys: list[str], checkpoint: str):
-    """Each micro-batch is queued idempotently: finished rows keep their verdicts."""
+    """Each micro-batch is queued as a delta, and again without harm if it is replayed: finished rows keep their verdicts."""
 
     def each(rows: DataFrame, _: int) -> None:
-        store.replace(name, enqueue(store.read(name), rows, keys) if store.current(name) else rows.dropDuplicates(keys))
+        queue.push(store, name, rows, keys)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
