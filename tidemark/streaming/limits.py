@@ -33,14 +33,15 @@ class Limiter(StatefulProcessor):
     that are over, then the oldest.
     """
 
-    def __init__(self, most: int, seconds: float, room: int, ttl: int):
+    def __init__(self, most: int, seconds: float, room: int, ttl: int | None):
         self.most, self.seconds, self.room, self.ttl = most, seconds, room, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.windows = handle.getMapState("windows", "key string", "start double, used int", ttlDurationMs=self.ttl * 1000)
+        self.windows = handle.getMapState("windows", "key string", "start double, used int", ttlDurationMs=self.ttl and self.ttl * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = dict(sorted(((k[0], tuple(v)) for k, v in self.windows.iterator()), key=lambda x: x[1][0]))
+        there = self.windows.iterator() if self.windows.exists() else ()
+        before = dict(sorted(((k[0], tuple(v)) for k, v in there), key=lambda x: x[1][0]))
         held = dict(before)  # in the order in which windows began
         for frame in rows:
             frame = frame.sort_values("ts", kind="stable")
@@ -74,17 +75,18 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def limited(requests: DataFrame, most: int = 30, seconds: int = 10, most_keys: int = 10_000, shards: int = 8, ttl: int = 3600) -> DataFrame:
+def limited(requests: DataFrame, most: int = 30, seconds: int = 10, most_keys: int = 10_000, shards: int = 8, ttl: int | None = None) -> DataFrame:
     """Requests (key, ts) of a stream with ``allowed``; at most ``most_keys`` keys are remembered, dealt over ``shards``.
 
     A key's window begins with its first request after the last one ended, and ``most`` pass in it. Requests are taken as
-    they come; one that comes late counts in the window that is open. A key that nobody asked for in ``ttl`` seconds
-    is forgotten. Start the stream inside ``pile_on.keyed_state``, in append or update mode.
+    they come; one that comes late counts in the window that is open. With ``ttl`` a key that didn't ask for so many seconds
+    of the clock is forgotten; as time goes on without data, such a stream does not end by itself (no availableNow). Start
+    the stream inside ``pile_on.keyed_state``, in append or update mode.
     """
     if most_keys < shards:
         raise ValueError("each shard needs room for a key")
     rows = requests.where("key is not null and ts is not null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.col("key").cast("string").alias("key"), "ts")
-    return rows.groupBy("shard").transformWithStateInPandas(Limiter(most, seconds, most_keys // shards, ttl), "key string, ts timestamp, allowed boolean", "append", "processingTime")
+    return rows.groupBy("shard").transformWithStateInPandas(Limiter(most, seconds, most_keys // shards, ttl), "key string, ts timestamp, allowed boolean", "append", "none" if ttl is None else "processingTime")
 
 
 def limited_batch(requests: DataFrame, most: int = 30, seconds: int = 10) -> DataFrame:
