@@ -1,8 +1,9 @@
 """Exact nearest texts of an account among the protected user's posts.
 
-The user's side is bounded by the number of posts sampled (50 by default); it
-is checked before it is broadcast, and a larger one is worked through in
-blocks of that many.
+The user's side is bounded by the number of posts sampled (50 by default). Its
+size is checked before it is broadcast as one matrix; beyond that, both sides are
+packed into blocks of rows, each pair of blocks meets in one task as a product of
+two matrices, and the pairs' best are merged. Nothing is collected then.
 """
 
 from __future__ import annotations
@@ -11,33 +12,86 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine, mean_vector
 
 MOST = 500
+#: Rows of a packed block.
+BLOCK = 2048
 
 
-def best_match(targets: DataFrame, mine: DataFrame, most: int = MOST) -> DataFrame:
+def best_match(targets: DataFrame, mine: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """target_id, mine_id, similarity: the last of equally near posts of mine. targets: target_id, a; mine: mine_id, b.
 
-    A block of mine is one matrix, and a batch of targets is multiplied by it at
-    once. Null, empty, zero or differently long vectors have similarity 0.
+    Null, empty, zero or differently long vectors have similarity 0.
     """
     kind = dict(targets.dtypes)["target_id"]
     out = f"target_id {kind}, mine_id {dict(mine.dtypes)['mine_id']}, similarity double"
-    blocks = -(-mine.count() // most)
-    found = None
-    for k in range(blocks):
-        block = mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("mine_id"), F.lit(blocks)) == k)
-        rows = sorted(block.select("mine_id", F.col("b").cast("array<double>").alias("b")).collect(), key=lambda r: r.mine_id, reverse=True)
-        pairs = targets.select("target_id", F.col("a").cast("array<double>").alias("a")).mapInArrow(_best(rows, to_arrow_type(mine.schema["mine_id"].dataType)), out)
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
+    rows = mine.select("mine_id", F.col("b").cast("array<double>").alias("b"))
+    head = rows.limit(most + 1).collect()
+    if not head:
         return targets.select("target_id", mine_none(mine), F.lit(0.0).alias("similarity")).where("false")
-    if blocks == 1:
-        return found
-    best = found.groupBy("target_id").agg(F.max(F.struct("similarity", "mine_id")).alias("m"))
+    if len(head) <= most:
+        head = sorted(head, key=lambda r: r.mine_id, reverse=True)
+        return targets.select("target_id", F.col("a").cast("array<double>").alias("a")).mapInArrow(_best(head, to_arrow_type(mine.schema["mine_id"].dataType)), out)
+    return _by_blocks(targets, rows, block, out)
+
+
+def packed(rows: DataFrame, blocks: int, block: int, names: tuple[str, str]) -> DataFrame:
+    """(part, dim, ids, vecs): rows (id, vec) dealt into ``blocks`` parts, unit vectors of one length packed ``block`` at a time. Vectors without direction go."""
+    kind = rows.schema[names[0]].dataType
+
+    def run(batches):
+        def send(part, dim, ids, vecs):
+            m = np.concatenate(vecs)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([dim], pa.int32()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(to_arrow_type(kind))), pa.array([m.tobytes()], pa.binary())], ["part", "dim", "ids", "vecs"])
+
+        ids, vecs, key, n = [], [], None, 0
+        for b in batches:
+            parts, dims = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (dims[1:] != dims[:-1]))).tolist() if b.num_rows else []
+            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                for at in range(lo, hi, block):
+                    some = b.slice(at, min(block, hi - at))
+                    own = (int(parts[lo]), int(dims[lo]))
+                    if n and (own != key or n + some.num_rows > block):
+                        yield send(*key, ids, vecs)
+                        ids, vecs, n = [], [], 0
+                    m = np.nan_to_num(np.asarray(some.column(3).flatten().to_numpy(zero_copy_only=False), np.float64)).reshape(-1, own[1])
+                    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    key, n = own, n + some.num_rows
+                    ids.append(some.column(2))
+                    vecs.append(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+        if n:
+            yield send(*key, ids, vecs)
+
+    there = rows.select(F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int").alias("part"), F.size(names[1]).alias("dim"), *names).where("dim > 0")
+    return there.repartition("part", "dim").sortWithinPartitions("part", "dim").mapInArrow(run, T.StructType([*T._parse_datatype_string("part int, dim int").fields, T.StructField("ids", T.ArrayType(kind)), T.StructField("vecs", T.BinaryType())]))
+
+
+def _by_blocks(targets: DataFrame, mine: DataFrame, block: int, out: str) -> DataFrame:
+    theirs = targets.select("target_id", F.col("a").cast("array<double>").alias("a"))
+    n, m = (max(1, -(-x.count() // block)) for x in (theirs, mine))
+    left = packed(theirs, n, block, ("target_id", "a"))
+    right = packed(mine, m, block, ("mine_id", "b")).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "dim", F.col("ids").alias("mine_ids"), F.col("vecs").alias("mine_vecs"))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                dim = b.column("dim")[r].as_py()
+                x, y = (np.frombuffer(b.column(c)[r].as_py(), np.float64).reshape(-1, dim) for c in ("vecs", "mine_vecs"))
+                ids, own = b.column("ids")[r].values, b.column("mine_ids")[r].values
+                last = np.argsort(np.array(own.to_pylist()), kind="stable")[::-1]
+                near = np.clip(x @ y[last].T, 0, 1).round(12)
+                first = near.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([ids, own.take(pa.array(last[first])), pa.array(near[np.arange(len(first)), first])], ["target_id", "mine_id", "similarity"])
+
+    pairs = left.join(right, ["part", "dim"]).mapInArrow(run, out)
+    # Whoever has no direction, or no vector of mine of its length, is as near to the last of mine as to any.
+    nobody = theirs.select("target_id").distinct().crossJoin(F.broadcast(mine.agg(F.max("mine_id").alias("mine_id")))).select("target_id", "mine_id", F.lit(0.0).alias("similarity"))
+    best = pairs.unionByName(nobody).groupBy("target_id").agg(F.max(F.struct("similarity", "mine_id")).alias("m"))
     return best.select("target_id", "m.mine_id", "m.similarity")
 
 

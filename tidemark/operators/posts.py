@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import language, scoring
 
+#: Of the sketch that brackets a median: its ranks are off by a share of 1 / ACCURACY at most.
+ACCURACY = 10_000
+
 KIND_ORDER = {"original": 0, "reply": 1, "quote": 2}
 
 
@@ -84,9 +87,42 @@ def engagement(posts: DataFrame, key: str = "account_id") -> DataFrame:
     return posts.groupBy(key).agg(F.coalesce(F.avg(F.col("likes") + F.col("reposts")), F.lit(0.0)).alias("avg_engagement"))
 
 
-def median_of(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the exact interpolated median, 0 when there is none."""
-    return rows.agg(F.coalesce(F.percentile(F.col(column), 0.5), F.lit(0.0)).alias("median"))
+def median_of(rows: DataFrame, column: str, few: int = 1 << 16) -> DataFrame:
+    """One row: the exact interpolated median, 0 when there is none.
+
+    Values are never brought together: a sketch gives two values closely around
+    the middle, one pass counts what lies below, on and between them, and only
+    what lies between is looked at further, until ``few`` values at most are left.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    head = [r.v for r in values.limit(few + 1).collect()]
+    n = len(head) if len(head) <= few else values.count()
+    ranks = sorted({(n - 1) // 2, n // 2}) if n else []
+    found: dict[int, float] = {}
+    base, left = 0, n  # rank of the first of the values that are left, and their number
+    while len(found) < len(ranks):
+        wanted = [r for r in ranks if r not in found]
+        if left <= few:
+            last = sorted(head) if left == n else [r.v for r in values.orderBy("v").collect()]
+            found |= {r: last[r - base] for r in wanted}
+            break
+        around = [(wanted[0] - base) / left - 2 / ACCURACY, (wanted[-1] - base + 1) / left + 2 / ACCURACY]
+        a, b = values.agg(F.percentile_approx("v", [min(max(x, 0.0), 1.0) for x in around], ACCURACY)).first()[0]
+        v = F.col("v")
+        counts = values.agg(F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (b > a))).first()
+        parts = [(v < a, None), (v == a, a), ((v > a) & (v < b), None), ((v == b) & (b > a), b), (v > b, None)]
+        start = base
+        for (where, value), size in zip(parts, [*counts, base + left], strict=True):
+            inside = [r for r in wanted if start <= r < start + size]
+            if value is not None:
+                found |= dict.fromkeys(inside, value)
+            elif inside:  # of one part only: its neighbours are values that are there
+                values, rest = values.where(where), (start, min(size, base + left - start))
+            start += size
+        if len(found) < len(ranks):
+            base, left = rest
+    middle = sum(found.values()) / len(found) if found else 0.0
+    return rows.sparkSession.createDataFrame([(float(middle),)], "median double")
 
 
 def fingerprint_posts(posts: DataFrame, least: int = 15, key: str = "account_id") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import graph
-from ..sources.store import Store
-from . import context
+from ..sources.store import State, Store
+from . import context, ranking, steps
 
 SAID = ["quote", "reply"]
 
@@ -39,3 +39,49 @@ def candidates(events: DataFrame, originals: DataFrame, edges: DataFrame, me, sc
     spoke = pairs.groupBy("account_id").agg(F.count("*").alias("direct_pairs"))
     found = found.join(piled, "account_id", "left").join(spoke, "account_id", "left")
     return found.withColumns({"pile_on": F.coalesce("pile_on", F.lit(False)), "direct_pairs": F.coalesce("direct_pairs", F.lit(0))}), pairs
+
+
+def scored(
+    store: Store, run_id: str, events: DataFrame, originals: DataFrame, edges: DataFrame, me, posts: DataFrame, overlap: DataFrame, targets: DataFrame, mine: DataFrame,
+    score_pairs: context.PairScorer, known: DataFrame, as_of, days: int = 7, stop_after: str | None = None,
+) -> DataFrame | None:
+    """From events to scores in restartable steps; the scores of this run's candidates, best first by ``score`` and id.
+
+    record: new events, with those that the store has. candidates: who is to be scored, with pile-on, distance and direct
+    pairs. first: scores without context. context: hostility of direct pairs, and of inferred pairs for accounts that have
+    none and come up to Watch. score: scores with everything. ``known`` has the accounts that were scored before, with scored_at;
+    for the other arguments see ``candidates``, ``context.inferred_pairs`` and ``ranking.account_scores``.
+    """
+
+    def recorded(_: State) -> dict[str, DataFrame]:
+        record(store, events)
+        return {}
+
+    def chosen(at: State) -> dict[str, DataFrame]:
+        found, pairs = candidates(store.read("events", at), originals, edges, me, known, as_of, days)
+        return {"candidates": found, "direct_pairs": pairs.join(found.select("account_id"), "account_id", "left_semi")}
+
+    def scores(at: State, told: DataFrame | None) -> DataFrame:
+        these = store.read("candidates", at)
+        of = posts.join(these.select("account_id"), "account_id", "left_semi")
+        return ranking.account_scores(of, overlap, these.where("pile_on").select("account_id"), told, these.select("account_id", "graph_distance"))
+
+    def hostile(at: State) -> dict[str, DataFrame]:
+        these = store.read("candidates", at).select("account_id")
+        made = context.contexts(store.read("first_scores", at), store.read("direct_pairs", at), targets.join(these, "account_id", "left_semi"), mine, score_pairs)
+        return {"contexts": made}
+
+    done = steps.go_on(
+        store,
+        "amplification",
+        run_id,
+        [
+            ("record", recorded),
+            ("candidates", chosen),
+            ("first", lambda at: {"first_scores": scores(at, None)}),
+            ("context", hostile),
+            ("score", lambda at: {"account_scores": scores(at, store.read("contexts", at))}),
+        ],
+        stop_after,
+    )
+    return store.read("account_scores").orderBy(F.desc("score"), "account_id") if done else None

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import queries_accounts, queries_composed, queries_discovery, queries_events, queries_scalar, queries_tables  # noqa: E402, F401
+from . import queries_accounts, queries_composed, queries_discovery, queries_events, queries_runs, queries_scalar, queries_tables  # noqa: E402, F401
