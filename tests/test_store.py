@@ -4,12 +4,13 @@ import json
 import os
 import sys
 import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidemark.operators import classify
+from tidemark.operators import classify, metrics
 from tidemark.plans import phases
 from tidemark.sources import queue
 from tidemark.sources.store import MERGE, Conflict, Held, Store, update_columns
@@ -193,8 +194,12 @@ def test_failures_by_kind(spark):
     assert len(got) == 36 and {c: k for c, k in kinds.items() if k} == {2: "transient", 5: "cost_cap", 7: "abort"}
     assert (got[3].toxic_token, got[3].confidence, got[3].model_id) == (False, 0.0, "decode-error") and got[2].toxic_token and got[1].model_id == "model"
     assert got[8].tries == 2 and got[20].tries == 1 and got[30].detail == "1 verdicts for 4 texts"
-    assert classify.outcome(classify.in_chunks(texts, ask))[0] == "cost_cap"
-    assert classify.outcome(classify.in_chunks(texts.where("chunk < 2"), ask)) == (None, None, 8, 1)
+    tried = classify.in_chunks(texts, ask, tries=2)
+    rows, seen = metrics.watched(tried, metrics.classification(tried))
+    assert rows.count() == 36
+    want = {"texts": 36, "judged": 24, "toxic": 12, "decode_errors": 1, "retried": 4, "cost_cap": 4, "abort": 4, "transient": 4}
+    assert {k: seen.get[k] for k in want} == want == {**want, "toxic": sum(bool(r.toxic_token) for r in got.values())}
+    assert seen.get["abort_detail"] == "1 verdicts for 4 texts" and seen.get["transient_detail"] == "busy"
     assert classify.in_chunks(texts.where("false"), ask).count() == 0
 
 
@@ -209,6 +214,26 @@ def test_a_passing_failure_is_tried_again_at_once(spark):
     assert [r.tries for r in got] == [2] * 3 and not any(r.failure for r in got)
 
 
+def test_counts_of_a_stream(spark, tmp_path):
+    """What the micro-batches observed adds up to a second count."""
+    folder = f"file://{tmp_path}"
+    spark.range(100).selectExpr("id", "id % 3 = 0 AS toxic").repartition(4).write.parquet(f"{folder}/in")
+    seen = metrics.StreamCounts("judged")
+    spark.streams.addListener(seen)
+    try:
+        stream = spark.readStream.schema("id long, toxic boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream = stream.observe("judged", F.count(F.lit(1)).alias("texts"), F.count_if("toxic").alias("toxic"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(50):
+            if seen.total["texts"] == 100:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    out = spark.read.parquet(f"{folder}/out")
+    assert dict(seen.total) == {"texts": out.count(), "toxic": out.where("toxic").count()} and seen.batches == 4
+
+
 def by_chunk(judge):
     return lambda rows: classify.in_chunks(rows.withColumn("chunk", F.floor(F.col("_n") / 4)), judge)
 

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Verdict (flag, confidence) of each text, in order; an exception in its place costs that text only.
@@ -91,9 +90,3 @@ def in_chunks(rows: DataFrame, ask: Batch, chunk: str = "chunk", order: str = "_
 
     return rows.select(*names).repartition(chunk).sortWithinPartitions(chunk, order).mapInPandas(stream, made)
 
-
-def outcome(tried: DataFrame) -> tuple[str | None, str | None, int, int]:
-    """(the kind that stops a run or none, its detail, verdicts, decode errors) of some tried rows."""
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(STOPS) for x in (k, i)])[F.col("failure")]
-    r = tried.agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "failure", "detail"))).alias("worst"), F.count("toxic_token").alias("judged"), F.count_if(F.col("model_id") == DECODE_ERROR).alias("errored")).first()
-    return (r.worst.failure if r.worst else None), (r.worst.detail if r.worst else None), r.judged, r.errored

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import envelope
 from ..operators import posts as P
-from ..operators import verdicts
-from ..operators.classify import outcome
+from ..operators import metrics, verdicts
 from ..sources import queue as Q
 from ..sources import store as S
 from ..sources.queue import KEYS
@@ -82,15 +81,15 @@ def drain(store: S.Store, classify: verdicts.Classifier, batch: int | None = Non
             return Drained("cost_capped", judged, errored)
         tried = classify(batches.where(F.col("batch") == b).drop("batch"))
         tried = tried.withColumns({c: F.lit(None).cast("string") for c in ("failure", "detail", "model_id") if c not in tried.columns})
-        tried = store.replace("burst_tried", tried.select(*KEYS, "toxic_token", "confidence", "model_id", "failure", "detail"))
+        # The pass that appends the verdicts is the one that counts them: the classifier is asked once.
+        tried, seen = metrics.watched(tried, metrics.classification(tried))
         Q.judge(store, "queue", tried)
-        stop, detail, n, bad = outcome(tried)
-        judged, errored = judged + n, errored + bad
-        if stop == "cost_cap":
+        judged, errored = judged + seen.get["judged"], errored + seen.get["decode_errors"]
+        if seen.get["cost_cap"]:
             return Drained("cost_capped", judged, errored)
-        if stop == "abort":
-            raise BurstAborted(detail)
-        if stop == "transient":
+        if seen.get["abort"]:
+            raise BurstAborted(seen.get["abort_detail"])
+        if seen.get["transient"]:
             return Drained("interrupted", judged, errored)
     return Drained("complete", judged, errored)
 
