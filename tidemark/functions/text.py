@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -117,6 +118,14 @@ def first_match(text: Column, hints: dict[str, list[str]]) -> Column:
     return out
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with each mark replaced by its value, all at once: a mark that stands in a value is plain text."""
+    parts = re.split("(" + "|".join(map(re.escape, values)) + ")", template)
+    if sorted(p for p in parts if p in values) != sorted(values):
+        raise ValueError("each mark must stand in the template once")
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if p in values else F.lit(p) for p in parts])
+
+
 def actor(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), "^@", "")
 

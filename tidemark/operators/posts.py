@@ -135,3 +135,22 @@ def early_exit(first_person: DataFrame, overlap: Column, gate: float = 0.15, key
     """Accounts that need no second look: five scores at least, all clean, and little overlap."""
     s = first_person.groupBy(key).agg(F.count("score").alias("n"), F.max("score").alias("top"), F.first(overlap).alias("overlap"))
     return s.withColumn("early_exit", (F.col("n") >= 5) & F.col("overlap").isNotNull() & (F.col("overlap") < gate) & (F.col("top") < scoring.CLEAN))
+
+
+def stage1(posts: DataFrame, first_person: DataFrame, overlap: Column, key: str = "account_id") -> DataFrame:
+    """What the first look at an account comes to: NotAssessed, InsufficientData, Low (no second look) or Proceed, in one column."""
+    gate = assess(posts, key=key).select(key, "outcome", "assessable")
+    seen = early_exit(first_person, overlap, key=key).select(key, "early_exit")
+    outcome = F.when(F.col("outcome") == "NotAssessed", "NotAssessed").when(F.col("outcome") != "Score", "InsufficientData").when(F.col("early_exit"), "Low").otherwise("Proceed")
+    return gate.join(seen, key, "left").select(key, "assessable", outcome.alias("stage1"))
+
+
+def top_pairs(pairs: DataFrame, n: int, key: str = "account_id", score: str = "similarity", order: str = "uri") -> DataFrame:
+    """The n pairs of each account that are most alike, with their rank; ties by ``order``."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), order)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def in_input_order(results: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
+    """Results that came in any order, in that of ``inputs`` (key, position); a key that was asked twice is answered twice, one without a result has nulls."""
+    return inputs.join(results, key, "left").orderBy("position")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,26 @@ def clean_pass(rows: DataFrame, score: BatchScorer, text: str = "text", batch: i
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def each_account(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "account_id", most: int = 500) -> DataFrame:
+    """What ``work`` makes of each account's rows, with ``error``: one account that fails is one row with its error, and costs no other.
+
+    For steps that need Python over a whole account's sample, which is bounded (an account with more than ``most`` rows fails).
+    """
+    kind = rows.schema[key].dataType
+    made = T.StructType([T.StructField(key, kind), *T._parse_datatype_string(schema).fields, T.StructField("error", T.StringType())])
+
+    def run(account: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            if len(frame) > most:
+                raise ValueError(f"{len(frame)} rows")
+            out = work(frame).assign(error=None)
+        except Exception as e:  # noqa: BLE001  whatever it is, it stays with its account
+            out = pd.DataFrame([dict.fromkeys(made.names) | {"error": f"{type(e).__name__}: {e}"}])
+        return out.assign(**{key: account[0]})[made.names]
+
+    return rows.groupBy(key).applyInPandas(run, made)
+
+
 def split_clean(scored: DataFrame, threshold: float = scoring.CLEAN) -> tuple[DataFrame, DataFrame]:
     """(clean, survivors) by a primary score strictly below the threshold; rows without a score are in neither."""
     return scored.where(F.col("score") < threshold), scored.where(F.col("score") >= threshold)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import classify
+from ..functions import text
+from ..operators import classify, verdicts
 from ..operators import posts as P
-from ..sources import queue
+from ..sources import paged, queue, records
 from ..sources.scratch import shared_dir
 from ..sources.store import Store, with_ids
 from ..streaming import limits, pile_on
@@ -168,3 +169,88 @@ def amplification_scored(spark, sf_dir):
 def median_in_passes(spark, sf_dir):
     """The exact median of a column, narrowed by sketches until a few values are left."""
     return P.median_of(table(spark, sf_dir, "events"), "value", few=64).select(F.round("median", 6).alias("median"))
+
+
+def pages_of(spark: SparkSession, sf_dir: str, size: int = 20) -> str:
+    """Posts of each account as feed pages of ``size``, oldest page 0, newest item of a page first; the folder."""
+    p = posts(spark, sf_dir).select(F.col("account_id").alias("author"), "seq", F.col("uri").cast("string").alias("uri"), "text")
+    nth = F.row_number().over(Window.partitionBy("author").orderBy("seq")) - 1
+    p = p.withColumn("page", F.floor(nth / size))
+    items = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "uri", "text")))), lambda x: x)
+    made = p.groupBy("author", "page").agg(items.alias("items")).withColumn("cursor", F.when(F.col("page") > 0, F.col("page") - 1))
+    line = F.to_json(F.struct("cursor", "items"), {"ignoreNullFields": "false"})
+    folder = new_folder(spark, "feed")
+    made.select("author", F.lpad(F.col("page").cast("string"), 8, "0").alias("page"), line.alias("value")).write.partitionBy("author", "page").text(folder)
+    return folder
+
+
+@query("WITH " + POSTS + ", n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq DESC) AS nth FROM posts) SELECT account_id, uri::VARCHAR AS uri, md5(text) AS text FROM n WHERE nth <= 30")
+def feed_newest(spark, sf_dir):
+    """The 30 newest posts of each account, from pages of 20: two pages of each are read, whatever the account has."""
+    return paged.feed(spark, pages_of(spark, sf_dir), most=30).select(F.col("author").alias("account_id"), "uri", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("WITH " + POSTS + " SELECT uri::VARCHAR AS uri, seq FROM posts WHERE account_id = 'src3' AND seq > (SELECT quantile_disc(seq, 0.8) FROM posts)")
+def feed_since(spark, sf_dir):
+    """One account's posts after a point: other folders and older pages aren't read."""
+    since = posts(spark, sf_dir).agg(F.expr("percentile_disc(0.8) WITHIN GROUP (ORDER BY seq)")).first()[0]
+    return paged.feed(spark, pages_of(spark, sf_dir)).where((F.col("author") == "src3") & (F.col("seq") > since)).select("uri", "seq")
+
+
+RAW = "r AS (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN props[1:len(props) - 1] WHEN event_id % 5 = 0 THEN replace(replace(props, ': ', ': \"x'), '}', '\"}') ELSE props END AS raw FROM events)"
+
+
+@query("WITH " + RAW + " SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS malformed, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 = 0) AS of_another_type, CAST(sum(CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN CAST(raw->>'$.k' AS BIGINT) END) AS BIGINT) AS k FROM r GROUP BY 1")
+def typed_properties(spark, sf_dir):
+    """Properties decoded by type, some of them cut off and some of another type: what is malformed is counted, not lost."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    raw = F.when(i % 7 == 0, F.expr("left(props, length(props) - 1)")).when(i % 5 == 0, F.replace(F.replace("props", F.lit(": "), F.lit(': "x')), F.lit("}"), F.lit('"}'))).otherwise(F.col("props"))
+    made = records.typed(e.select("event_id", "event_type", raw.alias("raw")), "raw", {"k": ("$.k", "long"), "other": ("$.other", "string")})
+    return made.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if("malformed").alias("malformed"), F.count_if(~F.col("malformed") & F.col("k").isNull() & F.col("other").isNull()).alias("of_another_type"), F.sum("k").alias("k")
+    )
+
+
+@query("WITH " + POSTS + ", t AS (SELECT uri AS root FROM posts WHERE post_kind = 'original') SELECT p.parent_uri AS root, p.uri, md5(p.text) AS text FROM posts p JOIN t ON p.parent_uri = t.root")
+def thread_by_parent(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    found = records.replies_to(p, p.where("post_kind = 'original'"))
+    return found.select("root", "uri", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("WITH " + POSTS.replace("d.source AS account_id", "d.source || '-' || d.lang AS account_id") + """, g AS (SELECT account_id, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang <> 'en') AS u FROM posts GROUP BY 1),
+x AS (SELECT account_id, count(score) >= 5 AND max(score) < 0.5 AS calm FROM posts WHERE post_kind <> 'reply' GROUP BY 1)
+SELECT account_id, a AS assessable, CASE WHEN a < 5 AND u >= greatest(1, a) THEN 'NotAssessed' WHEN a < 5 THEN 'InsufficientData' WHEN calm THEN 'Low' ELSE 'Proceed' END AS stage1 FROM g LEFT JOIN x USING (account_id)""")
+def stage1_outcomes(spark, sf_dir):
+    """Scores are scaled down to a fifth here, so that some accounts are calm."""
+    p = posts(spark, sf_dir).withColumn("account_id", F.concat_ws("-", "account_id", "lang"))
+    return P.stage1(p, p.where("post_kind <> 'reply'").withColumn("score", F.col("score") / 5), F.lit(0.0))
+
+
+@query("SELECT l_suppkey AS account_id, uri, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS uri, CAST(l_discount AS DOUBLE) AS similarity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 10")
+def pairs_by_similarity(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("account_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uri"), F.col("l_discount").cast("double").alias("similarity"))
+    return P.top_pairs(pairs, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("WITH " + POSTS + ", n AS (SELECT account_id, count(*) AS n, count(*) FILTER (text IS NULL OR text = '') AS bad, sum(length(text)) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq DESC) AS nth FROM posts) WHERE nth <= 50 GROUP BY 1) SELECT account_id, CASE WHEN chars % 3 <> 0 THEN chars END AS chars, CASE WHEN chars % 3 = 0 THEN 'ValueError: not today' END AS error FROM n")
+def accounts_isolated(spark, sf_dir):
+    """A step in Python over each account's newest posts that fails for some accounts: those have an error, the others their result."""
+
+    def work(frame):
+        n = int(frame.text.str.len().sum())
+        if n % 3 == 0:
+            raise ValueError("not today")
+        return frame.head(1).assign(chars=n)[["chars"]]
+
+    return verdicts.each_account(P.newest(posts(spark, sf_dir), 50).select("account_id", "text"), work, "chars long")
+
+
+TEMPLATE = "POLICY\n<<policy>>\nCONTENT\n<<content>>\nEND"
+
+
+@query("SELECT doc_id, md5('POLICY' || chr(10) || source || ' says <<content>>' || chr(10) || 'CONTENT' || chr(10) || text || chr(10) || 'END') AS prompt FROM documents")
+def prompts(spark, sf_dir):
+    """A mark that stands in a value stays as it is."""
+    values = {"<<policy>>": F.concat("source", F.lit(" says <<content>>")), "<<content>>": F.col("text")}
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.filled(TEMPLATE, values).cast("binary")).alias("prompt"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import discovery, graph, topics
+from ..operators.verdicts import Classifier
+from ..sources.store import Store
+from . import phases
 
 #: Authors (account_id) of posts that match a keyword, at most so many.
 Search = Callable[[str, int], DataFrame]
@@ -49,3 +52,16 @@ def both(keywords: list[str], search: Search, edges: DataFrame, me, scores: Data
         return topic
     walked = graph_sweep(edges, me, scores, as_of, days).select("account_id", F.lit("graph").alias("source"))
     return topic.unionByName(walked.join(topic.select("account_id"), "account_id", "left_anti"))
+
+
+def scored(store: Store, found: DataFrame, posts: DataFrame, texts: DataFrame, overlap: DataFrame, classify: Classifier, batch: int | None = None, owner: str | None = None) -> DataFrame | None:
+    """The accounts that a sweep found, scored by the phased run over their posts (no pile-ons and no context in a sweep).
+
+    Who was found is written once: a run that was stopped goes on with the same accounts. None if it was stopped again.
+    """
+    at = store.state()
+    if "sweep_found" not in at.tables:
+        store.replace_all({"sweep_found": found.select("account_id").distinct()}, since=at)
+    these = store.read("sweep_found")
+    of = posts.join(these, "account_id", "left_semi")
+    return phases.run(store, of, texts, overlap, these.where("false"), classify, batch=batch, owner=owner)

@@ -34,6 +34,43 @@ def thread_replies(raw: DataFrame, column: str) -> DataFrame:
     return out.where("coalesce(did, '') <> '' and coalesce(text, '') <> ''")
 
 
+def typed(raw: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """``raw`` with a column for each field (path, type) of a JSON text, and ``malformed``.
+
+    A path that isn't there, or whose value isn't of the type, gives null; text that is no JSON is malformed, and so are all
+    its fields null. The text is parsed once. A null text isn't malformed.
+    """
+    parsed = raw.withColumn("_v", F.try_parse_json(column))
+    made = {name: F.try_variant_get("_v", path, kind) for name, (path, kind) in fields.items()}
+    return parsed.withColumns({**made, "malformed": F.col(column).isNotNull() & F.col("_v").isNull()}).drop("_v")
+
+
+def set_aside(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of well-formed texts, malformed rows) of what ``typed`` gives."""
+    return rows.where("not malformed").drop("malformed"), rows.where("malformed").drop("malformed")
+
+
+BLOCK = {"subject": ("$.value.subject", "string"), "created_at": ("$.value.createdAt", "string"), "uri": ("$.uri", "string")}
+
+
+def blocks(raw: DataFrame, column: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(block records: subject, created_at, uri; newest first, at most so many; malformed rows). Records without a subject are left out."""
+    good, bad = set_aside(typed(raw, column, BLOCK))
+    good = good.select("subject", F.try_to_timestamp("created_at").alias("created_at"), "uri").where("subject is not null")
+    good = good.orderBy(F.desc_nulls_last("created_at"), "uri")
+    return (good if most is None else good.limit(most)), bad
+
+
+def replies_to(posts: DataFrame, uris: DataFrame, depth: int = 1) -> DataFrame:
+    """Replies (uri, parent_uri, text ...) under the posts in ``uris`` (uri), with ``root`` and ``depth``; 1 is direct replies only."""
+    found, level = None, uris.select(F.col("uri").alias("root"), F.col("uri").alias("parent_uri")).distinct()
+    for d in range(1, depth + 1):
+        step = posts.join(level, "parent_uri").withColumn("depth", F.lit(d))
+        found = step if found is None else found.unionByName(step)
+        level = step.select("root", F.col("uri").alias("parent_uri")).distinct()
+    return found
+
+
 def json_number(column: Column, path: str) -> Column:
     return F.get_json_object(column, path).try_cast("double")
 
