@@ -331,7 +331,8 @@ def test_recall_of_the_default(spark, monkeypatch):
         pytest.skip("no test tables")
     monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 7)
     monkeypatch.setattr(permutation_index, "SHARD", 800)
-    monkeypatch.setattr(permutation_index, "FEWEST", 400)
+    monkeypatch.setattr(permutation_index, "EACH", 1)  # so that SHARE alone decides: less than a tenth of each shard
+    assert permutation_index.SHARE < 0.1
     got = permutation_index.search(spark.read.parquet(path), F.col("id") % 100 == 0).collect()
     db = duckdb.connect()
     db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")

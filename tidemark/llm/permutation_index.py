@@ -35,13 +35,13 @@ from .scratch import discard, keep
 
 PIVOTS = 512
 #: Pivots that a vector is posted under, and of a query that are visited.
-NEAREST = 64
-VISITED = 32
+NEAREST = 128
+VISITED = 128
 SHARD = 4096
 QUERY_BLOCK = 4096
-#: Share of a shard that is reranked, and the fewest vectors of it.
-SHARE = 0.15
-FEWEST = 1024
+#: Share of a shard that is reranked, and vectors of a shard for each result that is asked for, at least.
+SHARE = 0.08
+EACH = 10
 
 
 def usable(vec: Column) -> Column:
@@ -103,7 +103,7 @@ def _lookup(qids: np.ndarray, qvecs: np.ndarray, near: np.ndarray, m: int, k: in
                 bounds, rows, ranks = (np.frombuffer(x, np.int32) for x in raw[2:])
                 n = len(ids)
                 unique = bool((ids[1:] != ids[:-1]).all())
-                best = min(n, max(FEWEST, int(np.ceil(share * n))))
+                best = min(n, max(EACH * k, int(np.ceil(share * n))))
                 out = []
                 for q in range(len(qids)):
                     saved = np.zeros(n, np.int32)
