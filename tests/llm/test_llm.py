@@ -245,6 +245,30 @@ def test_decontamination(spark, docs, texts, monkeypatch):
     assert [r.doc_id for r in near.where("size(items) > 0").collect()] == [68]
 
 
+def test_proximity_beside_phrases(spark, docs, texts, monkeypatch):
+    """Against every place and window: within a span, in any order, in one document only; several shards and blocks."""
+    tests = [(1, " ".join(alnum(texts[42])[4:18][::-1])), (2, "license mit"), (3, "license license"), (4, " ".join(alnum(texts[69])[90:100]))]
+    want = {}
+    for i, t in texts.items():
+        w, places, items = alnum(t), set(), set()
+        for k, text in tests:
+            b = alnum(text)
+            n = min(10, len(b))
+            for s in range(len(b) - n + 1):
+                terms = set(b[s : s + n])
+                hit = {p for p in range(len(w)) if w[p] == b[s] and terms <= set(w[max(p - 15, 0) : p + 16])}
+                places |= hit
+                items |= {k} if hit else set()
+        want[i] = (len(places), len(items))
+    table = spark.createDataFrame(tests, "item_id long, text string")
+    monkeypatch.setattr(positional_index, "SHARD", 700)
+    for block in (1 << 20, 100):
+        found = positional_index.search(docs, table, near=15, block_bytes=block).collect()
+        assert {r.doc_id: (len(r.near), len(r.near_items)) for r in found} == want
+    got = positional_index.contamination(docs, table, near=15).collect()
+    assert {r.doc_id: (r.n_near, r.n_near_items) for r in got} == want and sum(v[0] for v in want.values()) > 5
+
+
 def test_licenses(docs, texts):
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     r = got[68]

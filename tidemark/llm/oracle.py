@@ -24,11 +24,22 @@ hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(r
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
   FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+),
+bt AS (SELECT item, g, string_split(g, ' ') AS t FROM bw),
+v AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(t) AS word FROM bt)),
+bi AS (SELECT item, g, list(DISTINCT id) AS ids, min(id) FILTER (word = t[1]) AS first FROM (SELECT item, g, t, unnest(t) AS word FROM bt) JOIN v USING (word) GROUP BY item, g),
+dl AS (SELECT doc_id, p, coalesce(id, 0) AS id FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN v USING (word)),
+ds AS (SELECT doc_id, list(id ORDER BY p) AS ws, list(DISTINCT id) AS own FROM dl GROUP BY doc_id),
+pairs AS (SELECT doc_id, ws, item, first, ids FROM ds JOIN bi ON list_has_all(own, ids)),
+near AS (
+  SELECT doc_id, count(DISTINCT p) AS n_near, count(DISTINCT item) AS n_near_items
+  FROM pairs JOIN dl USING (doc_id) WHERE id = first AND list_has_all(ws[greatest(p - 20, 1) : p + 20], ids) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hits.n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(items.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
-  coalesce(hits.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+  coalesce(hits.n_hit, 0) > 0 AS contaminated, CAST(coalesce(near.n_near, 0) AS BIGINT) AS n_near,
+  CAST(coalesce(near.n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
 """
 
 SUBSTRINGS = f"""

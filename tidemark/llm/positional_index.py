@@ -6,8 +6,9 @@ stands. It is written once, for all words, whatever the tests are.
 
 A test window starts from its rarest term's list in a shard and is intersected
 with the other terms' lists, each shifted by its offset; what is left after the
-last term are exact phrase matches. ``near`` is the proximity form: all terms of
-a phrase within a span of words.
+last term are exact phrase matches. In the same pass, proximity matches are the
+places of a window's first term that have all its other terms within a span of words,
+narrowed from the rarest of them on.
 
 Tests are taken in blocks of a bounded number of bytes. One block at a time is
 on the driver and broadcast; with several, what a block hits is written before
@@ -40,7 +41,9 @@ BLOCK_BYTES = 4 << 20
 SHARD = 1 << 20
 
 INDEX = "ids array<long>, ths array<long>, n_words binary, terms binary, bounds binary, places binary"
-HITS = "doc_id long, _tm_th long, n_words long, hits array<int>, items array<string>"
+HITS = "doc_id long, _tm_th long, n_words long, hits array<int>, items array<string>, near array<int>, near_items array<string>"
+#: Words within which all terms of a window must stand for a proximity match.
+SPAN = 20
 
 
 @dataclass
@@ -120,19 +123,26 @@ class Shard:
         return starts[(starts >= 0) & (self.document(np.maximum(starts, 0)) == self.document(last))]
 
     def near(self, window: np.ndarray, span: int) -> np.ndarray:
-        """Places of the rarest term that have every other term within ``span`` words in its document."""
-        window = np.unique(window)
-        window = window[np.argsort(self.lengths[window], kind="stable")]
+        """Places of the window's first term that have every other term within ``span`` words in their document; the rarest is looked for first."""
+        others = np.unique(window)
+        others = others[others != window[0]]
         places = self.postings(window[0])
-        for term in window[1:]:
+        for term in others[np.argsort(self.lengths[others], kind="stable")]:
             other = self.postings(term)
             if not len(other) or not len(places):
                 return places[:0]
-            k = np.searchsorted(other, places)
-            left, right = other[np.maximum(k - 1, 0)], other[np.minimum(k, len(other) - 1)]
-            doc = self.document(places)
-            close = [(abs(o - places) <= span) & (self.document(o) == doc) for o in (left, right)]
-            places = places[close[0] | close[1]]
+            if len(other) < len(places):  # marked from the shorter list: each of its places makes a stretch good
+                doc = self.document(other)
+                lo = np.searchsorted(places, np.maximum(other - span, self.first[doc]))
+                hi = np.searchsorted(places, np.minimum(other + span, self.first[doc + 1] - 1), "right")
+                marks = np.bincount(lo, minlength=len(places) + 1) - np.bincount(hi, minlength=len(places) + 1)
+                places = places[np.cumsum(marks[:-1]) > 0]
+            else:
+                k = np.searchsorted(other, places)
+                left, right = other[np.maximum(k - 1, 0)], other[np.minimum(k, len(other) - 1)]
+                doc = self.document(places)
+                close = [(abs(o - places) <= span) & (self.document(o) == doc) for o in (left, right)]
+                places = places[close[0] | close[1]]
         return places
 
 
@@ -168,75 +178,72 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return keep(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, INDEX), "postings")
 
 
-def _search(tests: Tests, span: int | None, hits_only: bool):
+def _search(tests: Tests, span: int | None, hits_only: bool, near: int | None = None):
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 shard = Shard.from_row([batch.column(c)[r].as_py() for c in range(2, 6)])
                 shard.ask(tests.terms)
-                places, pairs = [np.zeros(0, np.int64)], set()
+                rows = len(shard.n_words)
+                found = [([np.zeros(0, np.int64)], set()) for _ in range(2)]
                 for n, windows in tests.windows.items():
                     for k in np.flatnonzero(shard.lengths[windows].min(axis=1) > 0):
-                        starts = shard.phrase(windows[k]) if span is None else shard.near(windows[k], span)
-                        if not len(starts):
-                            continue
-                        places.append((starts[:, None] + np.arange(n if span is None else 1)).ravel())
-                        pairs.update((d, item) for d in np.unique(shard.document(starts)).tolist() for item in tests.items[n][k])
-                hit = np.unique(np.concatenate(places))
-                doc = shard.document(hit)
-                rows = len(shard.n_words)
-                by_doc: list[list[str]] = [[] for _ in range(rows)]
-                for d, item in sorted(pairs):
-                    by_doc[d].append(item)
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[r].values,
-                        batch.column(1)[r].values,
-                        pa.array(shard.n_words, pa.int64()),
-                        lists(hit - shard.first[doc], np.bincount(doc, minlength=rows), pa.int32()),
-                        pa.array(by_doc, pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "_tm_th", "n_words", "hits", "items"],
-                )
-                yield out.take(pa.array(np.unique(doc))) if hits_only else out
+                        first = shard.phrase(windows[k]) if span is None else shard.near(windows[k], span)
+                        close = first[:0] if near is None else shard.near(windows[k], near)
+                        for (places, pairs), starts, width in zip(found, (first, close), (n if span is None else 1, 1), strict=True):
+                            if len(starts):
+                                places.append((starts[:, None] + np.arange(width)).ravel())
+                                pairs.update((d, item) for d in np.unique(shard.document(starts)).tolist() for item in tests.items[n][k])
+                columns, any_hit = [], []
+                for places, pairs in found:
+                    hit = np.unique(np.concatenate(places))
+                    doc = shard.document(hit)
+                    by_doc: list[list[str]] = [[] for _ in range(rows)]
+                    for d, item in sorted(pairs):
+                        by_doc[d].append(item)
+                    columns += [lists(hit - shard.first[doc], np.bincount(doc, minlength=rows), pa.int32()), pa.array(by_doc, pa.list_(pa.string()))]
+                    any_hit.append(doc)
+                out = pa.RecordBatch.from_arrays([batch.column(0)[r].values, batch.column(1)[r].values, pa.array(shard.n_words, pa.int64()), *columns], ["doc_id", "_tm_th", "n_words", "hits", "items", "near", "near_items"])
+                yield out.take(pa.array(np.unique(np.concatenate(any_hit)))) if hits_only else out
 
     return run
 
 
-def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: n_words, the places that a test phrase covers, and the ids of the tests.
+def search(docs: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, near: int | None = None) -> DataFrame:
+    """One row per document: n_words, ``hits``, the places that a test phrase covers, and ``items``, the ids of the tests.
 
-    With ``span`` the proximity form runs: places of a window's rarest term
-    that have all its other terms within that many words.
+    With ``span`` these are proximity matches instead: places of a window's first
+    term that have all its other terms within that many words, in any order. With
+    ``near`` those within so many words are given as well, in ``near`` and ``near_items``.
     """
-    return look_up(build(docs, id_col, text_col), tests, width, span, block_bytes)
+    return look_up(build(docs, id_col, text_col), tests, width, span, block_bytes, near)
 
 
-def look_up(index: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def look_up(index: DataFrame, tests: DataFrame, width: int = WINDOW, span: int | None = None, block_bytes: int = BLOCK_BYTES, near: int | None = None) -> DataFrame:
     """As ``search``, in a table of ``build``."""
     tests = tests.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("t")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     read = lambda df: windows_of(sorted((r.item, r.t or "") for r in df.collect()), width)
     if blocks == 1:
-        return index.mapInArrow(_search(read(tests), span, False), HITS).drop("_tm_th")
-    every = index.mapInArrow(_search(windows_of([], width), span, False), HITS).withColumn("_tm_rows", F.lit(1))
+        return index.mapInArrow(_search(read(tests), span, False, near), HITS).drop("_tm_th")
+    every = index.mapInArrow(_search(windows_of([], width), span, False, near), HITS).withColumn("_tm_rows", F.lit(1))
     for b in range(blocks):
         block = read(tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b))
-        every = every.unionByName(keep(index.mapInArrow(_search(block, span, True), HITS), "hits").withColumn("_tm_rows", F.lit(0)))
+        every = every.unionByName(keep(index.mapInArrow(_search(block, span, True, near), HITS), "hits").withColumn("_tm_rows", F.lit(0)))
     joined = every.groupBy("doc_id", "_tm_th").agg(
         F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near", "near_items")],
         F.sum("_tm_rows").cast("int").alias("_tm_rows"),
     )
     again = F.explode(F.sequence(F.lit(1), F.col("_tm_rows")))
     return joined.withColumn("_tm_nth", again).drop("_tm_th", "_tm_rows", "_tm_nth")
 
 
-def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = search(docs, tests, width)
+def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW, near: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``near`` also n_near and n_near_items."""
+    found = search(docs, tests, width, near=near)
+    close = [F.size("near").cast("long").alias("n_near"), F.size("near_items").cast("long").alias("n_near_items")]
     return found.select(
         "doc_id",
         "n_words",
@@ -244,4 +251,5 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = WINDOW) -> Dat
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        *(close if near is not None else []),
     )

@@ -18,7 +18,7 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=positional_index.SPAN)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
