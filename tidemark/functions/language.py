@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Thai, CJK, kana, hangul, Cyrillic and its supplement, Arabic, Hebrew, Devanagari.
-RANGES = r"฀-๿一-鿿぀-ヿ가-힯Ѐ-ӿԀ-ԯ؀-ۿ֐-׿ऀ-ॿ"
+RANGES = r"\u0E00-\u0E7F\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u0400-\u04FF\u0500-\u052F\u0600-\u06FF\u0590-\u05FF\u0900-\u097F"
 MIN_NONLATIN = 5
 MIN_ASSESSABLE = 5
 

@@ -60,10 +60,12 @@ def worker_seconds(changes: DataFrame, most: int, key: str | None = None, width:
 
     Time is cut in buckets of ``width``. What runs when a bucket begins, and when
     the next change after it is, follow from one row a bucket, so a bucket is
-    summed by itself and no task sorts all changes.
+    summed by itself and no task sorts all changes. Changes are shuffled once, by bucket:
+    sums by moment, by bucket and along a bucket all find them where they are.
     """
     keys = [key] if key else []
-    per = changes.groupBy(*keys, "ts").agg(F.sum("delta").alias("delta")).withColumn("_b", F.floor(F.col("ts") / width))
+    dealt = changes.select(*keys, "ts", "delta", F.floor(F.col("ts") / width).alias("_b")).repartition(*keys, "_b")
+    per = dealt.groupBy(*keys, "_b", "ts").agg(F.sum("delta").alias("delta"))
     over = Window.partitionBy(*keys).orderBy("_b")
     buckets = per.groupBy(*keys, "_b").agg(F.sum("delta").alias("_d"), F.min("ts").alias("_first"))
     before = F.coalesce(F.sum("_d").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

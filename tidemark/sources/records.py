@@ -80,6 +80,9 @@ def json_array(column: Column, element: str) -> Column:
     return F.coalesce(F.from_json(column, kind), F.array().cast(kind))
 
 
+#: States of a job and what each asks for (any other has failed).
+JOB_STATES = {"IN_QUEUE": "wait", "IN_PROGRESS": "wait", "TIMED_OUT": "retry", "COMPLETED": "done"}
+
 JOB = "id string, status string, error string, output array<struct<toxic: boolean, confidence: double>>"
 ATTRIBUTES = "attributeScores map<string, struct<summaryScore: struct<value: double>>>"
 DID_DOCUMENT = "service array<struct<id: string, type: string, serviceEndpoint: string>>"
@@ -89,12 +92,8 @@ def job_state(raw: Column) -> Column:
     """What a job's envelope says: its status, and what to do (done, wait, retry, failed). One that can't be parsed has failed."""
     job = F.from_json(raw, JOB)
     status = job["status"]
-    todo = (
-        F.when((status == "COMPLETED") & job["output"].isNotNull(), "done")
-        .when(status.isin("IN_QUEUE", "IN_PROGRESS"), "wait")
-        .when(status == "TIMED_OUT", "retry")
-        .otherwise("failed")
-    )
+    says = F.create_map(*[F.lit(x) for kv in JOB_STATES.items() for x in kv])[status]
+    todo = F.when((says == "done") & job["output"].isNull(), "failed").otherwise(F.coalesce(says, F.lit("failed")))
     return F.struct(job["id"].alias("id"), status.alias("status"), todo.alias("todo"), F.coalesce(F.size(job["output"]), F.lit(0)).alias("outputs"))
 
 
