@@ -2,10 +2,14 @@
 
 import math
 import os
+import pkgutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
+from tidemark import plans
 from tidemark.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -38,6 +42,13 @@ def test_query(spark, con, name):
     assert rows == sorted(tuple(plain(r[names.index(c)]) for c in order) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", [m.name for m in pkgutil.iter_modules(plans.__path__)])
+def test_a_worker_can_import_each_module_alone(name):
+    """A query's function is unpickled where nothing else of the package is loaded."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", f"import tidemark.plans.{name}"], cwd=root, check=True, timeout=120)
+
+
 def test_entry(spark):
     import __spark_entry__
 

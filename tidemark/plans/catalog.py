@@ -2,26 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_accounts, queries_composed, queries_discovery, queries_events, queries_runs, queries_scalar, queries_tables  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has one."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-from . import queries_accounts, queries_composed, queries_discovery, queries_events, queries_runs, queries_scalar, queries_tables  # noqa: E402, F401
+__all__ = ["ORACLE", "QUERIES"]

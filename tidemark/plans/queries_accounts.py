@@ -12,7 +12,7 @@ from ..operators import nearest, topics, verdicts
 from ..operators import posts as P
 from . import ranking
 from .base import POSTS, posts, table
-from .catalog import query
+from .registry import query
 
 AFTER_POSTS = """, g AS (
   SELECT account_id, count(*) AS n,

@@ -12,7 +12,7 @@ from ..operators import verdicts
 from ..sources import records
 from . import amplification, context, phases, sweep
 from .base import EVENTS, FOLLOWS, POSTS, events, follows, posts, table
-from .catalog import query
+from .registry import query
 from .queries_accounts import AFTER_POSTS
 from .queries_events import PILED
 

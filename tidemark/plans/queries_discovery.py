@@ -10,7 +10,7 @@ from ..operators import posts as P
 from ..sources import records
 from ..streaming import limits
 from .base import EVENTS, POSTS, events, posts, table
-from .catalog import query
+from .registry import query
 from .queries_scalar import ITEMS, items
 
 EV = "WITH " + EVENTS

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import graph
 from .base import EVENTS, FOLLOWS, events, follows, table
-from .catalog import query
+from .registry import query
 
 EV, FO = "WITH " + EVENTS, "WITH " + FOLLOWS
 

@@ -16,7 +16,7 @@ from ..sources.store import Store, with_ids
 from ..streaming import limits, pile_on
 from . import amplification, phases
 from .base import EVENTS, FOLLOWS, POSTS, events, follows, posts, table
-from .catalog import query
+from .registry import query
 from .queries_composed import COS, DAY0, PHASED, SCORED, VECTORS, _hostility, originals, scored
 from .queries_discovery import RATE
 from .queries_events import EV, PILED

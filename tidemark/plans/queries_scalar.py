@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..sources.records import json_number
 from .base import POSTS, posts, table
-from .catalog import query
+from .registry import query
 
 BASE = "CASE WHEN o < 0.15 THEN least(t * 25, 25) ELSE least(greatest(t * 70 * (1 + o * 1.5), 0), 100) END"
 ITEMS = "WITH i AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS t, l_tax * 10 AS o, l_quantity / 50 AS c, l_returnflag FROM lineitem) "

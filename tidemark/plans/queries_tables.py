@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import store
 from ..sources.scratch import shared_dir
 from .base import table
-from .catalog import query
+from .registry import query
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, 'new' FROM customer WHERE c_custkey % 3 = 0")
