@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -395,7 +396,7 @@ def test_lbl_normalised_and_learns():
     number = np.where(rng.random(40000) < 0.9, follows[one], rng.integers(0, 600, 40000))
     p = log_bilinear.start(shape)
     for nth in range(4):
-        p, times = log_bilinear.train(p, shape, two, one, number, rng, 60, 0.1)
+        p, times = log_bilinear.train(p, shape, log_bilinear.drawn(iter([(two, one, number)]), rng), rng, 0.1)
     some = np.repeat(np.arange(5), 600)
     logs = log_bilinear.log_probabilities(p, shape, two[some], one[some], np.tile(np.arange(600), 5))
     assert np.allclose(np.exp(logs).reshape(5, 600).sum(axis=1), 1, atol=1e-4)
@@ -403,6 +404,32 @@ def test_lbl_normalised_and_learns():
     assert gain > 1.0
 
 
+def test_draws_grow_with_the_tokens(monkeypatch):
+    """Batches in proportion to all tokens, from every part; a few tokens are drawn again, none give none."""
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(log_bilinear, "BATCH", 64)
+    monkeypatch.setattr(log_bilinear, "STEPS", 5)
+    part = lambda i, n: (np.full(n, i),) * 3
+    got = lambda *sizes: [x[0] for x in log_bilinear.drawn((part(i, n) for i, n in enumerate(sizes)), rng)]
+    assert [len(x) for x in got(3)] == [64] * 5 and got() == []
+    for times in (1, 3, 10):
+        found = got(*[20000] * times)
+        assert len(found) == times * -(-2000 // 64) and {int(i) for x in found for i in x} == set(range(times))
+
+
+def test_training_does_not_hold_a_whole_task(monkeypatch):
+    """Parts of some HELD tokens together have all tokens of the batches, with their contexts."""
+    text = pa.array([" ".join(f"w{(i * j) % 7}" for j in range(30)) for i in range(50)] + [None, ""])
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(range(26)), text.slice(at, 26)], ["doc_id", "text"]) for at in (0, 26)])
+    h = log_bilinear.words(log_bilinear.chunks(text).__iter__().__next__(), log_bilinear.PLAIN_LOWER).hash
+    head = log_bilinear.make_head(*np.unique(np.append(h, log_bilinear.END), return_counts=True))
+    whole = list(log_bilinear._held(batches(), head))
+    monkeypatch.setattr(log_bilinear, "HELD", 100)
+    parts = list(log_bilinear._held(batches(), head))
+    assert len(whole) == 1 and len(parts) > 1 and len(whole[0][0]) == 50 * 30 + 52
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), whole[0], strict=True))
+
+
 def test_language_model_beats_the_base_on_held_out_text(spark):
     """Text of pairs that go together: held-out texts are likelier by the model than by shares of tokens."""
     rng = np.random.default_rng(0)
