@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import hints, text
 from tidemark.functions.stopwords import stop_words
 from tidemark.operators import events, posts, topics, verdicts
 from tidemark.plans import amplification, context, phases, report, sweep
@@ -235,3 +236,13 @@ def test_lines_written(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/tsv").count() == 1
     with pytest.raises(ValueError):
         records.write_lines(rows, str(tmp_path), "xml")
+
+
+def test_category_hints(spark):
+    """The first category counts; keywords are found inside words and in any case of the text, those with capitals never."""
+    cases = [
+        ("SCUM, I love you", "dehumanization"), ("I disagree, we all do", "dogpile"), ("So PROUD OF you", "support"), ("a rational mind", "dogpile"),
+        ("TERF", None), ("I worry about it", None), ("I worry that it rains", "concern-troll"), ("", None), (None, None), ("Actually, no", "disagreement"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.first_match(F.col("t"), hints.CATEGORIES).alias("c"))
+    assert [r.c for r in rows.orderBy("i").collect()] == [c for _, c in cases]

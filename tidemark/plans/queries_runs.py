@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import hints, text
 from ..operators import classify, verdicts
 from ..operators import posts as P
 from ..sources import paged, queue, records
@@ -254,3 +254,14 @@ def prompts(spark, sf_dir):
     """A mark that stands in a value stays as it is."""
     values = {"<<policy>>": F.concat("source", F.lit(" says <<content>>")), "<<content>>": F.col("text")}
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.filled(TEMPLATE, values).cast("binary")).alias("prompt"))
+
+
+#: Kinds of a text by words that the tables have; two of them can be in one text.
+WORDS = {"past": [" was ", " were "], "present": [" is ", " are "], "other": ["the", "data"]}
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), ' was ') OR contains(lower(text), ' were ') THEN 'past' WHEN contains(lower(text), ' is ') OR contains(lower(text), ' are ') THEN 'present' WHEN contains(lower(text), 'the') OR contains(lower(text), 'data') THEN 'other' END AS kind, CASE WHEN regexp_matches(lower(text), 'ratio|we all|everyone agrees|consensus') THEN 'dogpile' WHEN regexp_matches(lower(text), 'love you|proud of|you matter|we got you|with you|rooting for') THEN 'support' END AS category FROM documents")
+def category_hints(spark, sf_dir):
+    """Documents by the first hint that they hold: of words of the tables, and of two of the built-in categories."""
+    built_in = {c: hints.CATEGORIES[c] for c in ("dogpile", "support")}
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_match(F.col("text"), WORDS).alias("kind"), text.first_match(F.col("text"), built_in).alias("category"))
