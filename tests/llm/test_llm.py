@@ -86,6 +86,17 @@ def test_substrings(docs, texts):
     assert got == brute_rlz(texts) and sum(v[1] for v in got.values()) > 300
 
 
+def test_a_passage_twice_in_a_document_goes_twice(spark):
+    """The smallest document of one task has a passage at two places, and a document of another task is smaller: both places go."""
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(rng.choice([f"v{i}" for i in range(500)], n))
+    passage, shorter = say(40), say(14)
+    texts = {1: f"{say(5)} {passage} {say(6)} {shorter}", 5: f"{passage} {say(9)} {passage} {say(7)} {shorter} {say(3)} {shorter}", 6: f"{say(8)} {shorter} {shorter} {passage}"}
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(sorted(texts.items()), 2), "doc_id long, text string")  # 1 | 5, 6
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rlz_dedup.dedup_substrings(apart).collect()}
+    assert got == brute_rlz(texts) and got[5][1] == 2 * 40 + 2 * 14 and got[6][1] == 40 + 2 * 14
+
+
 def test_factors_are_copies_of_their_sources(docs, texts):
     """A document is its literals and its factors, each a copy of words of a smaller document."""
     factors = 0

@@ -17,11 +17,12 @@ them go.
 Passes over the texts: (1) which anchors stand in two documents at least; (2)
 blocks of those; (3) windows of blocks whose anchor has different blocks; (4)
 cutting the text. Before it sends blocks, a task settles what it can see: of
-the documents that share a block only its smallest is sent on, as for the
-others a smaller one is known. So a passage in a third of all documents costs
-the index one entry a task. The index is sorted by Spark and read in order; no
-group is held in memory. Anchors that pass on are known by a bitmap of eight
-bits an anchor, 128 MB at most; a full bitmap would only cost work, not results.
+the documents that share a block only its smallest is sent on, with all places
+it stands at, as for the others a smaller one is known. So a passage in a third
+of all documents costs the index the entries of one document a task. The index
+is sorted by Spark and read in order; no group is held in memory. Anchors that
+pass on are known by a bitmap of eight bits an anchor, 128 MB at most; a full
+bitmap would only cost work, not results.
 
 Hashes of blocks and windows have 128 bits.
 
@@ -126,13 +127,16 @@ def _rows(kind: int, *columns: np.ndarray):
 
 
 def settle(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first span of the smallest document of each hash, spans of other documents, source document and word of those)."""
+    """(all spans of the smallest document of each hash, spans of other documents, source document and word of those).
+
+    All, since where another task has a smaller document, each place that the words stand in here is a copy of it.
+    """
     spans = spans[np.lexsort((spans["pos"], spans["doc"], spans["h2"], spans["h1"]))]
     new = np.ones(len(spans), bool)
     new[1:] = (spans["h1"][1:] != spans["h1"][:-1]) | (spans["h2"][1:] != spans["h2"][:-1])
     source = spans[new][np.cumsum(new) - 1] if len(spans) else spans
     other = spans["doc"] != source["doc"]
-    return spans[new], spans[other], source["doc"][other], source["pos"][other] >> 4
+    return spans[~other], spans[other], source["doc"][other], source["pos"][other] >> 4
 
 
 def _spread(key: np.ndarray, value: np.ndarray):
