@@ -42,3 +42,13 @@ def test_blocks_give_what_one_matrix_gives(spark):
     named = m.selectExpr("concat('p', mine_id) AS mine_id", "b")
     assert [r.mine_id for r in nearest.best_match(t.where("target_id = 900"), named, most=50, block=16).collect()] == [f"p{mine[3][0] + 3000}"]
     assert nearest.best_match(t, m.where("false")).count() == 0
+
+
+def test_blocks_are_not_broadcast(spark):
+    """Beyond the most that is broadcast, no side is joined: the plan broadcasts the one row of the last of mine, and the rows that meet a part grow with the parts only."""
+    rng = np.random.default_rng(2)
+    vectors = lambda name, ids, col: spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in ids], f"{name} long, {col} array<double>")
+    t, m = vectors("target_id", range(300), "a"), vectors("mine_id", range(1000, 1200), "b")
+    plan = nearest.best_match(t, m, most=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and "Cross" not in x] == []
+    assert nearest.best_match(t, m, most=50, block=40).select("target_id").distinct().count() == 300
