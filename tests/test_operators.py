@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,29 @@ def test_category_hints(spark):
     ]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.first_match(F.col("t"), hints.CATEGORIES).alias("c"))
     assert [r.c for r in rows.orderBy("i").collect()] == [c for _, c in cases]
+
+
+def test_posts_without_parents_are_not_joined(spark):
+    """Posts without a parent go past the join, in which they would be one key."""
+    rows = [(i, f"t{i}", i - 1 if i % 3 == 1 else None) for i in range(300)] + [(300, "x", 999)]
+    p = spark.createDataFrame(rows, "uri long, text string, parent_uri long")
+    made = posts.with_parents(p, p.select("uri", "text"))
+    assert {r.uri: r.parent_text for r in made.collect()} == {u: f"t{q}" if q is not None and q < 300 else None for u, _, q in rows}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter") :].splitlines()[1]
+    assert "isnotnull(parent_uri" in left
+
+
+def test_clean_pass_makes_few_texts_objects_at_a_time():
+    """A long Arrow batch is taken a call's texts at a time, nulls and failures in their places."""
+    texts = [None if i % 5 == 0 else "x" * i for i in range(100)]
+
+    def score(some):
+        if any(len(t) == 7 for t in some):
+            raise ValueError
+        return [float(len(t)) for t in some]
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["i", "text"])
+    got = list(verdicts.scored_batches(score, "text", 16)(iter([whole])))
+    assert [b.num_rows for b in got] == [16] * 6 + [4]
+    assert pa.Table.from_batches(got)["score"].to_pylist() == [None if i % 5 == 0 or i == 7 else float(i) for i in range(100)]

@@ -45,7 +45,10 @@ def ratios(posts: DataFrame, key: str = "account_id") -> DataFrame:
 def with_parents(posts: DataFrame, texts: DataFrame) -> DataFrame:
     """Each post with its parent's text, if known. texts: uri, text; repeated uris count once."""
     parents = texts.groupBy(F.col("uri").alias("parent_uri")).agg(F.min("text").alias("parent_text"))
-    return posts.join(parents, "parent_uri", "left")
+    joined = posts.where("parent_uri is not null").join(parents, "parent_uri", "left")
+    # Most posts have no parent; in a join they would be one key, and all of them one task.
+    alone = posts.where("parent_uri is null").withColumn("parent_text", F.lit(None).cast("string"))
+    return joined.unionByName(alone)
 
 
 def assess(posts: DataFrame, text: str = "text", langs: str = "langs", key: str = "account_id") -> DataFrame:
