@@ -37,22 +37,26 @@ def one_by_one(score: BatchScorer, texts: list[str]) -> list[float | None]:
     return out
 
 
-def clean_pass(rows: DataFrame, score: BatchScorer, text: str = "text", batch: int = 64) -> DataFrame:
-    """``rows`` with ``score``: one bad text costs its own score only, not its batch's nor its account's. Null texts have none."""
+def scored_batches(score: BatchScorer, text: str, batch: int):
+    """Arrow batches with ``score``. Texts of one call at a time are Python objects, however long an Arrow batch is."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            there = [i for i, t in enumerate(texts) if t is not None]
-            found: list[float | None] = [None] * len(texts)
-            for at in range(0, len(there), batch):
-                part = there[at : at + batch]
-                for i, s in zip(part, one_by_one(score, [texts[i] for i in part]), strict=True):
+        for whole in batches:
+            for b in (whole.slice(at, batch) for at in range(0, whole.num_rows, batch)):
+                texts = b.column(b.schema.get_field_index(text)).to_pylist()
+                there = [i for i, t in enumerate(texts) if t is not None]
+                found: list[float | None] = [None] * len(texts)
+                for i, s in zip(there, one_by_one(score, [texts[i] for i in there]), strict=True):
                     found[i] = None if s is None or s != s else float(s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
+
+    return run
 
+
+def clean_pass(rows: DataFrame, score: BatchScorer, text: str = "text", batch: int = 64) -> DataFrame:
+    """``rows`` with ``score``: one bad text costs its own score only, not its batch's nor its account's. Null texts have none."""
     rows = rows.drop("score")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(scored_batches(score, text, batch), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def each_account(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "account_id", most: int = 500) -> DataFrame:
