@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hints, text
@@ -174,13 +174,17 @@ def median_in_passes(spark, sf_dir):
 def pages_of(spark: SparkSession, sf_dir: str, size: int = 20) -> str:
     """Posts of each account as feed pages of ``size``, oldest page 0, newest item of a page first; the folder."""
     p = posts(spark, sf_dir).select(F.col("account_id").alias("author"), "seq", F.col("uri").cast("string").alias("uri"), "text")
-    nth = F.row_number().over(Window.partitionBy("author").orderBy("seq")) - 1
-    p = p.withColumn("page", F.floor(nth / size))
+    # Numbered by ranges: an author may have more posts than one task should sort.
+    p = with_ids(p, ["author", "seq"], "_n", -1, shared_dir(spark) + "/ids")
+    first = p.groupBy(F.col("author").alias("_author")).agg(F.min("_n").alias("_first"))
+    p = p.join(F.broadcast(first), F.col("author").eqNullSafe(F.col("_author"))).withColumn("page", F.floor((F.col("_n") - F.col("_first")) / size))
     items = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "uri", "text")))), lambda x: x)
     made = p.groupBy("author", "page").agg(items.alias("items")).withColumn("cursor", F.when(F.col("page") > 0, F.col("page") - 1))
     line = F.to_json(F.struct("cursor", "items"), {"ignoreNullFields": "false"})
     folder = new_folder(spark, "feed")
-    made.select("author", F.lpad(F.col("page").cast("string"), 8, "0").alias("page"), line.alias("value")).write.partitionBy("author", "page").text(folder)
+    # Tasks commit their own pages; else the driver would move all of them, one after the other.
+    writer = made.select("author", F.lpad(F.col("page").cast("string"), 8, "0").alias("page"), line.alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("author", "page").text(folder)
     return folder
 
 
