@@ -683,3 +683,11 @@ def test_workers_need_not_have_the_package(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
     assert len(done.stdout.split()) == 28
+
+
+def test_quality_tells_a_null_text_from_a_null_language(spark):
+    """Rows of one id, one with a text and no language, one with that text as its language and no text, are scored apart."""
+    rows = [(i, "some words that are trusted here", "en", None, None) for i in range(40)] + [(99, "words", None, None, None), (99, None, "words", None, None)]
+    good = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.quality(spark.createDataFrame(rows, DOCS), good).where("doc_id = 99").collect()
+    assert sorted((r.lang or "", r.n_tokens) for r in got) == [("", 1), ("words", 0)]
