@@ -428,6 +428,35 @@ def test_draws_grow_with_the_tokens(monkeypatch):
         assert len(found) == times * -(-2000 // 64) and {int(i) for x in found for i in x} == set(range(times))
 
 
+def test_every_training_token_is_learned_from(spark, monkeypatch):
+    """Over all rounds a step is given each token of each document once, with its context, however tasks cut them; only a task of few tokens sees some again."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(i % 50))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = docs.toArrow()
+    h = np.concatenate([log_bilinear.words(c, log_bilinear.PLAIN_LOWER).hash for c in log_bilinear.chunks(whole["text"].combine_chunks())])
+    head = log_bilinear.make_head(*np.unique(np.append(h, [log_bilinear.END] * 400), return_counts=True))
+    shape = log_bilinear.shape_of(np.append(head.count[np.argsort(head.kind)], 0).astype(float))
+    given = []
+    monkeypatch.setattr(log_bilinear, "HELD", 1000)
+    monkeypatch.setattr(log_bilinear, "BATCH", 64)
+    monkeypatch.setattr(log_bilinear, "train", lambda p, shape, batches, rng, rate: (given.extend(batches), (p, np.zeros(len(p))))[1])
+    shared = lambda: None
+    shared.value = (head.hash, head.count, head.kind, log_bilinear.start(shape), (shape.tokens, shape.bounds, shape.kind, shape.class_share, shape.share))
+
+    def learned(steps):
+        given.clear()
+        monkeypatch.setattr(log_bilinear, "STEPS", steps)
+        for nth in range(log_bilinear.ROUNDS):
+            list(log_bilinear._round(shared, nth)(iter(docs.where(log_bilinear.in_round(nth)).toArrow().to_batches(max_chunksize=30))))
+        return np.stack([np.concatenate(x) for x in zip(*given, strict=True)], axis=1)
+
+    want = np.stack([np.concatenate(x) for x in zip(*log_bilinear._held(iter(whole.to_batches()), head), strict=True)], axis=1)
+    order = lambda x: x[np.lexsort(x.T)]
+    assert len(want) == len(h) + 400 and (order(learned(0)) == order(want)).all()
+    again = learned(200)
+    assert len(again) > len(want) and (np.unique(again, axis=0) == np.unique(want, axis=0)).all()
+
+
 def test_training_does_not_hold_a_whole_task(monkeypatch):
     """Parts of some HELD tokens together have all tokens of the batches, with their contexts."""
     text = pa.array([" ".join(f"w{(i * j) % 7}" for j in range(30)) for i in range(50)] + [None, ""])

@@ -8,13 +8,13 @@ predicted in two steps, its class (tokens of like frequency; all classes are
 about equally frequent) and itself within the class, so that batched matrix
 products give log-probabilities normalised over all tokens.
 
-Training is by noise-contrastive estimation in numpy, in ROUNDS rounds. In a
-round every task goes on from the model so far. It takes its part of the corpus
-as it comes, HELD tokens at a time, and draws batches from each in proportion to
-its tokens, so what is learned from grows with the input however it is cut into
-tasks; a task of few tokens draws from them again, up to STEPS batches. The next
-model is the mean of the tasks' rows, weighted by how often a task has trained a
-row, which Spark sums.
+Training is by noise-contrastive estimation in numpy, in ROUNDS rounds. Each has
+its share of the training documents, and all of these are in one of them, so that
+every training token is learned from. In a round every task goes on from the model
+so far. It takes its part of the documents as it comes, HELD tokens at a time, and
+visits each token of them once, in random order; a task of few tokens draws from
+them again, up to STEPS batches. The next model is the mean of the tasks' rows,
+weighted by how often a task has trained a row, which Spark sums.
 
 Counts of the HEAD most frequent tokens are broadcast (16 bytes each). Counts
 of the others are joined: what a document has of them is grouped first, and no
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ WIDTH = 24
 HEAD = 1 << 17
 #: Training: rounds, tokens in a batch, noise classes of a batch and noise tokens of a token.
 ROUNDS, BATCH, NOISE, NOISE_WITHIN = 3, 4096, 32, 4
-#: Draws in a round for each training token, and batches that a task takes in a round at least.
+#: Draws for each token where a task draws again, and batches that a task takes in a round at least.
 DRAWS, STEPS = 0.1, 60
 #: Hash of the text end; no byte string.
 END = np.uint64(0x7FFFFFFFFFFFFFFE)
@@ -60,12 +60,19 @@ HELD = 1 << 22
 SCORE_AT_ONCE = 1 << 15
 #: Of these, tokens whose products with all classes stay in a core's cache.
 IN_CACHE = 1 << 11
+#: Gradients of a row that are added one by one; more are summed at once.
+FEW = 12
 
 
 def held_out(folds: int = 7, fold: int = 2):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
 
 
+def in_round(nth: int):
+    """Whether a document is learned from in a round; each is in one."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == nth
+
+
 def _count_tokens(batches):
     def send(held):
         h, n = unique_sums(np.concatenate(held))
@@ -180,11 +187,16 @@ def start(shape: Shape, seed: int = 7) -> np.ndarray:
     return p
 
 
-def near(p: np.ndarray, shape: Shape, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Prediction vectors, with a one for the bias."""
+def embedded(p: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return np.take(p, number, axis=0)[:, :WIDTH]
+
+
+def near(before: np.ndarray, last: np.ndarray, p: np.ndarray, shape: Shape) -> np.ndarray:
+    """Prediction vectors of embedded contexts, with a one for the bias."""
     maps = shape.rows[2]
-    out = np.ones((len(one), WIDTH + 1), np.float32)
-    out[:, :WIDTH] = p[two, :WIDTH] @ p[maps : maps + WIDTH, :WIDTH] + p[one, :WIDTH] @ p[maps + WIDTH :, :WIDTH]
+    out = np.ones((len(last), WIDTH + 1), np.float32)
+    np.matmul(before, p[maps : maps + WIDTH, :WIDTH], out=out[:, :WIDTH])
+    out[:, :WIDTH] += last @ p[maps + WIDTH :, :WIDTH]
     return out
 
 
@@ -195,7 +207,7 @@ def log_probabilities(p: np.ndarray, shape: Shape, two: np.ndarray, one: np.ndar
     for at in range(0, len(number), SCORE_AT_ONCE):
         some = slice(at, at + SCORE_AT_ONCE)
         w, kind = number[some], shape.kind[number[some]]
-        r = near(p, shape, two[some], one[some])
+        r = near(embedded(p, two[some]), embedded(p, one[some]), p, shape)
         got = np.concatenate([_picked(r[i : i + IN_CACHE] @ p[classes:maps].T, kind[i : i + IN_CACHE]) for i in range(0, len(w), IN_CACHE)])
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(len(shape.bounds)))
@@ -216,7 +228,11 @@ def _picked(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """``x`` is written over."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def drawn(parts: Iterator[tuple[np.ndarray, ...]], rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
@@ -232,6 +248,42 @@ def drawn(parts: Iterator[tuple[np.ndarray, ...]], rng: np.random.Generator) ->
         yield tuple(x[some] for x in part)
 
 
+def visited(parts: Iterator[tuple[np.ndarray, ...]], rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches (two, one, number) that together have every token of each part once, in random order; if they are fewer than STEPS, the rest is drawn from the last part."""
+    taken, part = 0, None
+    for part in parts:
+        order = rng.permutation(len(part[0]))
+        for some in np.array_split(order, -(-len(order) // BATCH)):
+            yield tuple(x[some] for x in part)
+            taken += 1
+    if part and taken < STEPS:
+        yield from islice(drawn(iter([part]), rng), STEPS - taken)
+
+
+def _sorted(at: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers up to ``most``, in the smallest type that holds them, which numpy sorts by digits."""
+    return np.argsort(at.astype(np.min_scalar_type(most)), kind="stable")
+
+
+def totals(at: np.ndarray, vectors: np.ndarray, of: np.ndarray, by: np.ndarray | None, most: int, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers among ``at``, up to ``most``, from ``base`` on; how often each stands; its sum of vectors[of] * by)."""
+    order = _sorted(at, most)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = np.diff(np.append(first, len(at)))
+    each = np.take(vectors, of[order], axis=0)
+    if by is not None:
+        each *= by[order][:, None]
+    out = each[first]
+    for i in np.flatnonzero(n > FEW).tolist():
+        out[i] = each[first[i] : first[i] + n[i]].sum(axis=0)
+    more = np.flatnonzero((n > 1) & (n <= FEW))
+    for j in range(1, FEW):
+        more = more[n[more] > j]
+        out[more] += each[first[more] + j]
+    return base + at[first], n, out
+
+
 def train(p: np.ndarray, shape: Shape, batches: Iterator[tuple[np.ndarray, ...]], rng: np.random.Generator, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(model, how often each row was trained) after a noise-contrastive step (Adagrad) on each batch of tokens with their contexts."""
     p, times = p.copy(), np.zeros(len(p))
@@ -240,46 +292,53 @@ def train(p: np.ndarray, shape: Shape, batches: Iterator[tuple[np.ndarray, ...]]
     k = len(shape.bounds) - 1
     share = np.exp(shape.share)
     upto = np.cumsum(share)
+    lowest, highest = upto[shape.bounds[:-1]] - share[shape.bounds[:-1]], upto[shape.bounds[1:] - 1]
     class_p = np.exp(shape.class_share)
     class_p /= class_p.sum()
+    class_level = (np.log(NOISE) + shape.class_share).astype(np.float32)
+    level = (np.log(NOISE_WITHIN) + shape.share).astype(np.float32)
+    single = np.diff(shape.bounds) == 1
+    pad = lambda x: np.pad(x, ((0, 0), (0, 1)))
 
-    def move(at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        u, first, n = np.unique(at[order], return_index=True, return_counts=True)
-        g = np.add.reduceat(grad[order], first, axis=0)
+    def move(u: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
         g /= np.sqrt(n)[:, None].astype(np.float32)
-        squares[u] += g * g
-        p[u] += rate * g / np.sqrt(squares[u])
+        upon = np.take(squares, u, axis=0)
+        upon += g * g
+        squares[u] = upon
+        p[u] += rate * g / np.sqrt(upon)
         times[u] += n
 
     for a, b, w in batches:
-        kind = shape.kind[w]
-        r = near(p, shape, a, b)
+        # Sorted, so that tokens of a class, and their noise, lie together.
+        order = _sorted(w, shape.tokens)
+        a, b, w = a[order], b[order], w[order]
+        size, kind = len(w), shape.kind[w]
+        each = np.arange(size)
+        first, second = p[maps : maps + WIDTH, :WIDTH].copy(), p[maps + WIDTH :, :WIDTH].copy()
+        before, last = embedded(p, a), embedded(p, b)
+        r = near(before, last, p, shape)
         # Classes: one set of noise for the batch.
-        drawn = rng.choice(k, NOISE, p=class_p)
-        level = np.log(NOISE) + shape.class_share
-        up = _sigmoid(level[kind] - (r * p[classes + kind]).sum(axis=1)).astype(np.float32)
-        down = -_sigmoid(r @ p[classes + drawn].T - level[drawn]).astype(np.float32)
-        back = up[:, None] * p[classes + kind] + down @ p[classes + drawn]
+        noise_classes = rng.choice(k, NOISE, p=class_p)
+        own = np.take(p, classes + kind, axis=0)
+        up = _sigmoid(class_level[kind] - np.einsum("bd,bd->b", r, own))
+        down = -_sigmoid(r @ p[classes + noise_classes].T - class_level[noise_classes])
+        back = up[:, None] * own + down @ p[classes + noise_classes]
         # Tokens within the class: noise of its own for each.
-        low, high = upto[shape.bounds[kind]] - share[shape.bounds[kind]], upto[shape.bounds[kind + 1] - 1]
-        noise = np.searchsorted(upto, low[:, None] + rng.random((BATCH, NOISE_WITHIN)) * (high - low)[:, None], "right")
+        low, high = lowest[kind], highest[kind]
+        noise = np.searchsorted(upto, low[:, None] + rng.random((size, NOISE_WITHIN)) * (high - low)[:, None], "right")
         noise = np.clip(noise, shape.bounds[kind][:, None], shape.bounds[kind + 1][:, None] - 1)
-        level = np.log(NOISE_WITHIN) + shape.share
-        up_in = _sigmoid(level[w] - (r * p[targets + w]).sum(axis=1)).astype(np.float32)
-        far = p[targets + noise]
-        down_in = -_sigmoid(np.einsum("bd,bnd->bn", r, far) - level[noise]).astype(np.float32)
-        several = (shape.bounds[kind + 1] - shape.bounds[kind]) > 1
-        up_in, down_in = up_in * several, down_in * several[:, None]
-        back += up_in[:, None] * p[targets + w] + np.einsum("bn,bnd->bd", down_in, far)
+        own = np.take(p, targets + w, axis=0)
+        far = np.take(p, targets + noise, axis=0)
+        up_in = _sigmoid(level[w] - np.einsum("bd,bd->b", r, own))
+        down_in = -_sigmoid(np.einsum("bd,bnd->bn", r, far) - level[noise])
+        up_in[single[kind]] = 0
+        down_in[single[kind]] = 0
+        back += up_in[:, None] * own + np.einsum("bn,bnd->bd", down_in, far)
         back = back[:, :WIDTH]
-        first, second = p[maps : maps + WIDTH, :WIDTH].copy(), p[maps + WIDTH :, :WIDTH].copy()
-        before, last = p[a, :WIDTH], p[b, :WIDTH]
-        pad = lambda x: np.pad(x, ((0, 0), (0, 1)))
-        move(np.concatenate([classes + kind, classes + drawn]), np.concatenate([up[:, None] * r, down.T @ r]))
-        move(np.concatenate([targets + w, (targets + noise).ravel()]), np.concatenate([up_in[:, None] * r, (down_in[:, :, None] * r[:, None, :]).reshape(-1, WIDTH + 1)]))
-        move(np.concatenate([a, b]), pad(np.concatenate([back @ first.T, back @ second.T])))
-        move(np.arange(maps, rows), pad(np.concatenate([before.T @ back, last.T @ back]) / np.float32(np.sqrt(BATCH))))
+        move(*totals(np.concatenate([kind, noise_classes]), np.concatenate([up[:, None] * r, down.T @ r]), np.arange(size + NOISE), None, k, classes))
+        move(*totals(np.concatenate([w, noise.ravel()]), r, np.concatenate([each, np.repeat(each, NOISE_WITHIN)]), np.concatenate([up_in, down_in.ravel()]), shape.tokens, targets))
+        move(*totals(np.concatenate([a, b]), pad(np.concatenate([back @ first.T, back @ second.T])), np.arange(2 * size), None, shape.tokens))
+        move(np.arange(maps, rows), np.ones(rows - maps, np.int64), pad(np.concatenate([before.T @ back, last.T @ back]) / np.float32(np.sqrt(size))))
     return p, times
 
 
@@ -310,7 +369,7 @@ def _round(shared, nth: int):
         if first is None:
             return
         rng = np.random.default_rng([nth, int(first[2].sum(dtype=np.int64)), len(first[2])])
-        made, times = train(p, shape, drawn(chain([first], parts), rng), rng, 0.1 / (1 + nth))
+        made, times = train(p, shape, visited(chain([first], parts), rng), rng, 0.1 / (1 + nth))
         seen = np.flatnonzero(times)
         for at in range(0, len(seen), 1 << 13):
             rows = seen[at : at + (1 << 13)]
@@ -324,12 +383,12 @@ COLUMNS = [f"v{i}" for i in range(WIDTH + 1)]
 
 
 def fitted(training: DataFrame, head: Head, shape: Shape) -> np.ndarray:
-    """The model after ROUNDS rounds over ``training`` (doc_id, text). Its rows, of a fixed number, are all that reaches the driver."""
+    """The model after ROUNDS rounds that share ``training`` (doc_id, text). Its rows, of a fixed number, are all that reaches the driver."""
     p = start(shape)
     sc = training.sparkSession.sparkContext
     for nth in range(ROUNDS):
         shared = sc.broadcast((head.hash, head.count, head.kind, p, (shape.tokens, shape.bounds, shape.kind, shape.class_share, shape.share)))
-        rows = training.mapInArrow(_round(shared, nth), "row long, times double, " + ", ".join(f"{c} double" for c in COLUMNS))
+        rows = training.where(in_round(nth)).mapInArrow(_round(shared, nth), "row long, times double, " + ", ".join(f"{c} double" for c in COLUMNS))
         got = rows.groupBy("row").agg(F.sum("times").alias("times"), *[F.sum(c).alias(c) for c in COLUMNS]).toArrow()
         at, times = got["row"].to_numpy(), got["times"].to_numpy()
         p = p.copy()
