@@ -273,3 +273,18 @@ def test_clean_pass_makes_few_texts_objects_at_a_time():
     got = list(verdicts.scored_batches(score, "text", 16)(iter([whole])))
     assert [b.num_rows for b in got] == [16] * 6 + [4]
     assert pa.Table.from_batches(got)["score"].to_pylist() == [None if i % 5 == 0 or i == 7 else float(i) for i in range(100)]
+
+
+def test_direct_pairs_move_one_text_a_row(spark, monkeypatch):
+    """Equal texts of different posts, repeated answers and empty texts: the distinct pairs, whether the answered texts fit in a task or not; no shuffle is by both texts."""
+    events = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (1, 10, "b"), (2, 12, "a"), (2, 13, "a"), (3, 10, ""), (3, 10, None), (4, 99, "a"), (5, None, "a"), (2, 14, "a")], "amplifier int, post int, text string")
+    originals = spark.createDataFrame([(10, "x"), (11, "x"), (12, "y"), (12, "z"), (13, ""), (14, None), (50, "x"), (10, "x")], "post int, text string")
+    want = [(1, "x", "a"), (1, "x", "b"), (2, "y", "a"), (2, "z", "a")]
+    for posts, size in ((1 << 14, 1 << 25), (1 << 14, 1), (0, 1 << 25)):
+        monkeypatch.setattr(context, "FEW_POSTS", posts)
+        monkeypatch.setattr(context, "FEW_BYTES", size)
+        pairs = context.direct_pairs(events, originals)
+        assert sorted(tuple(r) for r in pairs.collect()) == want
+        assert sorted(tuple(r) for r in context.pairs_counted(context.answered(events, originals)[0]).collect()) == [(1, 2), (2, 2)]
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Aggregate [" in x and "original#" in x.split("]")[0] and "response#" in x.split("]")[0] for x in plan.splitlines()), plan

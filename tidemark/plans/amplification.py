@@ -35,9 +35,9 @@ def candidates(events: DataFrame, originals: DataFrame, edges: DataFrame, me, sc
     found = E.by_precedence(amplifiers, followers, "account_id").where(F.col("account_id") != F.lit(me))
     found = graph.distance(graph.stale(found, scores, as_of, days), edges, me)
     piled = E.pile_on(events).select(F.col("amplifier").alias("account_id"), F.lit(True).alias("pile_on"))
-    pairs = context.direct_pairs(events.where(F.col("event_type").isin(SAID)), originals)
-    spoke = pairs.groupBy("account_id").agg(F.count("*").alias("direct_pairs"))
-    found = found.join(piled, "account_id", "left").join(spoke, "account_id", "left")
+    told, texts = context.answered(events.where(F.col("event_type").isin(SAID)), originals)
+    pairs = context.pairs_of(told, texts)
+    found = found.join(piled, "account_id", "left").join(context.pairs_counted(told), "account_id", "left")
     return found.withColumns({"pile_on": F.coalesce("pile_on", F.lit(False)), "direct_pairs": F.coalesce("direct_pairs", F.lit(0))}), pairs
 
 
@@ -59,7 +59,9 @@ def scored(
 
     def chosen(at: State) -> dict[str, DataFrame]:
         found, pairs = candidates(store.read("events", at), originals, edges, me, known, as_of, days)
-        return {"candidates": found, "direct_pairs": pairs.join(found.select("account_id"), "account_id", "left_semi")}
+        # Worked out once: the pairs are cut to what was written, whose size Spark knows.
+        kept = store.read("candidates", State(0, {"candidates": [store.write("candidates", found)]}))
+        return {"candidates": kept, "direct_pairs": pairs.join(kept.select("account_id"), "account_id", "left_semi")}
 
     def scores(at: State, told: DataFrame | None) -> DataFrame:
         these = store.read("candidates", at)

@@ -17,14 +17,43 @@ from ..operators import nearest
 
 #: Adds ``hostility`` (0 to 1, null where a pair can't be scored) to rows of original and response.
 PairScorer = Callable[[DataFrame], DataFrame]
+#: Answered posts, and bytes of their texts, that are sent to every task at most.
+FEW_POSTS, FEW_BYTES = 1 << 14, 1 << 25
 WATCH = scoring.TIERS["Watch"]
 
 
-def direct_pairs(events: DataFrame, originals: DataFrame) -> DataFrame:
-    """account_id, original, response: distinct, both sides non-empty. events: amplifier, post, text. originals: post, text."""
+def answered(events: DataFrame, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(account_id, digest, response; digest, original): who answered which text, and the texts that were answered, both sides non-empty.
+
+    A text is known by its SHA-256, so that what is shuffled has one text a row. Where few posts were answered their texts
+    go to every task, and no response is moved to meet them; else both are joined by a shuffle.
+    """
     said = events.where("coalesce(text, '') <> ''").select(F.col("amplifier").alias("account_id"), "post", F.col("text").alias("response"))
+    posts = events.select("post").distinct()
+    few = posts.limit(FEW_POSTS + 1).count() <= FEW_POSTS
     of = originals.where("coalesce(text, '') <> ''").select("post", F.col("text").alias("original"))
-    return said.join(of, "post").select("account_id", "original", "response").distinct()
+    of = of.join(F.broadcast(posts) if few else posts, "post", "left_semi")
+    few = few and (of.agg(F.sum(F.octet_length("original"))).first()[0] or 0) <= FEW_BYTES
+    of = of.withColumn("digest", F.unhex(F.sha2("original", 256)))
+    digests, texts = of.select("post", "digest").distinct(), of.groupBy("digest").agg(F.max("original").alias("original"))
+    told = said.join(F.broadcast(digests) if few else digests, "post").select("account_id", "digest", "response")
+    return told, F.broadcast(texts) if few else texts
+
+
+def pairs_of(told: DataFrame, texts: DataFrame) -> DataFrame:
+    """account_id, original, response: distinct. See ``answered``."""
+    return told.distinct().join(texts, "digest").select("account_id", "original", "response")
+
+
+def pairs_counted(told: DataFrame) -> DataFrame:
+    """account_id, direct_pairs: the number of distinct pairs; only digests are shuffled."""
+    by = told.select("account_id", "digest", F.unhex(F.sha2("response", 256)).alias("_r")).distinct()
+    return by.groupBy("account_id").agg(F.count("*").alias("direct_pairs"))
+
+
+def direct_pairs(events: DataFrame, originals: DataFrame) -> DataFrame:
+    """account_id, original, response: distinct, both sides non-empty. events: amplifier, post, text. originals: post, text."""
+    return pairs_of(*answered(events, originals))
 
 
 def inferred_pairs(targets: DataFrame, mine: DataFrame, n: int = 3) -> DataFrame:
