@@ -415,6 +415,92 @@ def test_lbl_normalised_and_learns():
     assert gain > 1.0
 
 
+def test_repeated_contexts_are_scored_once(monkeypatch):
+    """Like contexts share one row of products with the classes, like tokens after them one within the class; scores are those of the dense model in double precision."""
+    rng = np.random.default_rng(1)
+    shape = log_bilinear.shape_of(np.sort(rng.zipf(1.3, 300).clip(1, 900))[::-1].astype(float))
+    p = log_bilinear.start(shape)
+    targets, classes, maps, _ = shape.rows
+    p[:maps] += rng.normal(0, 0.2, (maps, log_bilinear.WIDTH + 1)).astype(np.float32)
+    p[0] *= 40  # scores that single precision has no exponential of
+    two, one, number = (np.tile(rng.integers(0, 300, 500), 20) for _ in range(3))
+    shapes, picked = [], log_bilinear._picked
+    monkeypatch.setattr(log_bilinear, "_picked", lambda scores, *places: (shapes.append(scores.shape), picked(scores, *places))[1])
+    got = log_bilinear.log_probabilities(p, shape, two, one, number)
+    of_classes = sum(n for n, wide in shapes if wide == maps - classes)
+    assert of_classes == len(set(zip(two, one, strict=True))) and sum(n for n, _ in shapes) - of_classes <= len(set(zip(two, one, number, strict=True)))
+    q, n = p.astype(float), log_bilinear.WIDTH
+    r = np.concatenate([q[two[:500], :n] @ q[maps : maps + n, :n] + q[one[:500], :n] @ q[maps + n :, :n], np.ones((500, 1))], axis=1)
+    log_sum = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
+    for i, (w, v) in enumerate(zip(number[:500], r, strict=True)):
+        c = shape.kind[w]
+        all_classes, inside = q[classes:maps] @ v, q[targets + shape.bounds[c] : targets + shape.bounds[c + 1]] @ v
+        assert got[i] == pytest.approx(all_classes[c] - log_sum(all_classes) + inside[w - shape.bounds[c]] - log_sum(inside), rel=1e-4, abs=1e-3)
+    assert (got.reshape(20, 500) == got[:500]).all()
+
+
+def test_places_are_those_of_a_search():
+    """Head tokens and noise tokens are found as by a binary search, even or crowded, within, between and beyond all."""
+    rng = np.random.default_rng(0)
+    for hashes in (rng.integers(0, 1 << 64, 5000, np.uint64), np.arange(7, 9000, 3, dtype=np.uint64), np.array([(1 << 64) - 1], np.uint64), np.zeros(1, np.uint64)):
+        head = log_bilinear.make_head(hashes, np.ones(len(hashes), np.int64))
+        ask = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 1 << 64, 3000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        known, k = head.look(ask)
+        assert (known == np.isin(ask, hashes)).all() and (head.hash[k[known]] == ask[known]).all()
+    for share in (np.full(4000, 1 / 2000), np.append(1.0, np.full(3000, 1e-7)), np.ones(3)):
+        upto = np.cumsum(share)
+        begin = np.searchsorted(upto, np.arange(int(upto[-1] * log_bilinear.CELLS) + 2) / log_bilinear.CELLS, "right")
+        x = np.concatenate([rng.random(5000) * upto[-1], upto])
+        assert (log_bilinear.found(upto, begin, x) == np.searchsorted(upto, x, "right")).all()
+
+
+def test_training_step_is_that_of_each_token(monkeypatch):
+    """A step moves rows by the gradients of the batch's tokens and their noise, added up one by one in double precision."""
+    monkeypatch.setattr(log_bilinear, "NOISE", 8)
+    rng = np.random.default_rng(2)
+    shape = log_bilinear.shape_of(np.sort(rng.zipf(1.3, 400).clip(1, 3000))[::-1].astype(float))
+    p = log_bilinear.start(shape)
+    targets, classes, maps, rows = shape.rows
+    p[:maps] += rng.normal(0, 0.2, (maps, log_bilinear.WIDTH + 1)).astype(np.float32)
+    two, one, number = rng.integers(0, 400, 700), rng.integers(0, 400, 700) % 50, rng.integers(0, 400, 700) % 90
+    got, times = log_bilinear.train(p, shape, iter([(two, one, number)]), np.random.default_rng(5), 0.1)
+    q, n, draw = p.astype(float), log_bilinear.WIDTH, np.random.default_rng(5)
+    share, class_share = np.exp(shape.share), np.exp(shape.class_share)
+    noise_classes = draw.choice(len(class_share), 8, p=class_share / class_share.sum())
+    chance, upto = draw.random((700, log_bilinear.NOISE_WITHIN)), np.cumsum(share)
+    gradient, seen = np.zeros(q.shape), np.zeros(rows)
+    below = lambda x: 1 / (1 + np.exp(x))
+
+    def add(row, g, often=1):
+        gradient[row, : len(g)] += g
+        seen[row] += often
+
+    for c in noise_classes:
+        add(classes + c, np.zeros(1))
+    for i, j in enumerate(np.argsort(number, kind="stable")):
+        a, b, w = two[j], one[j], number[j]
+        c = shape.kind[w]
+        r = np.append(q[a, :n] @ q[maps : maps + n, :n] + q[b, :n] @ q[maps + n :, :n], 1)
+        terms = [(classes + c, below(r @ q[classes + c] - np.log(8) - shape.class_share[c]), 1)]
+        terms += [(classes + x, -below(np.log(8) + shape.class_share[x] - r @ q[classes + x]), 0) for x in noise_classes]
+        low, high = shape.bounds[c], shape.bounds[c + 1]
+        if high - low > 1:
+            level = np.log(log_bilinear.NOISE_WITHIN) + shape.share
+            start = upto[low] - share[low]
+            noise = np.clip(np.searchsorted(upto, start + chance[i] * (upto[high - 1] - start), "right"), low, high - 1)
+            terms += [(targets + w, below(r @ q[targets + w] - level[w]), 1), *((targets + x, -below(level[x] - r @ q[targets + x]), 1) for x in noise)]
+        back = sum(by * q[row, :n] for row, by, _ in terms)
+        for row, by, often in terms:
+            add(row, by * r, often)
+        add(a, q[maps : maps + n, :n] @ back)
+        add(b, q[maps + n :, :n] @ back)
+        gradient[maps : maps + n, :n] += np.outer(q[a, :n], back) / np.sqrt(700)
+        gradient[maps + n :, :n] += np.outer(q[b, :n], back) / np.sqrt(700)
+    seen[maps:] = 1
+    g = gradient / np.sqrt(np.maximum(seen, 1))[:, None]
+    assert (times == seen).all() and np.abs(got - (q + 0.1 * g / np.sqrt(1e-3 + g * g))).max() < 1e-3
+
+
 def test_draws_grow_with_the_tokens(monkeypatch):
     """Batches in proportion to all tokens, from every part; a few tokens are drawn again, none give none."""
     rng = np.random.default_rng(0)

@@ -6,7 +6,8 @@ unigram share where it is predicted. A prediction vector is the sum of the two
 tokens before, each mapped by a matrix of its position. The next token is
 predicted in two steps, its class (tokens of like frequency; all classes are
 about equally frequent) and itself within the class, so that batched matrix
-products give log-probabilities normalised over all tokens.
+products give log-probabilities normalised over all tokens; those of a context
+that stands again nearby are worked out once.
 
 Training is by noise-contrastive estimation in numpy, in ROUNDS rounds. Each has
 its share of the training documents, and all of these are in one of them, so that
@@ -56,10 +57,14 @@ DRAWS, STEPS = 0.1, 60
 #: Hash of the text end; no byte string.
 END = np.uint64(0x7FFFFFFFFFFFFFFE)
 HELD = 1 << 22
-#: Tokens that are scored at once.
-SCORE_AT_ONCE = 1 << 15
-#: Of these, tokens whose products with all classes stay in a core's cache.
+#: Tokens that are scored at once, at most (three numbers and a place share 63 bits), and bytes of text with about as many.
+SCORE_AT_ONCE, SCORED_BYTES = 1 << 18, 3 << 19
+#: Contexts of these whose products with all classes stay in a core's cache.
 IN_CACHE = 1 << 11
+#: Scores up to this have exponentials and sums of them within single precision.
+PLAIN_EXP = 60
+#: Cells of a class in a table that says where the search of a noise token begins.
+CELLS = 1 << 11
 #: Gradients of a row that are added one by one; more are summed at once.
 FEW = 12
 
@@ -99,12 +104,26 @@ class Head:
     count: np.ndarray
     kind: np.ndarray
 
+    def __post_init__(self) -> None:
+        # Hashes are even, so their first bits say about where one is.
+        self.shift = np.uint64(64 - max(len(self.hash).bit_length(), 1))
+        self.begin = np.searchsorted(self.hash, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether known, place) of each hash."""
         if not len(self.hash):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return self.hash[k] == h, k
+        last = len(self.hash) - 1
+        k = np.minimum(self.begin[(h >> self.shift).astype(np.int64)], last)
+        at = self.hash[k]
+        for _ in range(2):
+            on = np.flatnonzero(at < h)
+            k[on] = np.minimum(k[on] + 1, last)
+            at[on] = self.hash[k[on]]
+        on = np.flatnonzero(at < h)
+        k[on] = np.minimum(np.searchsorted(self.hash, h[on]), last)
+        at[on] = self.hash[k[on]]
+        return at == h, k
 
 
 def make_head(hashes: np.ndarray, counts: np.ndarray) -> Head:
@@ -187,50 +206,81 @@ def start(shape: Shape, seed: int = 7) -> np.ndarray:
     return p
 
 
-def embedded(p: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return np.take(p, number, axis=0)[:, :WIDTH]
+def embedded(p: np.ndarray, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Rows of two contexts each, side by side with their unused last numbers."""
+    return np.take(p, np.stack([two, one], axis=1), axis=0).reshape(len(one), -1)
 
 
-def near(before: np.ndarray, last: np.ndarray, p: np.ndarray, shape: Shape) -> np.ndarray:
-    """Prediction vectors of embedded contexts, with a one for the bias."""
+def both_maps(p: np.ndarray, shape: Shape) -> np.ndarray:
+    """The two maps, one above the other, as ``embedded`` rows are laid out."""
     maps = shape.rows[2]
-    out = np.ones((len(last), WIDTH + 1), np.float32)
-    np.matmul(before, p[maps : maps + WIDTH, :WIDTH], out=out[:, :WIDTH])
-    out[:, :WIDTH] += last @ p[maps + WIDTH :, :WIDTH]
+    out = np.zeros((2, WIDTH + 1, WIDTH), np.float32)
+    out[:, :WIDTH] = p[maps:, :WIDTH].reshape(2, WIDTH, WIDTH)
+    return out.reshape(-1, WIDTH)
+
+
+def near(contexts: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Prediction vectors of embedded contexts, with a one for the bias."""
+    out = np.ones((len(contexts), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = contexts @ maps
     return out
 
 
 def log_probabilities(p: np.ndarray, shape: Shape, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Natural log of P(number | two, one), normalised over all numbers."""
+    """Natural log of P(number | two, one), normalised over all numbers; worked out once where a context, or a token in it, stands again."""
     targets, classes, maps, _ = shape.rows
     out = np.empty(len(number), np.float64)
-    for at in range(0, len(number), SCORE_AT_ONCE):
-        some = slice(at, at + SCORE_AT_ONCE)
-        w, kind = number[some], shape.kind[number[some]]
-        r = near(embedded(p, two[some]), embedded(p, one[some]), p, shape)
-        got = np.concatenate([_picked(r[i : i + IN_CACHE] @ p[classes:maps].T, kind[i : i + IN_CACHE]) for i in range(0, len(w), IN_CACHE)])
-        order = np.argsort(kind, kind="stable")
+    bits = shape.tokens.bit_length()
+    most = min(SCORE_AT_ONCE, 1 << (63 - 3 * bits))
+    for at in range(0, len(number), most):
+        some = slice(at, at + most)
+        # Sorted by context, then token; the low bits say where it stands.
+        key = two[some].astype(np.int64)
+        for x in (one[some], number[some]):
+            key <<= bits
+            key |= x
+        key *= most
+        key += np.arange(len(key))
+        key.sort()
+        place = key & (most - 1)
+        key //= most
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        key = key[new]
+        w, context = key & ((1 << bits) - 1), key >> bits
+        kind = shape.kind[w]
+        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(context))))
+        context = context[begin]
+        r = near(embedded(p, context >> bits, context & ((1 << bits) - 1)), both_maps(p, shape))
+        got = np.empty(len(w), np.float32)
+        for i in range(0, len(r), IN_CACHE):
+            mine = slice(begin[i], begin[i + IN_CACHE] if i + IN_CACHE < len(r) else len(w))
+            got[mine] = _picked(r[i : i + IN_CACHE] @ p[classes:maps].T, of[mine] - i, kind[mine])
+        order = _sorted(kind, len(shape.bounds))
         cuts = np.searchsorted(kind[order], np.arange(len(shape.bounds)))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
+        for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(shape.bounds) > 1)).tolist():
             low, high = shape.bounds[c], shape.bounds[c + 1]
-            if high - low > 1:
-                mine = order[cuts[c] : cuts[c + 1]]
-                got[mine] += _picked(r[mine] @ p[targets + low : targets + high].T, w[mine] - low)
-        out[some] = got
+            mine = order[cuts[c] : cuts[c + 1]]
+            got[mine] += _picked(np.take(r, of[mine], axis=0) @ p[targets + low : targets + high].T, np.arange(len(mine)), w[mine] - low)
+        every = np.empty(len(place), np.float32)
+        every[place] = got[np.cumsum(new) - 1]
+        out[some] = every
     return out
 
 
-def _picked(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at a column. ``scores`` is written over."""
-    scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(which)), which]
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+def _picked(scores: np.ndarray, row: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of rows at a column each. ``scores`` is written over."""
+    if len(scores) and max(scores.max(), -scores.min()) > PLAIN_EXP:
+        scores -= scores.max(axis=1, keepdims=True)
+    own = scores[row, which]
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], scores.dtype))[row]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """``x`` is written over."""
-    np.clip(x, -30, 30, out=x)
-    np.exp(np.negative(x, out=x), out=x)
+def _less_likely(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e**x). ``x`` is written over."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -272,15 +322,16 @@ def totals(at: np.ndarray, vectors: np.ndarray, of: np.ndarray, by: np.ndarray |
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(at)))
     each = np.take(vectors, of[order], axis=0)
-    if by is not None:
-        each *= by[order][:, None]
-    out = each[first]
-    for i in np.flatnonzero(n > FEW).tolist():
-        out[i] = each[first[i] : first[i] + n[i]].sum(axis=0)
+    by = np.ones(len(at), np.float32) if by is None else by[order]
+    out = each[first] * by[first, None]
+    often = np.flatnonzero(n > FEW)
+    for i, low, high in zip(often.tolist(), first[often].tolist(), (first[often] + n[often]).tolist(), strict=True):
+        np.dot(by[low:high], each[low:high], out=out[i])
     more = np.flatnonzero((n > 1) & (n <= FEW))
     for j in range(1, FEW):
         more = more[n[more] > j]
-        out[more] += each[first[more] + j]
+        also = first[more] + j
+        out[more] += each[also] * by[also, None]
     return base + at[first], n, out
 
 
@@ -292,20 +343,22 @@ def train(p: np.ndarray, shape: Shape, batches: Iterator[tuple[np.ndarray, ...]]
     k = len(shape.bounds) - 1
     share = np.exp(shape.share)
     upto = np.cumsum(share)
+    begin = np.searchsorted(upto, np.arange(int(upto[-1] * CELLS) + 2) / CELLS, "right").astype(np.int32)
     lowest, highest = upto[shape.bounds[:-1]] - share[shape.bounds[:-1]], upto[shape.bounds[1:] - 1]
     class_p = np.exp(shape.class_share)
     class_p /= class_p.sum()
     class_level = (np.log(NOISE) + shape.class_share).astype(np.float32)
     level = (np.log(NOISE_WITHIN) + shape.share).astype(np.float32)
-    single = np.diff(shape.bounds) == 1
-    pad = lambda x: np.pad(x, ((0, 0), (0, 1)))
+    several = np.diff(shape.bounds) > 1
 
     def move(u: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
         g /= np.sqrt(n)[:, None].astype(np.float32)
         upon = np.take(squares, u, axis=0)
         upon += g * g
         squares[u] = upon
-        p[u] += rate * g / np.sqrt(upon)
+        g *= rate
+        g /= np.sqrt(upon, out=upon)
+        p[u] += g
         times[u] += n
 
     for a, b, w in batches:
@@ -313,35 +366,61 @@ def train(p: np.ndarray, shape: Shape, batches: Iterator[tuple[np.ndarray, ...]]
         order = _sorted(w, shape.tokens)
         a, b, w = a[order], b[order], w[order]
         size, kind = len(w), shape.kind[w]
-        each = np.arange(size)
-        first, second = p[maps : maps + WIDTH, :WIDTH].copy(), p[maps + WIDTH :, :WIDTH].copy()
-        before, last = embedded(p, a), embedded(p, b)
-        r = near(before, last, p, shape)
-        # Classes: one set of noise for the batch.
+        contexts, mapped = embedded(p, a, b), both_maps(p, shape)
+        r = near(contexts, mapped)
+        # Classes: one set of noise for the batch. The last number of a row is its bias, for which r has a one.
         noise_classes = rng.choice(k, NOISE, p=class_p)
         own = np.take(p, classes + kind, axis=0)
-        up = _sigmoid(class_level[kind] - np.einsum("bd,bd->b", r, own))
-        down = -_sigmoid(r @ p[classes + noise_classes].T - class_level[noise_classes])
-        back = up[:, None] * own + down @ p[classes + noise_classes]
-        # Tokens within the class: noise of its own for each.
-        low, high = lowest[kind], highest[kind]
-        noise = np.searchsorted(upto, low[:, None] + rng.random((size, NOISE_WITHIN)) * (high - low)[:, None], "right")
-        noise = np.clip(noise, shape.bounds[kind][:, None], shape.bounds[kind + 1][:, None] - 1)
-        own = np.take(p, targets + w, axis=0)
-        far = np.take(p, targets + noise, axis=0)
-        up_in = _sigmoid(level[w] - np.einsum("bd,bd->b", r, own))
-        down_in = -_sigmoid(np.einsum("bd,bnd->bn", r, far) - level[noise])
-        up_in[single[kind]] = 0
-        down_in[single[kind]] = 0
-        back += up_in[:, None] * own + np.einsum("bn,bnd->bd", down_in, far)
-        back = back[:, :WIDTH]
-        move(*totals(np.concatenate([kind, noise_classes]), np.concatenate([up[:, None] * r, down.T @ r]), np.arange(size + NOISE), None, k, classes))
-        move(*totals(np.concatenate([w, noise.ravel()]), r, np.concatenate([each, np.repeat(each, NOISE_WITHIN)]), np.concatenate([up_in, down_in.ravel()]), shape.tokens, targets))
-        move(*totals(np.concatenate([a, b]), pad(np.concatenate([back @ first.T, back @ second.T])), np.arange(2 * size), None, shape.tokens))
-        move(np.arange(maps, rows), np.ones(rows - maps, np.int64), pad(np.concatenate([before.T @ back, last.T @ back]) / np.float32(np.sqrt(size))))
+        up = _less_likely(np.einsum("bd,bd->b", r, own) - class_level[kind])
+        noisy = p[classes + noise_classes]
+        against = -noisy
+        against[:, WIDTH] += class_level[noise_classes]
+        down = _less_likely(r @ against.T)
+        own *= up[:, None]
+        back = own[:, :WIDTH] - down @ noisy[:, :WIDTH]
+        there = np.flatnonzero(np.diff(kind, prepend=-1))
+        of_class = np.zeros((k, WIDTH + 1), np.float32)
+        for c, low, high in zip(kind[there].tolist(), there.tolist(), [*there[1:].tolist(), size], strict=True):
+            np.dot(up[low:high], r[low:high], out=of_class[c])
+        np.subtract.at(of_class, noise_classes, down.T @ r)
+        seen = np.bincount(np.concatenate([kind, noise_classes]), minlength=k)
+        # Tokens within the class, where it has several: noise of its own for each.
+        chance = rng.random((size, NOISE_WITHIN))
+        inside = np.flatnonzero(several[kind])
+        trained = None
+        if len(inside):
+            w, kind, own_r = w[inside], kind[inside], np.take(r, inside, axis=0)
+            low, high = lowest[kind], highest[kind]
+            noise = found(upto, begin, low[:, None] + chance[inside] * (high - low)[:, None])
+            noise = np.clip(noise, shape.bounds[kind][:, None], shape.bounds[kind + 1][:, None] - 1)
+            own = np.take(p, targets + w, axis=0)
+            far = np.take(p, targets + noise, axis=0)
+            up = _less_likely(np.einsum("bd,bd->b", own_r, own) - level[w])
+            down = -_less_likely(level[noise] - np.einsum("bd,bnd->bn", own_r, far))
+            own *= up[:, None]
+            own += np.einsum("bn,bnd->bd", down, far)
+            back[inside] += own[:, :WIDTH]
+            each = np.arange(len(w))
+            trained = totals(np.concatenate([w, noise.ravel()]), own_r, np.concatenate([each, np.repeat(each, NOISE_WITHIN)]), np.concatenate([up, down.ravel()]), shape.tokens, targets)
+        here = np.flatnonzero(seen)
+        move(classes + here, seen[here], of_class[here])
+        if trained:
+            move(*trained)
+        move(*totals(np.stack([a, b], axis=1).ravel(), (back @ mapped.T).reshape(-1, WIDTH + 1), np.arange(2 * size), None, shape.tokens))
+        turns = np.zeros((2, WIDTH, WIDTH + 1), np.float32)
+        turns[..., :WIDTH] = (contexts.T @ back).reshape(2, WIDTH + 1, WIDTH)[:, :WIDTH] / np.float32(np.sqrt(size))
+        move(np.arange(maps, rows), np.ones(rows - maps, np.int64), turns.reshape(-1, WIDTH + 1))
     return p, times
 
 
+def found(upto: np.ndarray, begin: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """np.searchsorted(upto, x, "right"), which ``begin`` has for each CELLS-th of one; only what lies past a number of its cell is searched."""
+    out = begin[(x * CELLS).astype(np.int64)]
+    past = np.take(upto, out, mode="clip") <= x
+    out[past] = np.searchsorted(upto, x[past], "right")
+    return out
+
+
 def _held(batches, head: Head) -> Iterator[tuple[np.ndarray, ...]]:
     """(two, one, number) of some HELD tokens at a time."""
     held, n = [], 0
@@ -407,7 +486,7 @@ def _score(shared):
         logs = np.log10(head.count + 1.0)
         for batch in batches:
             parts = []
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), SCORED_BYTES):
                 h, begin, known, k, number, one, two = numbered(c, head)
                 q = log_probabilities(p, shape, two, one, number) / np.log(10)
                 own = np.where(known, logs[k], 0.0) if len(logs) else np.zeros(len(h))
